@@ -1,0 +1,32 @@
+"""Groups too big for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sojourn.functions.nulls import join_null_safe
+
+#: Rows of one group that one task may hold in order.
+GROUP_LIMIT = 200_000
+#: Keys of oversized groups that may be sent to every executor.
+BROADCAST_KEYS = 100_000
+
+
+def split_by_group_size(
+    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most ``limit`` rows, and the rows of the bigger groups (None if there are none).
+
+    Runs one counting job over the key columns. The list of big groups has at most
+    ``rows / limit`` entries; it is broadcast only if the count shows it to be short.
+    """
+    big = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
+    n_big = big.limit(BROADCAST_KEYS + 1).count()
+    if n_big == 0:
+        return df, None
+    if n_big <= BROADCAST_KEYS:
+        big = F.broadcast(big)
+    return join_null_safe(df, big, keys, "left_anti"), join_null_safe(df, big, keys, "left_semi")
