@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.functions.nulls import join_null_safe
+from sojourn.functions.nulls import ascending, join_null_safe
 from sojourn.operators.hot import GROUP_LIMIT, split_by_group_size
+from sojourn.operators.topk import with_row_index
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -26,26 +27,22 @@ def latest(df: DataFrame, on: str, time: str, tiebreak: Sequence[str]) -> DataFr
     return dedupe_first(df, [on], order)
 
 
-def _parts(df: DataFrame, on: str, time: str, limit: int) -> DataFrame:
-    """Add ``part``: 0 for an id of up to ``limit`` rows, else the number of the row's month among the id's months."""
-    small, large = split_by_group_size(df, [on], limit)
-    small = small.withColumn("part", F.lit(0))
-    if large is None:
+def _parts(df: DataFrame, on: str, time: str, tiebreak: Sequence[str], limit: int) -> DataFrame:
+    """Add ``part``, which counts every ``limit`` rows of an id in order of time from 0."""
+    split = split_by_group_size(df, [on], limit)
+    small = split.small.withColumn("part", F.lit(0).cast("long"))
+    if split.large is None:
         return small
-    large = large.withColumn("__month", F.trunc(time, "month"))
-    months = large.select(on, "__month").distinct()
-    numbered = months.withColumn(
-        "part", F.row_number().over(Window.partitionBy(on).orderBy(F.col("__month").asc_nulls_last())) - 1
-    )
-    return small.unionByName(join_null_safe(large, numbered, [on, "__month"]).drop("__month"))
+    numbered = with_row_index(split.large.drop("group_rows"), ascending(time, *tiebreak), "__row", by=[on])
+    large = numbered.withColumn("part", F.floor((F.col("__row") - 1) / F.lit(limit))).drop("__row")
+    return small.unionByName(large)
 
 
 def _strung(parted: DataFrame, on: str, time: str, path: str, tiebreak: Sequence[str], *aggs: Column) -> DataFrame:
-    order = (time, *tiebreak)
+    """The path strings of each id and part, joined in order of time."""
     # a missing time sorts behind the dated rows, as it does for `latest`
-    keyed = [F.col(time).isNull().alias("undated"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(order)]]
-    item = F.struct(*keyed, F.col(path).alias("text"))
-    texts = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"])
+    keys = [k.alias(f"k{i}") for c in (time, *tiebreak) for i, k in ((f"{c}_null", F.col(c).isNull()), (c, F.col(c)))]
+    texts = F.sort_array(F.collect_list(F.struct(*keys, F.col(path).alias("text"))))["text"]
     return parted.groupBy(on, "part").agg(F.array_join(texts, "").alias(path), *aggs)
 
 
@@ -55,18 +52,22 @@ def collapse_episodes(
     """One row per id: its path strings joined in order of time, its first time, and the sum of its stints.
 
     ``part`` is 0. The text of an id with more than ``limit`` rows would not fit in a row, so such
-    an id keeps one row per month, numbered by ``part``; joined in that order they are its path.
+    an id has one row per ``limit`` rows, numbered by ``part``; joined in that order they are its path.
     """
     return _strung(
-        _parts(df, on, time, limit), on, time, path, tiebreak,
+        _parts(df, on, time, tiebreak, limit), on, time, path, tiebreak,
         F.min(time).alias(time), F.sum(n_stints).alias(n_stints), F.count("*").alias("n_rows"),
     )
 
 
 def concat_over(
-    df: DataFrame, on: str, time: str, path: str, out: str, tiebreak: Sequence[str], limit: int = GROUP_LIMIT
+    df: DataFrame, on: str, time: str, path: str, out: str, tiebreak: Sequence[str], limit: int = 1_000
 ) -> DataFrame:
-    """Keep every row and add the joined path of its id (of its part, for an id over the limit)."""
-    parted = _parts(df, on, time, limit)
+    """Keep every row and add the joined path of its id.
+
+    The text is written out once per row, so an id over ``limit`` rows gets the text of each row's
+    ``part`` (see :func:`collapse_episodes`); the size of the result stays proportional to the rows.
+    """
+    parted = _parts(df, on, time, tiebreak, limit)
     strung = _strung(parted, on, time, path, tiebreak).withColumnRenamed(path, out)
     return join_null_safe(parted, strung, [on, "part"])

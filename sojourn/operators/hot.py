@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import join_null_safe
+from sojourn.session import cut_lineage
 
 #: Rows of one group that one task may hold in order.
 GROUP_LIMIT = 200_000
@@ -15,18 +17,33 @@ GROUP_LIMIT = 200_000
 BROADCAST_KEYS = 100_000
 
 
-def split_by_group_size(
-    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups of at most ``limit`` rows, and the rows of the bigger groups (None if there are none).
+@dataclass(frozen=True)
+class Split:
+    """``small``: rows of groups within the limit. ``large``: the other rows, with ``group_rows``; None if there are none.
 
-    Runs one counting job over the key columns. The list of big groups has at most
-    ``rows / limit`` entries; it is broadcast only if the count shows it to be short.
+    ``few`` tells that the large groups are few enough to broadcast a row for each.
     """
-    big = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
-    n_big = big.limit(BROADCAST_KEYS + 1).count()
+
+    small: DataFrame
+    large: DataFrame | None = None
+    few: bool = True
+
+    def per_group(self, df: DataFrame) -> DataFrame:
+        """Mark a table with one row per large group for broadcast, if that is safe."""
+        return F.broadcast(df) if self.few else df
+
+
+def split_by_group_size(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> Split:
+    """Part the rows by the size of their group.
+
+    Runs one counting job over the key columns, which writes the keys of the large groups, at most
+    ``rows / limit`` of them. They are broadcast only if their number shows the list to be short.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("group_rows"))
+    big = cut_lineage(sizes.where(F.col("group_rows") > limit))
+    n_big = big.count()
     if n_big == 0:
-        return df, None
-    if n_big <= BROADCAST_KEYS:
-        big = F.broadcast(big)
-    return join_null_safe(df, big, keys, "left_anti"), join_null_safe(df, big, keys, "left_semi")
+        return Split(df)
+    few = n_big <= BROADCAST_KEYS
+    big = F.broadcast(big) if few else big
+    return Split(join_null_safe(df, big, keys, "left_anti"), join_null_safe(df, big, keys), few)

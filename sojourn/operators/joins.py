@@ -48,17 +48,20 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, suffixes: tuple[str, str] = (
     return merge_inner(df, dim.where(F.col(on).isNotNull()), on, suffixes, null_keys=False)
 
 
-def label_codes(df: DataFrame, dim: DataFrame, code: str, name: str, col: Column | str, out: str) -> DataFrame:
-    """Add ``out``: the crosswalk's name for the code in ``col``, or the code itself if it has none."""
-    col = F.col(col) if isinstance(col, str) else col
-    names = (
-        dim.where(F.col(code).isNotNull())
-        .groupBy(F.col(code).alias("__code"))
-        .agg(F.min(name).alias("__name"))
-    )
-    coded = df.withColumn("__looked_up", col)
-    return (
-        coded.join(names, coded["__looked_up"] == names["__code"], "left")
-        .withColumn(out, F.coalesce("__name", "__looked_up"))
-        .drop("__code", "__name", "__looked_up")
-    )
+def crosswalk(dim: DataFrame, code: str, name: str) -> DataFrame:
+    """One row ``(code, name)`` per code of a table."""
+    known = dim.where(F.col(code).isNotNull())
+    return known.groupBy(F.col(code).alias("code")).agg(F.min(name).alias("name"))
+
+
+def is_short(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a table has at most ``rows`` rows; runs a job that stops counting there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def label_codes(df: DataFrame, names: DataFrame, col: Column | str, out: str) -> DataFrame:
+    """Add ``out``: the name a :func:`crosswalk` has for the code in ``col``, or the code itself if it has none."""
+    coded = df.withColumn("__code", F.col(col) if isinstance(col, str) else col)
+    names = names.select(F.col("code").alias("__of"), F.col("name").alias("__name"))
+    found = coded.join(names, coded["__code"].eqNullSafe(names["__of"]), "left")
+    return found.withColumn(out, F.coalesce("__name", "__code")).drop("__of", "__name", "__code")

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.functions.nulls import join_null_safe
+from sojourn.functions.nulls import ascending
 from sojourn.functions.text import split_path
 from sojourn.operators.hot import GROUP_LIMIT, split_by_group_size
-from sojourn.operators.joins import label_codes
+from sojourn.operators.joins import crosswalk, is_short, label_codes
+from sojourn.operators.topk import with_row_index
 
 EDGE = ["source", "dest", "step_from", "step_to"]
 #: What an edge leads to: the next place, the outcome, or the country behind the outcome.
@@ -49,70 +50,64 @@ def path_mismatches(df: DataFrame, path: str, n_stints: str) -> DataFrame:
     return df.agg(F.count_if(differs).alias("n_mismatched"), F.count("*").alias("n_rows"))
 
 
-def number_steps(
+def stint_edges(
     stints: DataFrame,
+    stays: DataFrame,
     stay: str,
     place: str,
     order: Sequence[str],
-    chunk: Sequence[str],
+    outcome: str,
+    terminal: str,
+    longest: int | None = None,
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """``(stay, step, n_stints, place, next_place)`` from one row per stint.
+    """The steps of :func:`path_edges` with ``n_stints``, from one row per stint instead of path strings.
 
-    ``order`` leaves no ties that matter. Stays of up to ``limit`` stints are numbered in one window.
-    A bigger stay is cut where the columns ``chunk``, which lead the order, change: steps are counted
-    inside each piece, and the pieces pass on how many stints came before and which place comes next.
+    ``order`` leaves no ties that matter. With ``longest``, only stays of up to that many stints are
+    taken. Stays of up to ``limit`` stints are numbered in a window; the steps of a bigger one are
+    spread over many tasks.
     """
     rows = stints.select(stay, *order, F.col(place).alias("place"))
-    small, large = split_by_group_size(rows, [stay], limit)
-    numbered = _number_small(small, stay, order)
-    return numbered if large is None else numbered.unionByName(_number_large(large, stay, order, chunk))
-
-
-def _number_small(rows: DataFrame, stay: str, order: Sequence[str]) -> DataFrame:
+    ends = stays.select(stay, F.col(outcome).alias("outcome"), F.col(terminal).alias("terminal"))
+    split = split_by_group_size(rows, [stay], limit)
+    steps = small_steps(split.small, stay, order)
+    if longest is not None:
+        steps = steps.where(F.col("n_stints") <= longest)
+    edges = _edges(steps.join(ends, stay))
+    if split.large is None or (longest is not None and longest <= limit):
+        return edges
+    large = large_steps(split.large, stay, order)
+    if longest is not None:
+        large = large.where(F.col("n_stints") <= longest)
+    large_ends = large.where(F.col("step") == F.col("n_stints")).select(stay).join(ends, stay)
+    return edges.unionByName(_edges(large.join(split.per_group(large_ends), stay)))
+
+
+def small_steps(rows: DataFrame, stay: str, order: Sequence[str]) -> DataFrame:
+    """Number the stints of each stay: ``(stay, step, n_stints, place, next_place)``."""
     ordered = Window.partitionBy(stay).orderBy(*order)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.select(
         stay,
         F.row_number().over(ordered).alias("step"),
-        F.count("*").over(Window.partitionBy(stay)).cast("int").alias("n_stints"),
+        F.count("*").over(whole).cast("int").alias("n_stints"),
         "place",
         F.lead("place").over(ordered).alias("next_place"),
     )
 
 
-def _number_large(rows: DataFrame, stay: str, order: Sequence[str], chunk: Sequence[str]) -> DataFrame:
-    pieces = rows.groupBy(stay, *chunk).agg(
-        F.count("*").alias("size"), F.min(F.struct(*order, "place")).alias("first")
-    )
-    along = Window.partitionBy(stay).orderBy(*chunk)
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(
-        stay,
-        *chunk,
-        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
-        F.sum("size").over(Window.partitionBy(stay)).alias("total"),
-        F.lead(F.struct("first.place")).over(along).alias("after"),
-    )
-    inside = Window.partitionBy(stay, *chunk).orderBy(*order)
-    local = rows.select(
-        stay,
-        *chunk,
-        "place",
-        F.row_number().over(inside).alias("rn"),
-        F.lead(F.struct("place")).over(inside).alias("next"),
-    )
-    return join_null_safe(local, pieces, [stay, *chunk]).select(
-        stay,
-        (F.col("before") + F.col("rn")).cast("int").alias("step"),
-        F.col("total").cast("int").alias("n_stints"),
-        "place",
-        F.coalesce("next", "after")["place"].alias("next_place"),
+def large_steps(rows: DataFrame, stay: str, order: Sequence[str]) -> DataFrame:
+    """The same for stays too big for a window: numbered by a global sort, joined to the next step by number."""
+    numbered = with_row_index(rows, ascending(*order), "step", by=[stay])
+    here = numbered.select(
+        stay, F.col("step").cast("int").alias("step"), F.col("group_rows").cast("int").alias("n_stints"), "place"
     )
+    following = here.select(stay, (F.col("step") - 1).alias("step"), F.col("place").alias("next_place"))
+    return here.join(following, [stay, "step"], "left")
 
 
-def step_edges(steps: DataFrame, stays: DataFrame, stay: str, outcome: str, terminal: str) -> DataFrame:
-    """The steps of :func:`number_steps` with their stays' ends, in the form of :func:`path_edges`."""
-    rows = steps.join(stays.select(stay, F.col(outcome).alias("__out"), F.col(terminal).alias("__end")), stay)
+def _edges(steps: DataFrame) -> DataFrame:
+    """Edges of numbered steps that carry the outcome and the terminal country of their stay."""
     step = F.col("step")
 
     def edge(source: Column, dest: Column, at: Column, kind: int) -> Column:
@@ -121,15 +116,15 @@ def step_edges(steps: DataFrame, stays: DataFrame, stay: str, outcome: str, term
             F.lit(kind).alias("kind"),
         )
 
-    onward = F.array(edge(F.col("place"), F.col("next_place"), step, TO_PLACE))
-    to_outcome = edge(F.col("place"), F.col("__out"), step, TO_OUTCOME)
-    to_terminal = edge(F.col("__out"), F.col("__end"), step + 1, TO_TERMINAL)
+    onward = edge(F.col("place"), F.col("next_place"), step, TO_PLACE)
+    to_outcome = edge(F.col("place"), F.col("outcome"), step, TO_OUTCOME)
+    to_terminal = edge(F.col("outcome"), F.col("terminal"), step + 1, TO_TERMINAL)
     edges = (
-        F.when(step < F.col("n_stints"), onward)
-        .when(F.col("__end").isNull(), F.array(to_outcome))
+        F.when(step < F.col("n_stints"), F.array(onward))
+        .when(F.col("terminal").isNull(), F.array(to_outcome))
         .otherwise(F.array(to_outcome, to_terminal))
     )
-    return rows.select("n_stints", F.explode(edges).alias("e")).select("n_stints", "e.*")
+    return steps.select("n_stints", F.explode(edges).alias("e")).select("n_stints", "e.*")
 
 
 def count_edges(
@@ -141,17 +136,22 @@ def count_edges(
 ) -> DataFrame:
     """Stays per edge. Place codes are replaced by their names, or stay as they are if unnamed.
 
-    Edges are counted by code before the names are looked up, so the lookup joins see one row per
-    different edge and not one per step of a stay.
+    A crosswalk found to be short is broadcast and the names are looked up step by step; one count
+    then does. Otherwise edges are counted by code first, so that the lookup joins see one row per
+    different edge, and again by name.
     """
+    if facilities is None:
+        return edges.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
+    names = crosswalk(facilities, code, name)
+    if is_short(names):
+        named = _named(edges, F.broadcast(names))
+        return named.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
     by_code = edges.groupBy(*keys, *EDGE, "kind").agg(F.count("*").alias("count"))
-    if facilities is not None:
-        is_place = F.col("kind")
-        from_place = F.when(is_place < TO_TERMINAL, F.col("source"))
-        to_place = F.when(is_place == TO_PLACE, F.col("dest"))
-        by_code = label_codes(by_code, facilities, code, name, from_place, "__from")
-        by_code = label_codes(by_code, facilities, code, name, to_place, "__to")
-        by_code = by_code.withColumns(
-            {"source": F.coalesce("__from", "source"), "dest": F.coalesce("__to", "dest")}
-        )
-    return by_code.groupBy(*keys, *EDGE).agg(F.sum("count").alias("count"))
+    return _named(by_code, names).groupBy(*keys, *EDGE).agg(F.sum("count").alias("count"))
+
+
+def _named(edges: DataFrame, names: DataFrame) -> DataFrame:
+    kind = F.col("kind")
+    labelled = label_codes(edges, names, F.when(kind < TO_TERMINAL, F.col("source")), "__from")
+    labelled = label_codes(labelled, names, F.when(kind == TO_PLACE, F.col("dest")), "__to")
+    return labelled.withColumns({"source": F.coalesce("__from", "source"), "dest": F.coalesce("__to", "dest")})

@@ -1,9 +1,9 @@
 """Exact order statistics, summaries, histograms and duration profiles.
 
-Spark's ``percentile`` keeps all distinct values of a group in one task. Here a group is spread:
-values are counted first, the counts are summed into a fixed number of cells per group, and only
-the cell that holds a wanted rank is looked into, twice. Each step sees at most ``FAN_OUT`` cells
-of one group, however many rows the group has.
+Spark's ``percentile`` keeps all distinct values of a group in one task. Here the rows are counted
+into cells of the value range, which happens before the shuffle; the cells that hold the wanted
+ranks are counted into finer cells, and only the rows of those are looked at one by one. Each pass
+shuffles counts, not rows, and a window sees the cells of one group, however many rows it has.
 """
 
 from __future__ import annotations
@@ -15,24 +15,36 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import join_null_safe
 from sojourn.operators.counts import null_count
+from sojourn.session import cut_lineage
 
-#: Cells a range is cut into at each step.
-FAN_OUT_BITS = 12
-STEPS = 2
+#: Cells per unit of the stretched scale, as powers of two: coarse, then fine.
+COARSE_BITS = 8
+FINE_BITS = 24
+#: Wanted cells that may be sent to every executor.
+BROADCAST_CELLS = 200_000
 
 
-def _stretched(value: Column) -> Column:
-    """A monotone scale on which long-tailed values spread over the cells."""
-    return F.signum(value) * F.log1p(F.abs(value))
+def _cell(value: Column) -> Column:
+    """Number of a value's fine cell, in order of the values.
+
+    The scale is logarithmic on both sides of 0, so that short and long values get cells of the same
+    relative width; it depends on no property of the data.
+    """
+    stretched = F.signum(value) * F.log1p(F.abs(value))
+    return F.floor(stretched * float(1 << FINE_BITS))
+
+
+def _low_rank(total: Column, p: float) -> Column:
+    """The lower of the two ranks between which the quantile lies, from 1."""
+    return F.floor((total - 1) * p) + 1
 
 
-def _wanted(before: Column, upto: Column, total: Column, probs: Sequence[float]) -> Column:
-    """Whether one of the ranks needed for ``probs`` lies in ``(before, upto]``."""
+def _holds_rank(before: Column, upto: Column, total: Column, probs: Sequence[float]) -> Column:
+    """Whether a rank needed for ``probs`` lies in ``(before, upto]``."""
     found = F.lit(False)
     for p in probs:
-        low = F.floor((total - 1) * p) + 1
-        found = found | ((before < low) & (low <= upto))
-        found = found | ((before < low + 1) & (low + 1 <= upto))
+        low = _low_rank(total, p)
+        found = found | ((before < low) & (low <= upto)) | ((before < low + 1) & (low + 1 <= upto))
     return found
 
 
@@ -45,59 +57,56 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per group, interpolated linearly between the two nearest ranks; nulls are left out.
 
-    ``probs`` maps output names to probabilities. ``weight`` is a whole number of times a row counts.
+    ``probs`` maps output names to probabilities. ``weight`` is a whole number of times a row
+    counts. ``df`` is read three times. The first reading runs here; it tells whether the wanted
+    cells, two per group and probability at most, are few enough to broadcast.
     """
-    keys = list(keys)
-    times = F.count("*") if weight is None else F.sum(weight)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(times.alias("n"))
-    )
-    u = _stretched(F.col("v"))
-    ends = counted.agg(F.min(u).alias("lo"), F.max(u).alias("hi")).select(F.struct("lo", "hi")).scalar()
-    width = ends["hi"] - ends["lo"]
-    at = F.when(width > 0, (u - ends["lo"]) / width).otherwise(0.0)
-    finest = F.floor(at * float(1 << FAN_OUT_BITS * STEPS))
-    counted = counted.withColumn("cell", finest)
-
-    # per step: cells of the kept cells, with the number of values before each in its group
-    kept = None
-    rows, parent, before_parent = counted, [], F.lit(0)
-    for step in range(1, STEPS + 1):
-        cell = f"cell{step}"
-        coarse = F.shiftright("cell", FAN_OUT_BITS * (STEPS - step))
-        carried = [] if kept is None else ["before", "total"]
-        summed = (
-            rows.withColumn(cell, coarse).groupBy(*keys, *parent, *carried, cell).agg(F.sum("n").alias("n"))
-        )
-        within = Window.partitionBy(*keys, *parent)
-        running = F.sum("n").over(within.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
-        if kept is None:
-            summed = summed.withColumn("total", F.sum("n").over(within))
-        summed = summed.withColumn("upto", before_parent + running).withColumn("before", F.col("upto") - F.col("n"))
-        kept = summed.where(_wanted(F.col("before"), F.col("upto"), F.col("total"), list(probs.values())))
-        kept = kept.select(*keys, cell, "before", "total")
-        parent, before_parent = [cell], F.col("before")
-        rows = join_null_safe(counted.withColumn(cell, coarse), kept, [*keys, cell])
-
-    within = Window.partitionBy(*keys, *parent).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("upto", F.col("before") + F.sum("n").over(within)).withColumn(
-        "below", F.col("upto") - F.col("n")
-    )
-    total = F.col("total")
-    picks = []
-    for i, p in enumerate(probs.values()):
-        low = F.floor((total - 1) * p) + 1
-        for side, rank in (("a", low), ("b", F.least(low + 1, total))):
-            hit = (F.col("below") < rank) & (rank <= F.col("upto"))
-            picks.append(F.max(F.when(hit, F.col("v"))).alias(f"{side}{i}"))
-    found = ranked.groupBy(*keys).agg(F.max(total).alias("total"), *picks)
-    out = []
+    keys, wanted = list(keys), list(probs.values())
+    v = F.col(value).cast("double")
+    times = F.lit(1) if weight is None else F.col(weight)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, v.alias("v"), times.cast("long").alias("n"))
+    fine = rows.withColumn("cell", _cell(F.col("v")))
+    coarse = rows.withColumn("cell", F.shiftright(_cell(F.col("v")), FINE_BITS - COARSE_BITS))
+    whole = Window.unboundedPreceding, Window.unboundedFollowing
+
+    def running(*by: str, order: str) -> tuple[Column, Column]:
+        """Sum of n up to a row, and over all rows, of one window group."""
+        w = Window.partitionBy(*by).orderBy(order)
+        return F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w.rowsBetween(*whole))
+
+    def hits() -> Column:
+        return _holds_rank(F.col("before"), F.col("upto"), F.col("total"), wanted)
+
+    upto, total = running(*keys, order="cell")
+    counted = coarse.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    counted = counted.withColumns({"upto": upto, "total": total}).withColumn("before", F.col("upto") - F.col("n"))
+    coarse_hits = cut_lineage(counted.where(hits()).select(*keys, "cell", "before", "total"))
+    few = coarse_hits.count() <= BROADCAST_CELLS
+
+    def inside(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        return join_null_safe(rows, F.broadcast(cells) if few else cells, [*keys, "cell"])
+
+    upto, _ = running(*keys, "cell", order="fine")
+    shift = FINE_BITS - COARSE_BITS
+    in_coarse = inside(fine.withColumnRenamed("cell", "fine").withColumn("cell", F.shiftright("fine", shift)), coarse_hits)
+    counted = in_coarse.groupBy(*keys, "cell", "before", "total", "fine").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("n"))
+    fine_hits = counted.where(hits()).select(*keys, F.col("fine").alias("cell"), "before", "total")
+
+    upto, _ = running(*keys, "cell", order="v")
+    counted = inside(fine, fine_hits).groupBy(*keys, "cell", "before", "total", "v").agg(F.sum("n").alias("n"))
+    ranked = counted.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("n"))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") < rank) & (rank <= F.col("upto")), F.col("v")))
+
+    total, picks, out = F.col("total"), [], []
     for i, (name, p) in enumerate(probs.items()):
-        h = (total - 1) * p
-        out.append((F.col(f"a{i}") + (h - F.floor(h)) * (F.col(f"b{i}") - F.col(f"a{i}"))).alias(name))
-    return found.select(*keys, *out)
+        low = _low_rank(total, p)
+        picks += [value_at(low).alias(f"a{i}"), value_at(F.least(low + 1, total)).alias(f"b{i}")]
+        beyond = (total - 1) * p - F.floor((total - 1) * p)
+        out.append((F.col(f"a{i}") + beyond * (F.col(f"b{i}") - F.col(f"a{i}"))).alias(name))
+    return ranked.groupBy(*keys).agg(F.max(total).alias("total"), *picks).select(*keys, *out)
 
 
 # The six numbers of a summary that are quantiles.
@@ -106,13 +115,10 @@ SIX = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 def summary(df: DataFrame, value: str) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of nulls of a column, in one row."""
-    one = F.lit(1).alias("one")
-    rest = df.agg(F.avg(value).alias("mean"), null_count(F.col(value)).alias("n_null"), one)
-    return (
-        quantiles(df, value, SIX)
-        .withColumn("one", F.lit(1))
-        .join(rest, "one")
-        .select("min", "q1", "median", "mean", "q3", "max", "n_null")
+    rest = df.agg(F.avg(value).alias("mean"), null_count(F.col(value)).alias("n_null"))
+    rest = rest.select(F.struct("mean", "n_null")).scalar()
+    return quantiles(df, value, SIX).select(
+        "min", "q1", "median", rest["mean"].alias("mean"), "q3", "max", rest["n_null"].alias("n_null")
     )
 
 
@@ -122,7 +128,7 @@ def duration_profile(
     """Mean, median and longest duration per place, its stints and its distinct people (null counts once).
 
     Rows are first reduced to one per place and person, so neither a hot place nor a hot person
-    reaches one task whole.
+    reaches one task whole. ``df`` is read four times: write a costly one first.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     per_person = df.groupBy(key, on).agg(

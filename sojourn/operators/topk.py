@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.functions.nulls import ascending, descending
+from sojourn.functions.nulls import ascending, descending, join_null_safe
 from sojourn.session import cut_lineage
 
 
@@ -25,29 +25,33 @@ def top_n_with_ties(df: DataFrame, by: str, n: int) -> DataFrame:
 def top_paths(df: DataFrame, path: str, n: int, extra_keys: Sequence[str] = ()) -> DataFrame:
     """All rows on the paths that occur in the ``n`` commonest combinations of path and extra keys.
 
-    The rows are chosen by path alone, so fewer than ``n`` different paths may remain.
+    The rows are chosen by path alone, so fewer than ``n`` different paths may remain. The chosen
+    paths, ``n`` rows at most, are broadcast.
     """
     keys = [path, *extra_keys]
     counted = df.groupBy(*keys).agg(F.count("*").alias("count"))
-    common = top_n(counted, [*descending("count"), *ascending(*keys)], n).select(path).distinct()
-    return df.join(common, path, "left_semi")
+    common = top_n(counted, [*descending("count"), *ascending(*keys)], n).select(path)
+    return df.join(F.broadcast(common), path, "left_semi")
 
 
-def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
-    """Number the rows from 1 in the given order, in a first column.
+def with_row_index(
+    df: DataFrame, order: Sequence[Column], name: str = "row_index", by: Sequence[str] = ()
+) -> DataFrame:
+    """Number the rows from 1 in the given order, over all rows or per ``by`` key, in a first column.
 
-    The sorted rows are written once; each sorted partition then needs only the number of rows
-    before it, so no task sees more than its own partition.
+    One global sort spreads even a single key over many partitions. The sorted rows are written
+    once; after that a partition only has to know how many rows of a key lie in the partitions
+    before it. No task sees more than its own partition.
     """
-    place = F.monotonically_increasing_id()
-    ordered = cut_lineage(df.orderBy(*order).withColumn("__place", place))
-    part = F.shiftright("__place", 33)
-    sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    position = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        ordered.withColumn("__part", part)
-        .join(starts, "__part")
-        .select((F.col("__start") + position + 1).alias(name), *df.columns)
+    keys = list(by)
+    in_order = df.orderBy(*ascending(*keys), *order)
+    ordered = cut_lineage(in_order.withColumn("__at", F.monotonically_increasing_id()))
+    # the upper bits of the id are the partition, the lower ones count its rows
+    rows = ordered.withColumn("__part", F.shiftright("__at", 33))
+    runs = rows.groupBy("__part", *keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        "__part", *keys, "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start")
     )
+    position = F.col("__start") + F.col("__at") - F.col("__first") + 1
+    return join_null_safe(rows, starts, ["__part", *keys]).select(position.alias(name), *df.columns)

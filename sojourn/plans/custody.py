@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.dates import as_date, days_between, hours_between, in_period, whole_days_between
-from sojourn.functions.nulls import descending
+from sojourn.functions.nulls import descending, join_null_safe
 from sojourn.functions.text import passes_through, title_case
 from sojourn.operators.classify import STILL_HELD, outcome, terminal
 from sojourn.operators.cohort import drop_flagged, restrict_to
@@ -23,6 +23,7 @@ from sojourn.operators.occupancy import Grid, occupancy
 from sojourn.operators.paths import count_edges, path_edges
 from sojourn.operators.quantiles import duration_profile, histogram
 from sojourn.operators.topk import top_paths
+from sojourn.session import cut_lineage
 
 ID = "unique_identifier"
 CODE = "detention_facility_code"
@@ -66,12 +67,12 @@ def arrested_stays(stays: DataFrame, arrests: DataFrame) -> DataFrame:
     first = F.min(F.struct("apprehension_date_time", "apprehension_criminality"))
     by_person = arrests.groupBy(ID).agg(F.count("*").alias("n_arrests"), first.alias("first"))
     by_person = by_person.select(ID, "n_arrests", F.col("first.apprehension_criminality").alias("apprehension_criminality"))
-    return stays.join(by_person, ID)
+    return join_null_safe(stays, by_person, [ID])
 
 
 def merged_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """Number of rows and of people in the merge of two tables, without merging their rows."""
-    both = person_weights(left, ID, "n_left").join(person_weights(right, ID, "n_right"), ID)
+    both = join_null_safe(person_weights(left, ID, "n_left"), person_weights(right, ID, "n_right"), [ID])
     return both.agg(
         F.sum(F.col("n_left") * F.col("n_right")).alias("n_rows"), F.count("*").alias("n_people")
     )
@@ -82,7 +83,7 @@ def arrested_stints(stints: DataFrame, arrests: DataFrame) -> DataFrame:
 
     A stint counts once per arrest, as in the merge of the two tables.
     """
-    return drop_flagged(stints, "likely_duplicate").join(person_weights(arrests, ID), ID)
+    return join_null_safe(drop_flagged(stints, "likely_duplicate"), person_weights(arrests, ID), [ID])
 
 
 def latest_stays(stays: DataFrame, tiebreak: str) -> DataFrame:
@@ -152,9 +153,12 @@ def with_durations(stints: DataFrame) -> DataFrame:
 def stint_profile(stints: DataFrame, facilities: DataFrame, weight: str | None = None) -> DataFrame:
     """Duration profile per facility of the closed stints, with its name and state, most people first.
 
-    The facility's name is looked up for the finished profile rows, not for the stints.
+    The facility's name is looked up for the finished profile rows, not for the stints. Weighted
+    stints come from a join, which is run once and its four columns written.
     """
     closed = with_durations(stints.where(F.col("book_out_date_time").isNotNull()))
+    if weight is not None:
+        closed = cut_lineage(closed.select(CODE, ID, "stint_duration_day", weight))
     profile = duration_profile(closed, CODE, "stint_duration_day", ID, weight)
     named = lookup(profile, facilities.select(CODE, "name", "state"), CODE)
     return named.select(
@@ -179,7 +183,7 @@ def duration_histogram(durations: DataFrame, breaks: int = 60) -> DataFrame:
 def length_shares(stays: DataFrame) -> DataFrame:
     """Stays per number of stints and their percentage of all."""
     counted = freq(stays, "n_stints", sort="key")
-    everyone = stays.agg(F.count("*")).scalar()
+    everyone = counted.agg(F.sum("count")).scalar()
     return counted.withColumn("percent", F.lit(100.0) * F.col("count") / everyone)
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sojourn.operators.counts import freq
 from sojourn.operators.occupancy import Grid, daily, occupancy_wide, weekly
-from sojourn.operators.paths import count_edges, number_steps, step_edges
+from sojourn.operators.hot import split_by_group_size
+from sojourn.operators.paths import count_edges, small_steps, stint_edges
+from sojourn.operators.quantiles import summary
 from sojourn.plans import arrests as arrest_plans
 from sojourn.plans import custody, detainers, fixtures, population
 from sojourn.plans.fixtures import ctes, table
@@ -31,9 +33,9 @@ OPEN_END = date(1998, 4, 15)
 LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(*["l_orderkey", *LINE_ORDER], F.col("l_suppkey").alias("code"))
-    return number_steps(lines, "l_orderkey", "code", LINE_ORDER, chunk=["l_linenumber", "l_shipdate"])
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.col("l_suppkey").cast("string").alias("code")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, code)
 
 
 def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +43,20 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    closed = table(spark, sf_dir, "orders").withColumn(
-        "c_custkey", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))
-    )
-    homes = homes.select("c_custkey", F.col("n_name").alias("terminal"))
-    return closed.join(homes, "c_custkey", "left").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("outcome"), "terminal"
+    status = F.col("o_orderstatus")
+    orders = table(spark, sf_dir, "orders").join(homes, F.col("o_custkey") == F.col("c_custkey"))
+    return orders.select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        status.alias("outcome"),
+        F.when(status == "F", F.col("n_name")).alias("terminal"),
     )
 
 
+def _line_edges(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
+    lines, ends = _lines(spark, sf_dir), _ends(spark, sf_dir)
+    return stint_edges(lines, ends, "l_orderkey", "code", LINE_ORDER, "outcome", "terminal", longest)
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
@@ -80,28 +87,24 @@ edges AS (
 @query(EDGES + "SELECT source, dest, step_from, step_to, count(*) AS count FROM edges GROUP BY ALL")
 def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted flow edges of all stays."""
-    steps = _steps(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("place", "next_place")})
-    edges = step_edges(steps, _ends(spark, sf_dir), "l_orderkey", "outcome", "terminal")
-    return count_edges(edges, _places(spark, sf_dir))
+    return count_edges(_line_edges(spark, sf_dir), _places(spark, sf_dir))
 
 
 @query(EDGES + "SELECT n_stints, source, dest, step_from, step_to, count(*) AS count FROM edges WHERE n_stints <= 5 GROUP BY ALL")
 def path_edges_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per number of stints, for one to five, in one job."""
-    steps = _steps(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("place", "next_place")})
-    edges = step_edges(
-        steps.where(F.col("n_stints") <= 5), _ends(spark, sf_dir), "l_orderkey", "outcome", "terminal"
-    )
-    return count_edges(edges, _places(spark, sf_dir), keys=["n_stints"])
+    return count_edges(_line_edges(spark, sf_dir, longest=5), _places(spark, sf_dir), keys=["n_stints"])
 
 
 def _short_paths(spark: SparkSession, sf_dir: str, n_stints: int) -> DataFrame:
     """Stays of one length with path strings; at most ``n_stints`` rows are brought together per stay."""
-    steps = _steps(spark, sf_dir).where(F.col("n_stints") == n_stints)
+    lines = _lines(spark, sf_dir).withColumnRenamed("code", "place")
+    steps = small_steps(split_by_group_size(lines, ["l_orderkey"]).small, "l_orderkey", LINE_ORDER)
     flags = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("place"), F.when(F.col("s_acctbal") < 5000, "LOW").otherwise("HIGH").alias("flag")
+        F.col("s_suppkey").cast("string").alias("place"),
+        F.when(F.col("s_acctbal") < 5000, "LOW").otherwise("HIGH").alias("flag"),
     )
-    listed = steps.join(flags, "place").groupBy("l_orderkey", "n_stints")
+    listed = steps.where(F.col("n_stints") == n_stints).join(flags, "place").groupBy("l_orderkey", "n_stints")
     items = F.sort_array(F.collect_list(F.struct("step", "flag")))
     paths = listed.agg(F.array_join(items["flag"], "; ").alias("path"))
     return paths.join(_ends(spark, sf_dir), "l_orderkey").select(
@@ -366,8 +369,6 @@ def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(0 AS BIGINT) AS n_null FROM {ONE_PLACE}"""
 )
 def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sojourn.operators.quantiles import summary
-
     found = summary(_durations(spark, sf_dir), "stint_duration_day")
     return rounded(found, "min", "q1", "median", "mean", "q3", "max")
 

@@ -34,14 +34,14 @@ from sojourn.operators.counts import (
     table_of,
 )
 from sojourn.operators.dedupe import collapse_episodes, concat_over, dedupe_first, latest
-from sojourn.operators.joins import label_codes, lookup, merge_inner
+from sojourn.operators.joins import crosswalk, label_codes, lookup, merge_inner
 from sojourn.operators.pivot import fold_other, pivot_wide, pivot_with_total, row_total
 from sojourn.operators.quantiles import duration_profile, histogram, quantiles, summary
 from sojourn.operators.rolling import rolling_mean_centered
 from sojourn.operators.topk import top_n, top_n_with_ties, with_row_index
 from sojourn.plans.fixtures import facilities, stints, table
 from sojourn.plans.registry import query
-from sojourn.session import shared_dir
+from sojourn.session import cut_lineage, shared_dir
 from sojourn.sources.sinks import sink_csv
 from sojourn.sources.tables import file_info, register, scan_csv
 
@@ -218,9 +218,9 @@ def lookup_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") >= 5000)
-    half = half.select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name"))
+    names = crosswalk(half.withColumn("code", F.col("s_suppkey").cast("string")), "code", "s_name")
     counted = stints(spark, sf_dir).groupBy("detention_facility_code").agg(F.count("*").alias("n_rows"))
-    labelled = label_codes(counted, half, "code", "name", "detention_facility_code", "label")
+    labelled = label_codes(counted, names, "detention_facility_code", "label")
     return labelled.groupBy("label").agg(F.sum("n_rows").alias("n_rows"))
 
 
@@ -379,7 +379,8 @@ def duration_profile_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey")
     rows = rows.select("l_suppkey", "l_partkey", days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("d"))
-    profile = duration_profile(rows, "l_suppkey", "d", "l_partkey")
+    # the profile reads its rows several times: join them once
+    profile = duration_profile(cut_lineage(rows), "l_suppkey", "d", "l_partkey")
     return rounded(profile, "avg_stint_days", "median_stint_days", "max_stint_days")
 
 
@@ -411,7 +412,7 @@ def latest_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_custkey, 0 AS part, string_agg(o_orderpriority || '; ', '' ORDER BY o_orderdate, o_orderkey) AS path,
+    """SELECT o_custkey, CAST(0 AS BIGINT) AS part, string_agg(o_orderpriority || '; ', '' ORDER BY o_orderdate, o_orderkey) AS path,
       min(o_orderdate) AS o_orderdate, CAST(count(*) AS BIGINT) AS n_stints, count(*) AS n_rows
     FROM orders GROUP BY o_custkey""",
     name="collapse_episodes",
