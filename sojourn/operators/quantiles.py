@@ -1,9 +1,10 @@
 """Exact order statistics, summaries, histograms and duration profiles.
 
-Spark's ``percentile`` keeps all distinct values of a group in one task. Here the rows are counted
-into cells of the value range, which happens before the shuffle; the cells that hold the wanted
-ranks are counted into finer cells, and only the rows of those are looked at one by one. Each pass
-shuffles counts, not rows, and a window sees the cells of one group, however many rows it has.
+Spark's ``percentile`` keeps all distinct values of a group in one task, which is right for groups
+of a known size. A bigger group is counted into cells of the value range, which happens before the
+shuffle; the cells that hold the wanted ranks are counted into finer cells, and only the rows of
+those are looked at one by one. Each pass shuffles counts, not rows, and a window sees the cells of
+one group, however many rows it has.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import join_null_safe
 from sojourn.operators.counts import null_count
+from sojourn.operators.hot import GROUP_LIMIT, split_by_group_size
+from sojourn.operators.joins import is_short
 from sojourn.session import cut_lineage
 
 #: Cells per unit of the stretched scale, as powers of two: coarse, then fine.
@@ -54,17 +57,35 @@ def quantiles(
     probs: dict[str, float],
     keys: Sequence[str] = (),
     weight: str | None = None,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Quantiles per group, interpolated linearly between the two nearest ranks; nulls are left out.
 
-    ``probs`` maps output names to probabilities. ``weight`` is a whole number of times a row
-    counts. ``df`` is read three times. The first reading runs here; it tells whether the wanted
-    cells, two per group and probability at most, are few enough to broadcast.
+    ``probs`` maps output names to probabilities. ``weight`` is a whole number of times a row counts.
+    Groups of more than ``limit`` rows are spread, which reads them three times.
     """
-    keys, wanted = list(keys), list(probs.values())
+    keys = list(keys)
     v = F.col(value).cast("double")
     times = F.lit(1) if weight is None else F.col(weight)
     rows = df.where(F.col(value).isNotNull()).select(*keys, v.alias("v"), times.cast("long").alias("n"))
+    if not keys:
+        return _held(rows, probs, keys) if is_short(rows, limit) else _spread(rows, probs, keys)
+    split = split_by_group_size(rows, keys, limit)
+    held = _held(split.small, probs, keys)
+    if split.large is None:
+        return held
+    return held.unionByName(_spread(split.large.drop("group_rows"), probs, keys))
+
+
+def _held(rows: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    found = rows.groupBy(*keys).agg(F.percentile("v", list(probs.values()), F.col("n")).alias("found"))
+    return found.select(*keys, *[F.col("found")[i].alias(name) for i, name in enumerate(probs)])
+
+
+def _spread(rows: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    """The first reading runs here; it tells whether the wanted cells, two per group and probability
+    at most, are few enough to broadcast."""
+    wanted = list(probs.values())
     fine = rows.withColumn("cell", _cell(F.col("v")))
     coarse = rows.withColumn("cell", F.shiftright(_cell(F.col("v")), FINE_BITS - COARSE_BITS))
     whole = Window.unboundedPreceding, Window.unboundedFollowing
@@ -113,11 +134,11 @@ def quantiles(
 SIX = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
-def summary(df: DataFrame, value: str) -> DataFrame:
+def summary(df: DataFrame, value: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of nulls of a column, in one row."""
     rest = df.agg(F.avg(value).alias("mean"), null_count(F.col(value)).alias("n_null"))
     rest = rest.select(F.struct("mean", "n_null")).scalar()
-    return quantiles(df, value, SIX).select(
+    return quantiles(df, value, SIX, limit=limit).select(
         "min", "q1", "median", rest["mean"].alias("mean"), "q3", "max", rest["n_null"].alias("n_null")
     )
 
@@ -128,7 +149,7 @@ def duration_profile(
     """Mean, median and longest duration per place, its stints and its distinct people (null counts once).
 
     Rows are first reduced to one per place and person, so neither a hot place nor a hot person
-    reaches one task whole. ``df`` is read four times: write a costly one first.
+    reaches one task whole. ``df`` is read several times: write a costly one first.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     per_person = df.groupBy(key, on).agg(

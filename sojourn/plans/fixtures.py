@@ -68,7 +68,7 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("detention_facility_code"),
         F.col("l_shipdate").alias("stay_book_in_date_time"),
         F.expr("timestampadd(HOUR, 700, l_shipdate)").alias("stay_book_out_date_time"),
-        F.expr("timestampadd(HOUR, l_linenumber, l_shipdate)").alias("book_in_date_time"),
+        F.col("l_shipdate").alias("book_in_date_time"),
         F.expr(
             """CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL
                     WHEN l_quantity = 50 THEN timestampadd(HOUR, -48, l_shipdate)
@@ -176,7 +176,7 @@ outcomes AS (
     "stints": """stints AS (
   SELECT CAST(l_partkey AS VARCHAR) AS unique_identifier, CAST(l_suppkey AS VARCHAR) AS detention_facility_code,
     l_shipdate AS stay_book_in_date_time, l_shipdate + to_hours(700) AS stay_book_out_date_time,
-    l_shipdate + to_hours(l_linenumber) AS book_in_date_time,
+    l_shipdate AS book_in_date_time,
     CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL
          WHEN l_quantity = 50 THEN l_shipdate - to_hours(48)
          ELSE l_shipdate + to_seconds(CAST(floor(l_extendedprice) * 20 AS BIGINT)) END AS book_out_date_time,

@@ -334,10 +334,14 @@ def share_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Order statistics
 
+#: A low limit, so that the test tables too take the way of the big groups.
+HELD = 500
+
 
 @query("SELECT round(quantile_cont(value, 0.9), 9) AS p90 FROM events")
 def quantile_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quantiles(table(spark, sf_dir, "events"), "value", {"p90": 0.9}), "p90", digits=9)
+    found = quantiles(table(spark, sf_dir, "events"), "value", {"p90": 0.9}, limit=HELD)
+    return rounded(found, "p90", digits=9)
 
 
 @query(
@@ -345,7 +349,7 @@ def quantile_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events GROUP BY event_type"""
 )
 def quantiles_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quantiles(table(spark, sf_dir, "events"), "value", {"p10": 0.1, "p50": 0.5}, ["event_type"])
+    found = quantiles(table(spark, sf_dir, "events"), "value", {"p10": 0.1, "p50": 0.5}, ["event_type"], limit=HELD)
     return rounded(found, "p10", "p50", digits=9)
 
 
@@ -357,7 +361,7 @@ def quantiles_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def summary6(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(F.col("event_type") != "error", F.col("value"))
-    found = summary(table(spark, sf_dir, "events").select(known.alias("v")), "v")
+    found = summary(table(spark, sf_dir, "events").select(known.alias("v")), "v", limit=HELD)
     return rounded(found, "min", "q1", "median", "mean", "q3", "max")
 
 
