@@ -10,12 +10,21 @@ from sojourn.functions.nulls import ascending, descending
 from sojourn.operators.topk import top_n
 
 
-def freq(df: DataFrame, *keys: str, n: int | None = None, sort: str = "count", name: str = "count") -> DataFrame:
+def freq(
+    df: DataFrame,
+    *keys: str,
+    n: int | None = None,
+    sort: str = "count",
+    name: str = "count",
+    weight: str | None = None,
+) -> DataFrame:
     """Rows per key, commonest first (``sort="count"``) or in key order (``sort="key"``).
 
-    Null is a key. Ties are in key order. ``n`` keeps the first rows of the table.
+    Null is a key. Ties are in key order. ``n`` keeps the first rows of the table. ``weight`` is the
+    number of times a row counts.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias(name))
+    rows = F.count("*") if weight is None else F.sum(weight)
+    counted = df.groupBy(*keys).agg(rows.alias(name))
     by_key = ascending(*keys)
     order = [*descending(name), *by_key] if sort == "count" else by_key
     return counted.orderBy(*order) if n is None else top_n(counted, order, n)
@@ -44,9 +53,12 @@ def n_people_by(df: DataFrame, keys: list[str], on: str, name: str = "n_people")
     return df.select(*keys, on).distinct().groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def share(cond: Column) -> Column:
+def share(cond: Column, weight: Column | None = None) -> Column:
     """Aggregate: the part of the rows that meet a condition, over rows where it is known."""
-    return F.avg(cond.cast("double"))
+    met = cond.cast("double")
+    if weight is None:
+        return F.avg(met)
+    return F.sum(met * weight) / F.sum(F.when(met.isNotNull(), weight))
 
 
 def null_count(col: Column) -> Column:

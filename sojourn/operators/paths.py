@@ -73,7 +73,8 @@ def stint_edges(
     steps = small_steps(split.small, stay, order)
     if longest is not None:
         steps = steps.where(F.col("n_stints") <= longest)
-    edges = _edges(steps.join(ends, stay))
+    # the window left the steps partitioned and sorted by stay, so a merge join moves only the ends
+    edges = _edges(steps.join(ends.hint("merge"), stay))
     if split.large is None or (longest is not None and longest <= limit):
         return edges
     large = large_steps(split.large, stay, order)
@@ -143,7 +144,7 @@ def count_edges(
     if facilities is None:
         return edges.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
     names = crosswalk(facilities, code, name)
-    if is_short(names):
+    if is_short(facilities):
         named = _named(edges, F.broadcast(names))
         return named.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
     by_code = edges.groupBy(*keys, *EDGE, "kind").agg(F.count("*").alias("count"))

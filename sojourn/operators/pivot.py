@@ -25,7 +25,7 @@ def pivot_wide(
     """One column per name, one value per cell; a missing cell is null, or ``fill``.
 
     A null name becomes the column ``NA``. Pass ``values`` when the names are known: it saves the job
-    that looks for them.
+    that looks for them, which refuses more than ``spark.sql.pivotMaxValues`` names.
     """
     named = df.withColumn("__name", na_text(F.col(names)))
     grouped = named.groupBy(*rows)

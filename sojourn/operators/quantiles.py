@@ -180,15 +180,19 @@ def pretty_width(lo: Column, hi: Column, cells: int) -> Column:
     return base * step
 
 
-def histogram(df: DataFrame, value: str, width: float | None = None, breaks: int | None = None) -> DataFrame:
+def histogram(
+    df: DataFrame, value: str, width: float | None = None, breaks: int | None = None, weight: str | None = None
+) -> DataFrame:
     """Rows per bin of a fixed width, bins closed on the right and the lowest one on both sides.
 
     Give the width, or an approximate number of ``breaks`` to choose a round width from the range.
+    ``weight`` is the number of times a row counts.
     """
     if (width is None) == (breaks is None):
         raise ValueError("give either width or breaks")
     v = F.col(value).cast("double")
-    known = df.where(v.isNotNull()).select(v.alias("v"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    known = df.where(v.isNotNull()).select(v.alias("v"), times.cast("long").alias("n"))
     if width is not None:
         size = F.lit(float(width))
         lowest = known.agg(F.min("v").alias("lo")).scalar()
@@ -198,9 +202,6 @@ def histogram(df: DataFrame, value: str, width: float | None = None, breaks: int
         lowest, size = ends["lo"], ends["size"]
     first = F.floor(lowest / size)
     bin_no = F.greatest(F.ceil(F.col("v") / size) - 1, first)
-    return (
-        known.select(bin_no.alias("bin"), size.alias("size"))
-        .groupBy("bin", "size")
-        .agg(F.count("*").alias("count"))
-        .select((F.col("bin") * F.col("size")).alias("bin_from"), ((F.col("bin") + 1) * F.col("size")).alias("bin_to"), "count")
-    )
+    bin_from, bin_to = F.col("bin") * F.col("size"), (F.col("bin") + 1) * F.col("size")
+    counted = known.select(bin_no.alias("bin"), size.alias("size"), "n").groupBy("bin", "size")
+    return counted.agg(F.sum("n").alias("count")).select(bin_from.alias("bin_from"), bin_to.alias("bin_to"), "count")

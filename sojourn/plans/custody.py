@@ -166,18 +166,19 @@ def stint_profile(stints: DataFrame, facilities: DataFrame, weight: str | None =
     ).orderBy(*descending("n_people"), F.col("name").asc_nulls_last())
 
 
-def place_durations(stints: DataFrame, place: str, code: str = CODE) -> DataFrame:
-    """Durations in days of the closed stints in one place."""
+def place_durations(stints: DataFrame, place: str, code: str = CODE, weight: str | None = None) -> DataFrame:
+    """Durations in days of the closed stints in one place; a weight tells how often each counts."""
     here = stints.where((F.col(code) == place) & F.col("book_out_date_time").isNotNull())
-    return with_durations(here).select("stint_duration_day")
+    return with_durations(here).select("stint_duration_day", *([] if weight is None else [weight]))
 
 
-def long_stay_share(durations: DataFrame, days: float) -> DataFrame:
-    return durations.agg(share(F.col("stint_duration_day") > days).alias("share"))
+def long_stay_share(durations: DataFrame, days: float, weight: str | None = None) -> DataFrame:
+    longer = F.col("stint_duration_day") > days
+    return durations.agg(share(longer, None if weight is None else F.col(weight)).alias("share"))
 
 
-def duration_histogram(durations: DataFrame, breaks: int = 60) -> DataFrame:
-    return histogram(durations, "stint_duration_day", breaks=breaks)
+def duration_histogram(durations: DataFrame, breaks: int = 60, weight: str | None = None) -> DataFrame:
+    return histogram(durations, "stint_duration_day", breaks=breaks, weight=weight)
 
 
 def length_shares(stays: DataFrame) -> DataFrame:
