@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending, join_null_safe
-from sojourn.operators.hot import GROUP_LIMIT, split_by_group_size
+from sojourn.operators.hot import HELD_LIMIT, split_by_group_size
 from sojourn.operators.topk import with_row_index
 
 
@@ -47,7 +47,7 @@ def _strung(parted: DataFrame, on: str, time: str, path: str, tiebreak: Sequence
 
 
 def collapse_episodes(
-    df: DataFrame, on: str, time: str, path: str, n_stints: str, tiebreak: Sequence[str], limit: int = GROUP_LIMIT
+    df: DataFrame, on: str, time: str, path: str, n_stints: str, tiebreak: Sequence[str], limit: int = HELD_LIMIT
 ) -> DataFrame:
     """One row per id: its path strings joined in order of time, its first time, and the sum of its stints.
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from sojourn.functions.nulls import join_null_safe
 from sojourn.session import cut_lineage
 
-#: Rows of one group that one task may hold in order.
+#: Rows of one group that one task may put in order; a sort spills.
 GROUP_LIMIT = 200_000
+#: Rows of one group that an aggregate may hold in memory; a task holds a hundred or so at a time.
+HELD_LIMIT = 20_000
 #: Keys of oversized groups that may be sent to every executor.
 BROADCAST_KEYS = 100_000
 

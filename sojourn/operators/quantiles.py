@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import join_null_safe
 from sojourn.operators.counts import null_count
-from sojourn.operators.hot import GROUP_LIMIT, split_by_group_size
+from sojourn.operators.hot import HELD_LIMIT, split_by_group_size
 from sojourn.operators.joins import is_short
 from sojourn.session import cut_lineage
 
@@ -57,7 +57,7 @@ def quantiles(
     probs: dict[str, float],
     keys: Sequence[str] = (),
     weight: str | None = None,
-    limit: int = GROUP_LIMIT,
+    limit: int = HELD_LIMIT,
 ) -> DataFrame:
     """Quantiles per group, interpolated linearly between the two nearest ranks; nulls are left out.
 
@@ -134,7 +134,7 @@ def _spread(rows: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFr
 SIX = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
-def summary(df: DataFrame, value: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def summary(df: DataFrame, value: str, limit: int = HELD_LIMIT) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of nulls of a column, in one row."""
     rest = df.agg(F.avg(value).alias("mean"), null_count(F.col(value)).alias("n_null"))
     rest = rest.select(F.struct("mean", "n_null")).scalar()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending, descending, join_null_safe
+from sojourn.operators.joins import is_short
 from sojourn.session import cut_lineage
 
 
@@ -53,5 +54,10 @@ def with_row_index(
     starts = runs.select(
         "__part", *keys, "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start")
     )
+    if keys:
+        starts = cut_lineage(starts)
+    # one run per partition and key in it; without keys that is one per partition
+    if not keys or is_short(starts):
+        starts = F.broadcast(starts)
     position = F.col("__start") + F.col("__at") - F.col("__first") + 1
     return join_null_safe(rows, starts, ["__part", *keys]).select(position.alias(name), *df.columns)

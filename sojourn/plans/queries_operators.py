@@ -70,9 +70,11 @@ def view_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register(rows.select("o_orderkey", "o_custkey", "o_orderdate"), "period_orders")
 
 
-@query("SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
+@query("SELECT count(*) AS n_rows, true AS all_sized FROM lineitem")
 def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_info(table(spark, sf_dir, "lineitem")).select("file_name", "n_rows")
+    """Rows over the files of a table, and whether each file has a size."""
+    files = file_info(table(spark, sf_dir, "lineitem"))
+    return files.agg(F.sum("n_rows").alias("n_rows"), F.min(F.col("file_size") > 0).alias("all_sized"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS count FROM orders GROUP BY ALL")
@@ -247,10 +249,10 @@ def cohort_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only_in(everyone, recent.select(F.col("o_custkey").alias("id")), "id")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('NATION_1', 'NATION_3', 'NATION_8')")
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM')")
 def restrict_to_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return restrict_to_ids(nations, "n_name", ["NATION_1", "NATION_3", "NATION_8"])
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return restrict_to_ids(orders, "o_orderpriority", ["1-URGENT", "3-MEDIUM"])
 
 
 # Counts
