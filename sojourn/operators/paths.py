@@ -86,7 +86,7 @@ def stint_edges(
 
 def small_steps(rows: DataFrame, stay: str, order: Sequence[str]) -> DataFrame:
     """Number the stints of each stay: ``(stay, step, n_stints, place, next_place)``."""
-    ordered = Window.partitionBy(stay).orderBy(*order)
+    ordered = Window.partitionBy(stay).orderBy(*ascending(*order))
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.select(
         stay,

@@ -23,8 +23,9 @@ from sojourn.session import cut_lineage
 #: Cells per unit of the stretched scale, as powers of two: coarse, then fine.
 COARSE_BITS = 8
 FINE_BITS = 24
-#: Wanted cells that may be sent to every executor.
-BROADCAST_CELLS = 200_000
+#: Wanted coarse cells up to which cells may be sent to every executor. Each holds at most two ranks
+#: per probability, so the wanted fine cells are not many more.
+BROADCAST_CELLS = 100_000
 
 
 def _cell(value: Column) -> Column:

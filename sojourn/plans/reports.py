@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.dates import as_date, in_period
-from sojourn.operators.cohort import drop_flagged
-from sojourn.operators.counts import freq
+from sojourn.operators.cohort import drop_flagged, repeated
+from sojourn.operators.counts import freq, n_people
 from sojourn.operators.occupancy import daily, occupancy_wide, weekly
-from sojourn.operators.quantiles import summary
+from sojourn.operators.paths import path_mismatches
+from sojourn.operators.quantiles import quantiles, summary
 from sojourn.plans import arrests as arrest_plans
 from sojourn.plans import custody, detainers, population
 from sojourn.sources.sinks import sink_csv
@@ -80,10 +81,15 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
     prior_arrests = custody.arrests_in(inputs.arrests, scope.state, scope.prior_since, scope.since)
 
     out = {
+        "arrested_people": n_people(period_arrests, custody.ID),
+        "arrested_again": repeated(period_arrests, custody.ID),
         "merged_rows": custody.merged_rows(period_stays, period_arrests),
+        "release_reasons": freq(latest, "stay_release_reason"),
         "detention_by_outcome": custody.outcome_counts(latest),
         "deportation_by_country": custody.terminal_counts(latest),
         "length_shares": custody.length_shares(latest),
+        "length_p90": quantiles(latest, "n_stints", {"p90": 0.9}),
+        "path_mismatches": path_mismatches(latest, custody.PATH, "n_stints"),
         "flow_by_length": custody.flow(latest, inputs.facilities, by_length=True),
         "flow_2_simplified": custody.simplified_flow(latest, 2, 4, by_country=True, facilities=inputs.facilities),
         "flow_3_simplified": custody.simplified_flow(latest, 3, 9, facilities=inputs.facilities),
@@ -125,6 +131,7 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
 
     held = drop_flagged(inputs.stints.where(F.col(custody.CODE) == scope.facility), "likely_duplicate")
     held = held.where(in_period(as_date(F.col(custody.BOOK_IN)), scope.since))
+    out["held_people"] = n_people(held, custody.ID)
     out["held_summary"] = summary(custody.with_durations(held), "stint_duration_hr")
     stays_since = period_stays.where(in_period(as_date(F.col(custody.BOOK_IN)), scope.since))
     out["held_not_arrested"] = arrest_plans.held_not_arrested(stays_since, period_arrests)

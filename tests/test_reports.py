@@ -77,10 +77,13 @@ def rows(df):
 
 def test_cohort_and_outcomes(reports):
     # the merge has a row per stay and arrest: p1 has 2 x 2, p2 1 x 1; p4's arrest is not after the first day
+    assert rows(reports["arrested_people"]) == {(2,)} and rows(reports["arrested_again"]) == {("p1", 2)}
     assert rows(reports["merged_rows"]) == {(5, 2)}
     assert rows(reports["detention_by_outcome"]) == {("Deported from country", 1), ("Detained as of early March", 1)}
     assert rows(reports["deportation_by_country"]) == {("Mexico", 1)}
     assert rows(reports["length_shares"]) == {(1, 1, 50.0), (2, 1, 50.0)}
+    assert rows(reports["length_p90"]) == {(1.9,)} and rows(reports["path_mismatches"]) == {(0, 2)}
+    assert rows(reports["held_people"]) == {(1,)} and rows(reports["release_reasons"]) == {("Removed", 1), (None, 1)}
     assert rows(reports["stay_lengths"]) == {(10, 1)}
     assert rows(reports["held_not_arrested"]) == {("p6",)}
     assert rows(reports["prior_release_reasons"]) == {("Paroled", 1)}
