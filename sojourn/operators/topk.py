@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending, descending, join_null_safe
 from sojourn.operators.joins import is_short
-from sojourn.session import cut_lineage
+from sojourn.session import cut_lineage, write_once
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -46,7 +46,7 @@ def with_row_index(
     """
     keys = list(by)
     in_order = df.orderBy(*ascending(*keys), *order)
-    ordered = cut_lineage(in_order.withColumn("__at", F.monotonically_increasing_id()))
+    ordered = write_once(in_order.withColumn("__at", F.monotonically_increasing_id()))
     # the upper bits of the id are the partition, the lower ones count its rows
     rows = ordered.withColumn("__part", F.shiftright("__at", 33))
     runs = rows.groupBy("__part", *keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))

@@ -23,7 +23,7 @@ from sojourn.operators.occupancy import Grid, occupancy
 from sojourn.operators.paths import count_edges, path_edges
 from sojourn.operators.quantiles import duration_profile, histogram
 from sojourn.operators.topk import top_paths
-from sojourn.session import cut_lineage
+from sojourn.session import write_once
 
 ID = "unique_identifier"
 CODE = "detention_facility_code"
@@ -158,7 +158,7 @@ def stint_profile(stints: DataFrame, facilities: DataFrame, weight: str | None =
     """
     closed = with_durations(stints.where(F.col("book_out_date_time").isNotNull()))
     if weight is not None:
-        closed = cut_lineage(closed.select(CODE, ID, "stint_duration_day", weight))
+        closed = write_once(closed.select(CODE, ID, "stint_duration_day", weight))
     profile = duration_profile(closed, CODE, "stint_duration_day", ID, weight)
     named = lookup(profile, facilities.select(CODE, "name", "state"), CODE)
     return named.select(

@@ -41,7 +41,7 @@ from sojourn.operators.rolling import rolling_mean_centered
 from sojourn.operators.topk import top_n, top_n_with_ties, with_row_index
 from sojourn.plans.fixtures import facilities, stints, table
 from sojourn.plans.registry import query
-from sojourn.session import cut_lineage, shared_dir
+from sojourn.session import shared_dir, write_once
 from sojourn.sources.sinks import sink_csv
 from sojourn.sources.tables import file_info, register, scan_csv
 
@@ -386,7 +386,7 @@ def duration_profile_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey")
     rows = rows.select("l_suppkey", "l_partkey", days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("d"))
     # the profile reads its rows several times: join them once
-    profile = duration_profile(cut_lineage(rows), "l_suppkey", "d", "l_partkey")
+    profile = duration_profile(write_once(rows), "l_suppkey", "d", "l_partkey")
     return rounded(profile, "avg_stint_days", "median_stint_days", "max_stint_days")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +58,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the written rows.
+    """Checkpoint a short table, such as a list of keys, to the shared folder.
 
-    Used where a later step would read the same rows twice and must see the same partitions
-    both times, also after an executor was lost.
+    Used where later steps read the same rows several times and must see the same ones each time,
+    also after an executor was lost.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """Write a table of any size to the shared folder as Parquet and go on from there.
+
+    For the same use as :func:`cut_lineage`, where columns and compression matter. The size of the
+    files then tells Spark what it may broadcast.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sojourn-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
