@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending, join_null_safe
-from sojourn.operators.hot import HELD_LIMIT, split_by_group_size
+from sojourn.operators.hot import split_by_group_size
 from sojourn.operators.topk import with_row_index
 
+#: Path strings that are joined into one text.
+TEXT_LIMIT = 100_000
+
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in an explicit order.
@@ -47,7 +50,7 @@ def _strung(parted: DataFrame, on: str, time: str, path: str, tiebreak: Sequence
 
 
 def collapse_episodes(
-    df: DataFrame, on: str, time: str, path: str, n_stints: str, tiebreak: Sequence[str], limit: int = HELD_LIMIT
+    df: DataFrame, on: str, time: str, path: str, n_stints: str, tiebreak: Sequence[str], limit: int = TEXT_LIMIT
 ) -> DataFrame:
     """One row per id: its path strings joined in order of time, its first time, and the sum of its stints.
 
