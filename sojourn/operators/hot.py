@@ -21,7 +21,7 @@ BROADCAST_KEYS = 100_000
 
 @dataclass(frozen=True)
 class Split:
-    """``small``: rows of groups within the limit. ``large``: the other rows, with ``group_rows``; None if there are none.
+    """``small``: rows of groups within the limit. ``large``: the other rows, with ``group_rows``, or None.
 
     ``few`` tells that the large groups are few enough to broadcast a row for each.
     """

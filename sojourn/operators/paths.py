@@ -18,7 +18,9 @@ EDGE = ["source", "dest", "step_from", "step_to"]
 TO_PLACE, TO_OUTCOME, TO_TERMINAL = 0, 1, 2
 
 
-def path_edges(df: DataFrame, path: str, n_stints: str, outcome: str, terminal: str, keys: Sequence[str] = ()) -> DataFrame:
+def path_edges(
+    df: DataFrame, path: str, n_stints: str, outcome: str, terminal: str, keys: Sequence[str] = ()
+) -> DataFrame:
     """One row per step of each stay, from path strings such as ``"A; B; "``.
 
     A stay of N stints gives N-1 steps between places, one to its outcome, and one from there to its

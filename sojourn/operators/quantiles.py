@@ -110,7 +110,8 @@ def _spread(rows: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFr
 
     upto, _ = running(*keys, "cell", order="fine")
     shift = FINE_BITS - COARSE_BITS
-    in_coarse = inside(fine.withColumnRenamed("cell", "fine").withColumn("cell", F.shiftright("fine", shift)), coarse_hits)
+    both = fine.withColumnRenamed("cell", "fine").withColumn("cell", F.shiftright("fine", shift))
+    in_coarse = inside(both, coarse_hits)
     counted = in_coarse.groupBy(*keys, "cell", "before", "total", "fine").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("n"))
     fine_hits = counted.where(hits()).select(*keys, F.col("fine").alias("cell"), "before", "total")

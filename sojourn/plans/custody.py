@@ -66,7 +66,7 @@ def arrested_stays(stays: DataFrame, arrests: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct("apprehension_date_time", "apprehension_criminality"))
     by_person = arrests.groupBy(ID).agg(F.count("*").alias("n_arrests"), first.alias("first"))
-    by_person = by_person.select(ID, "n_arrests", F.col("first.apprehension_criminality").alias("apprehension_criminality"))
+    by_person = by_person.select(ID, "n_arrests", "first.apprehension_criminality")
     return join_null_safe(stays, by_person, [ID])
 
 

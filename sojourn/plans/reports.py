@@ -17,6 +17,7 @@ from sojourn.operators.paths import path_mismatches
 from sojourn.operators.quantiles import quantiles, summary
 from sojourn.plans import arrests as arrest_plans
 from sojourn.plans import custody, detainers, population
+from sojourn.session import write_once
 from sojourn.sources.sinks import sink_csv
 
 
@@ -63,13 +64,18 @@ def midnight(day: date) -> str:
 
 
 def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out_date_time") -> dict[str, DataFrame]:
-    """Every report by name. ``tiebreak`` orders stays of one person booked in at the same time."""
+    """Every report by name. ``tiebreak`` orders stays of one person booked in at the same time.
+
+    The cohorts that many reports share (arrests and stays of the period, latest stays, stints) are selected
+    and written here once, so that the reports do not scan the input tables again.
+    """
     arrests = drop_flagged(inputs.arrests, "duplicate_likely")
-    period_arrests = custody.arrests_in(inputs.arrests, scope.state, scope.since)
+    period_arrests = write_once(custody.arrests_in(inputs.arrests, scope.state, scope.since))
     period_stays = custody.cohort_stays(inputs.stays, scope.facility, scope.area, midnight(scope.since))
+    period_stays = write_once(period_stays)
     period_stints = custody.cohort_stints(inputs.stints, period_stays, midnight(scope.since))
-    latest = custody.latest_stays(custody.arrested_stays(period_stays, period_arrests), tiebreak)
-    stints = custody.arrested_stints(period_stints, period_arrests)
+    latest = write_once(custody.latest_stays(custody.arrested_stays(period_stays, period_arrests), tiebreak))
+    stints = write_once(custody.arrested_stints(period_stints, period_arrests))
     state_arrests = arrests.where(F.col("apprehension_state") == scope.state)
     typed = state_arrests.where(in_period(F.col("apprehension_date"), scope.types_since))
     requests = detainers.cleaned(inputs.detainers)
