@@ -119,8 +119,10 @@ def _edges(steps: DataFrame) -> DataFrame:
             F.lit(kind).alias("kind"),
         )
 
-    onward = edge(F.col("place"), F.col("next_place"), step, TO_PLACE)
-    to_outcome = edge(F.col("place"), F.col("outcome"), step, TO_OUTCOME)
+    # codes may be numbers, which are shorter than text in the shuffle
+    place, next_place = F.col("place").cast("string"), F.col("next_place").cast("string")
+    onward = edge(place, next_place, step, TO_PLACE)
+    to_outcome = edge(place, F.col("outcome"), step, TO_OUTCOME)
     to_terminal = edge(F.col("outcome"), F.col("terminal"), step + 1, TO_TERMINAL)
     edges = (
         F.when(step < F.col("n_stints"), F.array(onward))

@@ -34,8 +34,7 @@ LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extende
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.col("l_suppkey").cast("string").alias("code")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, code)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, F.col("l_suppkey").alias("code"))
 
 
 def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +100,7 @@ def _short_paths(spark: SparkSession, sf_dir: str, n_stints: int) -> DataFrame:
     lines = _lines(spark, sf_dir).withColumnRenamed("code", "place")
     steps = small_steps(split_by_group_size(lines, ["l_orderkey"]).small, "l_orderkey", LINE_ORDER)
     flags = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("place"),
+        F.col("s_suppkey").alias("place"),
         F.when(F.col("s_acctbal") < 5000, "LOW").otherwise("HIGH").alias("flag"),
     )
     listed = steps.where(F.col("n_stints") == n_stints).join(flags, "place").groupBy("l_orderkey", "n_stints")

@@ -9,9 +9,11 @@ from pyspark.sql.types import StructType
 from sojourn.functions.nulls import NA
 
 
-def scan(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
-    """Parquet table, with the filter in the scan."""
-    df = spark.read.parquet(path)
+def scan(
+    spark: SparkSession, path: str, where: Column | str | None = None, schema: StructType | str | None = None
+) -> DataFrame:
+    """Parquet table, with the filter in the scan. A known schema saves the job that reads it from a file."""
+    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     return df if where is None else df.where(where)
 
 
