@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import sojourn
 from sojourn.session import tune
 
 #: Rows in an Arrow batch, so that a batch of long texts fits in a worker's memory.
@@ -20,8 +25,15 @@ SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Set what the operators rely on, and send this package to the Python workers, once per session."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    archive = f"{SparkFiles.getRootDirectory()}/packages/sojourn"  # Spark removes this folder at its end
+    if not os.path.exists(f"{archive}.zip"):
+        package = Path(sojourn.__file__).parent
+        os.makedirs(os.path.dirname(archive), exist_ok=True)
+        shutil.make_archive(archive, "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(f"{archive}.zip")
     return spark
 
 

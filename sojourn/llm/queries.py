@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm.common import documents, id_remainder
+from sojourn.llm.decontaminate import contaminated
+from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import identify_language
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +36,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(
         docs.withColumn("held_out", held_out), docs.where(~held_out), keep=("doc_id", "held_out")
     )
+
+
+@query()
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of word trigrams are similar to 0.9."""
+    return similarity_components(documents(spark, sf_dir), width=3, percent=90)
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold copies of benchmark items, edited ones included."""
+    docs = documents(spark, sf_dir)
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
