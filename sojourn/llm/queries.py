@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sojourn.llm.common import documents, id_remainder
 from sojourn.llm.decontaminate import contaminated
+from sojourn.llm.idstream import encoded_documents
 from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import identify_language
+from sojourn.llm.mixture import SEED, TEMPERATURE, mix_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,12 +40,33 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to compressed blocks and read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encoded_documents(documents(spark, sf_dir), path, end_id=2)
+
+
 @query()
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of word trigrams are similar to 0.9."""
     return similarity_components(documents(spark, sf_dir), width=3, percent=90)
 
 
+@query(f"""
+WITH sizes AS (SELECT source, count(*) AS n, pow(count(*), {TEMPERATURE}) AS w FROM documents GROUP BY source),
+rates AS (SELECT source, w / (SELECT sum(w) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
+steps AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+  FROM rates, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k)),
+draws AS (SELECT *, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
+  / 4503599627370496.0 AS draw FROM documents)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars
+FROM draws d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.p <= d.draw""")
+def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each source repeated to its target weight, in random order."""
+    return mix_sources(documents(spark, sf_dir))
+
+
 @query()
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold copies of benchmark items, edited ones included."""
