@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sojourn.llm.common import documents, id_remainder
 from sojourn.llm.decontaminate import contaminated
@@ -13,6 +14,7 @@ from sojourn.llm.idstream import encoded_documents
 from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import identify_language
 from sojourn.llm.mixture import SEED, TEMPERATURE, mix_sources
+from sojourn.llm.repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +42,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of any 35-word window that occurs twice."""
+    kept = without_repeats(documents(spark, sf_dir), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to compressed blocks and read back."""
