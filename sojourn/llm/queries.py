@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.common import documents, id_remainder
 from sojourn.llm.decontaminate import contaminated
+from sojourn.llm.fingerprint import SQL as FINGERPRINT_SQL
+from sojourn.llm.fingerprint import edited_fingerprints
 from sojourn.llm.idstream import encoded_documents
 from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import identify_language
@@ -81,3 +83,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold copies of benchmark items, edited ones included."""
     docs = documents(spark, sf_dir)
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query(FINGERPRINT_SQL)
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of an edited text, and their likeness."""
+    return edited_fingerprints(documents(spark, sf_dir))
