@@ -15,7 +15,10 @@ from sojourn.llm.fingerprint import edited_fingerprints
 from sojourn.llm.idstream import encoded_documents
 from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import identify_language
+from sojourn.llm.licenses import license_notices
 from sojourn.llm.mixture import SEED, TEMPERATURE, mix_sources
+from sojourn.llm.pseudonyms import pseudonymise
+from sojourn.llm.quality import quality_scores, train
 from sojourn.llm.repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +47,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_notices(documents(spark, sf_dir))
+
+
 @query()
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of any 35-word window that occurs twice."""
@@ -89,3 +98,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every document and of an edited text, and their likeness."""
     return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query()
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data, each value replaced by its pseudonym. Real use brings its own secret key."""
+    return pseudonymise(documents(spark, sf_dir), key=b"key of the registered query")
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the other folds."""
+    docs = documents(spark, sf_dir)
+    held_out = id_remainder("doc_id", 3) == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    return quality_scores(docs.withColumn("held_out", held_out), train(docs, labels), keep=("doc_id", "held_out"))
