@@ -7,10 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.functions.nulls import is_in, join_null_safe
-
-#: Up to this many ids an id list is a plain IN filter.
-IN_LIST = 1_000
+from sojourn.functions.nulls import join_null_safe
 
 
 def drop_flagged(df: DataFrame, flag: str) -> DataFrame:
@@ -31,12 +28,11 @@ def restrict_to(df: DataFrame, cohort: DataFrame, on: str | Sequence[str]) -> Da
 
 
 def restrict_to_ids(df: DataFrame, on: str, ids: Iterable) -> DataFrame:
-    """Rows whose key is in a list of literals: an IN filter, or a semi join for a long list."""
+    """Rows whose key is in a list of literals; a null in the list matches null keys, as in :func:`restrict_to`."""
     ids = list(ids)
-    if len(ids) <= IN_LIST:
-        return df.where(is_in(F.col(on), ids))
-    listed = df.sparkSession.createDataFrame([(i,) for i in ids], f"`{on}` {df.schema[on].dataType.simpleString()}")
-    return restrict_to(df, listed, on)
+    known = [i for i in ids if i is not None]
+    listed = F.col(on).isin(known)
+    return df.where(listed | F.col(on).isNull() if len(known) < len(ids) else listed)
 
 
 def only_in(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -10,6 +10,11 @@ from sojourn.functions.nulls import ascending, descending
 from sojourn.operators.topk import top_n
 
 
+def count_by(df: DataFrame, *keys: str, name: str = "count", weight: str | None = None) -> DataFrame:
+    """Rows per key, in no order; null is a key. ``weight`` is the number of times a row counts."""
+    return df.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias(name))
+
+
 def freq(
     df: DataFrame,
     *keys: str,
@@ -23,8 +28,7 @@ def freq(
     Null is a key. Ties are in key order. ``n`` keeps the first rows of the table. ``weight`` is the
     number of times a row counts.
     """
-    rows = F.count("*") if weight is None else F.sum(weight)
-    counted = df.groupBy(*keys).agg(rows.alias(name))
+    counted = count_by(df, *keys, name=name, weight=weight)
     by_key = ascending(*keys)
     order = [*descending(name), *by_key] if sort == "count" else by_key
     return counted.orderBy(*order) if n is None else top_n(counted, order, n)

@@ -7,13 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.functions.nulls import ascending, join_null_safe
-from sojourn.operators.hot import split_by_group_size
+from sojourn.functions.nulls import ascending
 from sojourn.operators.topk import with_row_index
 
-#: Path strings that are joined into one text.
-TEXT_LIMIT = 100_000
-
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in an explicit order.
@@ -30,47 +26,18 @@ def latest(df: DataFrame, on: str, time: str, tiebreak: Sequence[str]) -> DataFr
     return dedupe_first(df, [on], order)
 
 
-def _parts(df: DataFrame, on: str, time: str, tiebreak: Sequence[str], limit: int) -> DataFrame:
-    """Add ``part``, which counts every ``limit`` rows of an id in order of time from 0."""
-    split = split_by_group_size(df, [on], limit)
-    small = split.small.withColumn("part", F.lit(0).cast("long"))
-    if split.large is None:
-        return small
-    numbered = with_row_index(split.large.drop("group_rows"), ascending(time, *tiebreak), "__row", by=[on])
-    large = numbered.withColumn("part", F.floor((F.col("__row") - 1) / F.lit(limit))).drop("__row")
-    return small.unionByName(large)
-
-
-def _strung(parted: DataFrame, on: str, time: str, path: str, tiebreak: Sequence[str], *aggs: Column) -> DataFrame:
-    """The path strings of each id and part, joined in order of time."""
-    # a missing time sorts behind the dated rows, as it does for `latest`
-    keys = [k.alias(f"k{i}") for c in (time, *tiebreak) for i, k in ((f"{c}_null", F.col(c).isNull()), (c, F.col(c)))]
-    texts = F.sort_array(F.collect_list(F.struct(*keys, F.col(path).alias("text"))))["text"]
-    return parted.groupBy(on, "part").agg(F.array_join(texts, "").alias(path), *aggs)
-
+def history(df: DataFrame, on: str, time: str, path: str, tiebreak: Sequence[str]) -> DataFrame:
+    """The path strings of every id in order of time: ``(on, position, path)``, with positions from 1.
 
-def collapse_episodes(
-    df: DataFrame, on: str, time: str, path: str, n_stints: str, tiebreak: Sequence[str], limit: int = TEXT_LIMIT
-) -> DataFrame:
-    """One row per id: its path strings joined in order of time, its first time, and the sum of its stints.
-
-    ``part`` is 0. The text of an id with more than ``limit`` rows would not fit in a row, so such
-    an id has one row per ``limit`` rows, numbered by ``part``; joined in that order they are its path.
+    This is the joined text of an id in a form that needs no row of unbounded length; a missing time
+    comes last, as it does for :func:`latest`. One global sort spreads also a single id.
     """
-    return _strung(
-        _parts(df, on, time, tiebreak, limit), on, time, path, tiebreak,
-        F.min(time).alias(time), F.sum(n_stints).alias(n_stints), F.count("*").alias("n_rows"),
-    )
-
+    rows = df.select(on, time, *tiebreak, path)
+    return with_row_index(rows, ascending(time, *tiebreak), "position", by=[on]).select(on, "position", path)
 
-def concat_over(
-    df: DataFrame, on: str, time: str, path: str, out: str, tiebreak: Sequence[str], limit: int = 1_000
-) -> DataFrame:
-    """Keep every row and add the joined path of its id.
 
-    The text is written out once per row, so an id over ``limit`` rows gets the text of each row's
-    ``part`` (see :func:`collapse_episodes`); the size of the result stays proportional to the rows.
-    """
-    parted = _parts(df, on, time, tiebreak, limit)
-    strung = _strung(parted, on, time, path, tiebreak).withColumnRenamed(path, out)
-    return join_null_safe(parted, strung, [on, "part"])
+def collapse_episodes(df: DataFrame, on: str, time: str, n_stints: str) -> DataFrame:
+    """One row per id: its first time, the sum of its stints, and its number of rows."""
+    return df.groupBy(on).agg(
+        F.min(time).alias(time), F.sum(n_stints).alias(n_stints), F.count("*").alias("n_rows")
+    )

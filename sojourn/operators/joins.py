@@ -54,11 +54,6 @@ def crosswalk(dim: DataFrame, code: str, name: str) -> DataFrame:
     return known.groupBy(F.col(code).alias("code")).agg(F.min(name).alias("name"))
 
 
-def is_short(df: DataFrame, rows: int = 100_000) -> bool:
-    """Whether a table has at most ``rows`` rows; runs a job that counts them."""
-    return df.count() <= rows
-
-
 def label_codes(df: DataFrame, names: DataFrame, col: Column | str, out: str) -> DataFrame:
     """Add ``out``: the name a :func:`crosswalk` has for the code in ``col``, or the code itself if it has none."""
     coded = df.withColumn("__code", F.col(col) if isinstance(col, str) else col)

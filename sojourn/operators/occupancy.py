@@ -64,6 +64,22 @@ def occupancy(
     behind its last, whatever its length; they are summed before the shuffle, and the running sum
     then goes over the buckets of a place.
     """
+    return dense(changes(df, keys, start, end, grid, open_end, weight), keys, grid)
+
+
+def changes(
+    df: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    grid: Grid,
+    open_end: date | None = None,
+    weight: str | None = None,
+) -> DataFrame:
+    """``(keys, bucket, by)``: by how much the number of episodes changes at a bucket; the first step of occupancy.
+
+    A place without an episode in the grid has one row with a change by 0.
+    """
     keys = list(keys)
     first = F.greatest(F.lit(0), grid.index(F.col(start)))
     closing = F.col(end) if open_end is None else F.coalesce(F.col(end), F.to_date(bound(open_end)))
@@ -84,11 +100,18 @@ def occupancy(
         .groupBy(*keys, F.col("c.bucket").alias("bucket"))
         .agg(F.sum("c.by").alias("by"))
     )
-    places = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "by"))).alias("by"))
-    dense = places.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("bucket"), "by")
+    return summed
+
+
+def dense(summed: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+    """Running sums of the :func:`changes` over all buckets of a place."""
+    keys = list(keys)
+    again = summed.groupBy(*keys, "bucket").agg(F.sum("by").alias("by"))
+    places = again.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "by"))).alias("by"))
+    buckets = places.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("bucket"), "by")
     running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     here = F.coalesce(F.try_element_at("by", F.col("bucket")), F.lit(0))
-    return dense.select(
+    return buckets.select(
         *keys, "bucket", grid.start(F.col("bucket")).alias("bucket_start"), F.sum(here).over(running).alias("n")
     )
 

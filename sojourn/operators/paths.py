@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending
 from sojourn.functions.text import split_path
-from sojourn.operators.hot import GROUP_LIMIT, split_by_group_size
-from sojourn.operators.joins import crosswalk, is_short, label_codes
-from sojourn.operators.topk import with_row_index
+from sojourn.operators.joins import crosswalk, label_codes
+from sojourn.operators.topk import sorted_once
+from sojourn.session import write_once
 
 EDGE = ["source", "dest", "step_from", "step_to"]
 #: What an edge leads to: the next place, the outcome, or the country behind the outcome.
@@ -60,76 +60,79 @@ def stint_edges(
     order: Sequence[str],
     outcome: str,
     terminal: str,
-    longest: int | None = None,
-    limit: int = GROUP_LIMIT,
+    by_length: bool = False,
 ) -> DataFrame:
-    """The steps of :func:`path_edges` with ``n_stints``, from one row per stint instead of path strings.
+    """The steps of :func:`path_edges` from one row per stint instead of path strings.
 
-    ``order`` leaves no ties that matter. With ``longest``, only stays of up to that many stints are
-    taken. Stays of up to ``limit`` stints are numbered in a window; the steps of a bigger one are
-    spread over many tasks.
+    ``order`` leaves no ties that matter. With ``by_length`` each step carries the ``n_stints`` of its stay.
+    One plan serves stays of all sizes, see :func:`numbered_steps`.
     """
-    rows = stints.select(stay, *order, F.col(place).alias("place"))
-    ends = stays.select(stay, F.col(outcome).alias("outcome"), F.col(terminal).alias("terminal"))
-    split = split_by_group_size(rows, [stay], limit)
-    steps = small_steps(split.small, stay, order)
-    if longest is not None:
-        steps = steps.where(F.col("n_stints") <= longest)
-    # the window left the steps partitioned and sorted by stay, so a merge join moves only the ends
-    edges = _edges(steps.join(ends.hint("merge"), stay))
-    if split.large is None or (longest is not None and longest <= limit):
-        return edges
-    large = large_steps(split.large, stay, order)
-    if longest is not None:
-        large = large.where(F.col("n_stints") <= longest)
-    large_ends = large.where(F.col("step") == F.col("n_stints")).select(stay).join(ends, stay)
-    return edges.unionByName(_edges(large.join(split.per_group(large_ends), stay)))
-
-
-def small_steps(rows: DataFrame, stay: str, order: Sequence[str]) -> DataFrame:
-    """Number the stints of each stay: ``(stay, step, n_stints, place, next_place)``."""
-    ordered = Window.partitionBy(stay).orderBy(*ascending(*order))
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select(
-        stay,
-        F.row_number().over(ordered).alias("step"),
-        F.count("*").over(whole).cast("int").alias("n_stints"),
-        "place",
-        F.lead("place").over(ordered).alias("next_place"),
-    )
-
-
-def large_steps(rows: DataFrame, stay: str, order: Sequence[str]) -> DataFrame:
-    """The same for stays too big for a window: numbered by a global sort, joined to the next step by number."""
-    numbered = with_row_index(rows, ascending(*order), "step", by=[stay])
-    here = numbered.select(
-        stay, F.col("step").cast("int").alias("step"), F.col("group_rows").cast("int").alias("n_stints"), "place"
-    )
-    following = here.select(stay, (F.col("step") - 1).alias("step"), F.col("place").alias("next_place"))
-    return here.join(following, [stay, "step"], "left")
-
-
-def _edges(steps: DataFrame) -> DataFrame:
-    """Edges of numbered steps that carry the outcome and the terminal country of their stay."""
-    step = F.col("step")
-
-    def edge(source: Column, dest: Column, at: Column, kind: int) -> Column:
+    steps = numbered_steps(stints, stay, place, order)
+    keys = []
+    if by_length:
+        sizes = stints.groupBy(F.col(stay).alias("stay")).agg(F.count("*").cast("int").alias("n_stints"))
+        steps, keys = steps.join(sizes, "stay"), ["n_stints"]
+    # codes may be numbers, which are shorter than text in the shuffle
+    at, here = F.col("step"), F.col("place").cast("string")
+    onward = steps.where(~F.col("is_last")).select(
+        *keys, here.alias("source"), F.col("next_place").cast("string").alias("dest"), at.alias("step_from"),
+        (at + 1).alias("step_to"), F.lit(TO_PLACE).alias("kind"),
+    )
+    ends = stays.select(F.col(stay).alias("stay"), F.col(outcome).alias("outcome"), F.col(terminal).alias("terminal"))
+    last = steps.where("is_last").join(ends, "stay")
+
+    def edge(source: Column, dest: Column, step: Column, kind: int) -> Column:
         return F.struct(
-            source.alias("source"), dest.alias("dest"), at.alias("step_from"), (at + 1).alias("step_to"),
+            source.alias("source"), dest.alias("dest"), step.alias("step_from"), (step + 1).alias("step_to"),
             F.lit(kind).alias("kind"),
         )
 
-    # codes may be numbers, which are shorter than text in the shuffle
-    place, next_place = F.col("place").cast("string"), F.col("next_place").cast("string")
-    onward = edge(place, next_place, step, TO_PLACE)
-    to_outcome = edge(place, F.col("outcome"), step, TO_OUTCOME)
-    to_terminal = edge(F.col("outcome"), F.col("terminal"), step + 1, TO_TERMINAL)
-    edges = (
-        F.when(step < F.col("n_stints"), F.array(onward))
-        .when(F.col("terminal").isNull(), F.array(to_outcome))
-        .otherwise(F.array(to_outcome, to_terminal))
+    to_outcome = edge(here, F.col("outcome"), at, TO_OUTCOME)
+    to_terminal = edge(F.col("outcome"), F.col("terminal"), at + 1, TO_TERMINAL)
+    closing = F.when(F.col("terminal").isNull(), F.array(to_outcome)).otherwise(F.array(to_outcome, to_terminal))
+    return onward.unionByName(last.select(*keys, F.explode(closing).alias("e")).select(*keys, "e.*"))
+
+
+def numbered_steps(stints: DataFrame, stay: str, place: str, order: Sequence[str]) -> DataFrame:
+    """``(stay, step, place, next_place, is_last)`` of every stint; rows without a stay are left out.
+
+    One sort by stay and order spreads also a single stay over many parts. Within a part, windows over its
+    rows find a stay's begin and the next row; a stay that goes on from an earlier part, or into a later one,
+    needs only what the parts tell about their first and last stays, two rows each.
+    """
+    rows = stints.where(F.col(stay).isNotNull()).select(F.col(stay).alias("stay"), *order, F.col(place).alias("place"))
+    rows = sorted_once(rows, ascending("stay", *order)).select("stay", "place", "at", "part")
+    parts = rows.groupBy("part").agg(
+        F.min_by("stay", "at").alias("first_stay"),
+        F.min_by(F.struct("stay", "place"), "at").alias("head"),
+        F.max_by("stay", "at").alias("last_stay"),
+        F.max("at").alias("last_at"),
+    )
+    parts = write_once(parts)  # a row per part
+    at_ends = rows.join(F.broadcast(parts), "part").where("stay = first_stay OR stay = last_stay")
+    runs = at_ends.groupBy("part", "stay").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("stay").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select("part", F.col("stay").alias("first_stay"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
+    following = F.lead("head").over(Window.orderBy("part"))  # over a row per part
+    edges_of_parts = parts.withColumn("next_head", following).join(carried, ["part", "first_stay"]).select(
+        "part", "first_stay", "last_at", "next_head", "carried"
+    )
+    in_part = Window.partitionBy("part").orderBy("at")
+    begins = F.lag("stay").over(in_part).isNull() | (F.lag("stay").over(in_part) != F.col("stay"))
+    marked = rows.select(
+        "*",
+        F.when(begins, F.col("at")).alias("begin"),
+        F.lead(F.struct("stay", "place")).over(in_part).alias("next"),
+    )
+    begin = F.max("begin").over(in_part.rowsBetween(Window.unboundedPreceding, 0))
+    placed = marked.withColumn("begin", begin).join(F.broadcast(edges_of_parts), "part")
+    following = F.when(F.col("at") == F.col("last_at"), F.col("next_head")).otherwise(F.col("next"))
+    before = F.when(F.col("stay") == F.col("first_stay"), F.col("carried")).otherwise(0)
+    placed = placed.select(
+        "stay", (F.col("at") - F.col("begin") + 1 + before).cast("int").alias("step"), "place", following.alias("next")
     )
-    return steps.select("n_stints", F.explode(edges).alias("e")).select("n_stints", "e.*")
+    is_last = F.col("next").isNull() | (F.col("next.stay") != F.col("stay"))
+    return placed.select("stay", "step", "place", F.col("next.place").alias("next_place"), is_last.alias("is_last"))
 
 
 def count_edges(
@@ -141,18 +144,13 @@ def count_edges(
 ) -> DataFrame:
     """Stays per edge. Place codes are replaced by their names, or stay as they are if unnamed.
 
-    A crosswalk found to be short is broadcast and the names are looked up step by step; one count
-    then does. Otherwise edges are counted by code first, so that the lookup joins see one row per
-    different edge, and again by name.
+    Edges are counted by code first, so that the lookup joins see one row per different edge, and again by name.
     """
     if facilities is None:
         return edges.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
-    names = crosswalk(facilities, code, name)
-    if is_short(facilities):
-        named = _named(edges, F.broadcast(names))
-        return named.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
     by_code = edges.groupBy(*keys, *EDGE, "kind").agg(F.count("*").alias("count"))
-    return _named(by_code, names).groupBy(*keys, *EDGE).agg(F.sum("count").alias("count"))
+    named = _named(by_code, crosswalk(facilities, code, name))
+    return named.groupBy(*keys, *EDGE).agg(F.sum("count").alias("count"))
 
 
 def _named(edges: DataFrame, names: DataFrame) -> DataFrame:

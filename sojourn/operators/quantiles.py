@@ -1,148 +1,76 @@
 """Exact order statistics, summaries, histograms and duration profiles.
 
-Spark's ``percentile`` keeps all distinct values of a group in one task, which is right for groups
-of a known size. A bigger group is counted into cells of the value range, which happens before the
-shuffle; the cells that hold the wanted ranks are counted into finer cells, and only the rows of
-those are looked at one by one. Each pass shuffles counts, not rows, and a window sees the cells of
-one group, however many rows it has.
+Rows are first counted by group and value, which happens before the shuffle. The counts are sorted over
+all groups and written, so that a group of any size is spread over many parts, and a running sum over
+them finds the ranks. One algorithm serves all sizes, and the input is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import join_null_safe
-from sojourn.operators.counts import null_count
-from sojourn.operators.hot import HELD_LIMIT, split_by_group_size
-from sojourn.operators.joins import is_short
-from sojourn.session import cut_lineage
+from sojourn.operators.counts import n_people_by
+from sojourn.operators.topk import with_running_sum
 
-#: Cells per unit of the stretched scale, as powers of two: coarse, then fine.
-COARSE_BITS = 8
-FINE_BITS = 24
-#: Wanted coarse cells up to which cells may be sent to every executor. Each holds at most two ranks
-#: per probability, so the wanted fine cells are not many more.
-BROADCAST_CELLS = 100_000
 
+def _ranked(df: DataFrame, value: str, keys: list[str], weight: str | None) -> DataFrame:
+    """``(keys, v, n, upto, total)``: each value with its number of rows, and the running number of known values.
 
-def _cell(value: Column) -> Column:
-    """Number of a value's fine cell, in order of the values.
-
-    The scale is logarithmic on both sides of 0, so that short and long values get cells of the same
-    relative width; it depends on no property of the data.
+    NaN is the largest value, as it is for Spark's sort. A null value is a row with nothing added.
     """
-    stretched = F.signum(value) * F.log1p(F.abs(value))
-    return F.floor(stretched * float(1 << FINE_BITS))
-
-
-def _low_rank(total: Column, p: float) -> Column:
-    """The lower of the two ranks between which the quantile lies, from 1."""
-    return F.floor((total - 1) * p) + 1
+    v = F.col(value).cast("double")
+    times = F.lit(1) if weight is None else F.col(weight)
+    counted = df.groupBy(*keys, v.alias("v")).agg(F.sum(times.cast("long")).alias("n"))
+    counted = counted.withColumn("known", F.when(F.col("v").isNull(), 0).otherwise(F.col("n")))
+    return with_running_sum(counted, [F.col("v").asc_nulls_last()], "known", keys)
 
 
-def _holds_rank(before: Column, upto: Column, total: Column, probs: Sequence[float]) -> Column:
-    """Whether a rank needed for ``probs`` lies in ``(before, upto]``."""
-    found = F.lit(False)
-    for p in probs:
-        low = _low_rank(total, p)
-        found = found | ((before < low) & (low <= upto)) | ((before < low + 1) & (low + 1 <= upto))
-    return found
+def _picks(probs: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over ranked rows, and the quantiles made from them, interpolated between the nearest ranks."""
+    total, picks, out = F.col("total"), [F.max("total").alias("total")], []
+    for i, (name, p) in enumerate(probs.items()):
+        place = (total - 1) * p
+        low = F.floor(place) + 1
+        for side, rank in (("a", low), ("b", F.least(low + 1, total))):
+            holds = (F.col("upto") - F.col("known") < rank) & (rank <= F.col("upto"))
+            picks.append(F.max(F.when(holds, F.col("v"))).alias(f"{side}{i}"))
+        a, b, beyond = F.col(f"a{i}"), F.col(f"b{i}"), place - F.floor(place)
+        between = F.when(F.abs(b - a) == float("inf"), a * (1 - beyond) + b * beyond).otherwise(a + beyond * (b - a))
+        out.append(F.when((a == b) | (beyond == 0), a).otherwise(between).alias(name))
+    return picks, out
 
 
 def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    keys: Sequence[str] = (),
-    weight: str | None = None,
-    limit: int = HELD_LIMIT,
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Quantiles per group, interpolated linearly between the two nearest ranks; nulls are left out.
 
     ``probs`` maps output names to probabilities. ``weight`` is a whole number of times a row counts.
-    Groups of more than ``limit`` rows are spread, which reads them three times.
     """
     keys = list(keys)
-    v = F.col(value).cast("double")
-    times = F.lit(1) if weight is None else F.col(weight)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, v.alias("v"), times.cast("long").alias("n"))
-    if not keys:
-        return _held(rows, probs, keys) if is_short(rows, limit) else _spread(rows, probs, keys)
-    split = split_by_group_size(rows, keys, limit)
-    held = _held(split.small, probs, keys)
-    if split.large is None:
-        return held
-    return held.unionByName(_spread(split.large.drop("group_rows"), probs, keys))
-
-
-def _held(rows: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
-    found = rows.groupBy(*keys).agg(F.percentile("v", list(probs.values()), F.col("n")).alias("found"))
-    return found.select(*keys, *[F.col("found")[i].alias(name) for i, name in enumerate(probs)])
-
-
-def _spread(rows: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
-    """The first reading runs here; it tells whether the wanted cells, two per group and probability
-    at most, are few enough to broadcast."""
-    wanted = list(probs.values())
-    fine = rows.withColumn("cell", _cell(F.col("v")))
-    coarse = rows.withColumn("cell", F.shiftright(_cell(F.col("v")), FINE_BITS - COARSE_BITS))
-    whole = Window.unboundedPreceding, Window.unboundedFollowing
-
-    def running(*by: str, order: str) -> tuple[Column, Column]:
-        """Sum of n up to a row, and over all rows, of one window group."""
-        w = Window.partitionBy(*by).orderBy(order)
-        return F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w.rowsBetween(*whole))
-
-    def hits() -> Column:
-        return _holds_rank(F.col("before"), F.col("upto"), F.col("total"), wanted)
-
-    upto, total = running(*keys, order="cell")
-    counted = coarse.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
-    counted = counted.withColumns({"upto": upto, "total": total}).withColumn("before", F.col("upto") - F.col("n"))
-    coarse_hits = cut_lineage(counted.where(hits()).select(*keys, "cell", "before", "total"))
-    few = coarse_hits.count() <= BROADCAST_CELLS
-
-    def inside(rows: DataFrame, cells: DataFrame) -> DataFrame:
-        return join_null_safe(rows, F.broadcast(cells) if few else cells, [*keys, "cell"])
-
-    upto, _ = running(*keys, "cell", order="fine")
-    shift = FINE_BITS - COARSE_BITS
-    both = fine.withColumnRenamed("cell", "fine").withColumn("cell", F.shiftright("fine", shift))
-    in_coarse = inside(both, coarse_hits)
-    counted = in_coarse.groupBy(*keys, "cell", "before", "total", "fine").agg(F.sum("n").alias("n"))
-    counted = counted.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("n"))
-    fine_hits = counted.where(hits()).select(*keys, F.col("fine").alias("cell"), "before", "total")
-
-    upto, _ = running(*keys, "cell", order="v")
-    counted = inside(fine, fine_hits).groupBy(*keys, "cell", "before", "total", "v").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("n"))
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") < rank) & (rank <= F.col("upto")), F.col("v")))
-
-    total, picks, out = F.col("total"), [], []
-    for i, (name, p) in enumerate(probs.items()):
-        low = _low_rank(total, p)
-        picks += [value_at(low).alias(f"a{i}"), value_at(F.least(low + 1, total)).alias(f"b{i}")]
-        beyond = (total - 1) * p - F.floor((total - 1) * p)
-        out.append((F.col(f"a{i}") + beyond * (F.col(f"b{i}") - F.col(f"a{i}"))).alias(name))
-    return ranked.groupBy(*keys).agg(F.max(total).alias("total"), *picks).select(*keys, *out)
+    picks, out = _picks(probs)
+    ranked = _ranked(df.where(F.col(value).isNotNull()), value, keys, weight)
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
 
 
 # The six numbers of a summary that are quantiles.
 SIX = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
-def summary(df: DataFrame, value: str, limit: int = HELD_LIMIT) -> DataFrame:
+def _mean() -> Column:
+    return F.sum(F.col("v") * F.col("known")) / F.sum("known")
+
+
+def summary(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of nulls of a column, in one row."""
-    rest = df.agg(F.avg(value).alias("mean"), null_count(F.col(value)).alias("n_null"))
-    rest = rest.select(F.struct("mean", "n_null")).scalar()
-    return quantiles(df, value, SIX, limit=limit).select(
-        "min", "q1", "median", rest["mean"].alias("mean"), "q3", "max", rest["n_null"].alias("n_null")
-    )
+    picks, out = _picks(SIX)
+    nulls = F.coalesce(F.sum(F.col("n") - F.col("known")), F.lit(0)).alias("n_null")
+    found = _ranked(df, value, [], weight).agg(*picks, _mean().alias("mean"), nulls)
+    return found.select(*out, "mean", "n_null").select("min", "q1", "median", "mean", "q3", "max", "n_null")
 
 
 def duration_profile(
@@ -150,31 +78,27 @@ def duration_profile(
 ) -> DataFrame:
     """Mean, median and longest duration per place, its stints and its distinct people (null counts once).
 
-    Rows are first reduced to one per place and person, so neither a hot place nor a hot person
-    reaches one task whole. ``df`` is read several times: write a costly one first.
+    Everything but the people comes from the counts by place and duration; people are first reduced to one
+    row per place and person. So neither a hot place nor a hot person reaches one task whole.
     """
-    w = F.lit(1) if weight is None else F.col(weight)
-    per_person = df.groupBy(key, on).agg(
-        F.sum(w).cast("long").alias("n"),
-        F.sum(F.when(F.col(duration).isNotNull(), w)).cast("long").alias("n_known"),
-        F.sum(F.col(duration) * w).alias("s"),
-        F.max(duration).alias("m"),
-    )
-    sums = per_person.groupBy(key).agg(
-        (F.sum("s") / F.sum("n_known")).alias(f"avg_stint_{unit}"),
-        F.max("m").alias(f"max_stint_{unit}"),
+    picks, out = _picks({f"median_stint_{unit}": 0.5})
+    found = _ranked(df, duration, [key], weight).groupBy(key).agg(
+        *picks,
+        _mean().alias(f"avg_stint_{unit}"),
+        F.max("v").alias(f"max_stint_{unit}"),
         F.sum("n").alias("n_stints"),
-        F.count("*").alias("n_people"),
-    )
-    medians = quantiles(df, duration, {f"median_stint_{unit}": 0.5}, [key], weight)
-    return join_null_safe(sums, medians, [key], "left").select(
-        key, f"avg_stint_{unit}", f"median_stint_{unit}", f"max_stint_{unit}", "n_stints", "n_people"
     )
+    durations = found.select(key, f"avg_stint_{unit}", *out, f"max_stint_{unit}", "n_stints")
+    return join_null_safe(durations, n_people_by(df, [key], on), [key])
 
 
 def pretty_width(lo: Column, hi: Column, cells: int) -> Column:
-    """A bin width of 1, 2, 5 or 10 times a power of ten that cuts ``[lo, hi]`` into about ``cells`` bins."""
-    raw = (hi - lo) / F.lit(float(cells))
+    """A bin width of 1, 2, 5 or 10 times a power of ten that cuts ``[lo, hi]`` into about ``cells`` bins.
+
+    Equal ends give a width that is round for the value itself, or 1 at 0, so that one bin holds it.
+    """
+    span = F.when(hi > lo, hi - lo).when(hi != 0, F.abs(hi)).otherwise(F.lit(float(cells)))
+    raw = span / F.lit(float(cells))
     base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     ratio = raw / base
     # The ratios at which the next of 2, 5 and 10 lies nearer, for biases 1.5 and 2.75

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending, descending, join_null_safe
-from sojourn.operators.joins import is_short
-from sojourn.session import cut_lineage, write_once
+from sojourn.session import write_once
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -35,29 +34,53 @@ def top_paths(df: DataFrame, path: str, n: int, extra_keys: Sequence[str] = ())
     return df.join(F.broadcast(common), path, "left_semi")
 
 
+def sorted_once(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows in a global order, written once: ``part`` and ``at`` tell a row's file and place.
+
+    ``at`` grows along the order, within a part by 1. The sort spreads even a single key over many parts.
+    """
+    ordered = write_once(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    # the upper bits of the id are the partition, the lower ones count its rows
+    return ordered.withColumn("part", F.shiftright("at", 33))
+
+
 def with_row_index(
     df: DataFrame, order: Sequence[Column], name: str = "row_index", by: Sequence[str] = ()
 ) -> DataFrame:
     """Number the rows from 1 in the given order, over all rows or per ``by`` key, in a first column.
 
-    One global sort spreads even a single key over many partitions. The sorted rows are written
-    once; after that a partition only has to know how many rows of a key lie in the partitions
-    before it. No task sees more than its own partition.
+    After one global sort a part only has to know how many rows of a key lie in the parts before it.
     """
     keys = list(by)
-    in_order = df.orderBy(*ascending(*keys), *order)
-    ordered = write_once(in_order.withColumn("__at", F.monotonically_increasing_id()))
-    # the upper bits of the id are the partition, the lower ones count its rows
-    rows = ordered.withColumn("__part", F.shiftright("__at", 33))
-    runs = rows.groupBy("__part", *keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(
-        "__part", *keys, "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start")
+    rows = sorted_once(df, [*ascending(*keys), *order])
+    runs = rows.groupBy("part", *keys).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    starts = _starts(runs, keys, "n").select("part", *keys, "first", "before")
+    position = F.col("before") + F.col("at") - F.col("first") + 1
+    return join_null_safe(rows, starts, ["part", *keys]).select(position.alias(name), *df.columns)
+
+
+def with_running_sum(df: DataFrame, order: Sequence[Column], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``upto``, the sum of ``value`` up to a row in the given order, and ``total``; per ``by`` key.
+
+    As in :func:`with_row_index` a key may be spread over many parts; a window sees the rows that a part
+    has of a key.
+    """
+    keys = list(by)
+    rows = sorted_once(df, [*ascending(*keys), *order])
+    runs = rows.groupBy("part", *keys).agg(F.sum(value).alias("n"))
+    starts = _starts(runs, keys, "n").select("part", *keys, "before", "total")
+    here = Window.partitionBy("part", *keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("upto", F.sum(value).over(here))
+    joined = join_null_safe(within, starts, ["part", *keys])
+    return joined.select(*df.columns, (F.col("before") + F.col("upto")).alias("upto"), "total")
+
+
+def _starts(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sums of a key over the parts before, and over all. Without keys that is a row per part."""
+    parts = Window.partitionBy(*keys).orderBy("part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = runs.withColumns(
+        {"before": F.coalesce(F.sum(value).over(earlier), F.lit(0)), "total": F.sum(value).over(whole)}
     )
-    if keys:
-        starts = cut_lineage(starts)
-    # one run per partition and key in it; without keys that is one per partition
-    if not keys or is_short(starts):
-        starts = F.broadcast(starts)
-    position = F.col("__start") + F.col("__at") - F.col("__first") + 1
-    return join_null_safe(rows, starts, ["__part", *keys]).select(position.alias(name), *df.columns)
+    return write_once(starts)

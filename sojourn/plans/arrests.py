@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sojourn.functions.dates import as_date, in_period
 from sojourn.functions.text import title_case
 from sojourn.operators.cohort import only_in
-from sojourn.operators.counts import freq
+from sojourn.operators.counts import count_by, freq
 from sojourn.operators.pivot import pivot_wide
 from sojourn.operators.rolling import rolling_mean_centered
 from sojourn.operators.topk import top_n_with_ties
@@ -20,7 +20,7 @@ STATE = "apprehension_state"
 
 
 def daily_by_state(arrests: DataFrame) -> DataFrame:
-    return freq(arrests, DAY, STATE, sort="key", name="arrests")
+    return count_by(arrests, DAY, STATE, name="arrests")
 
 
 def daily_wide(arrests: DataFrame, after, states: Sequence[str] | None = None) -> DataFrame:
@@ -46,7 +46,8 @@ def by_country(arrests: DataFrame) -> DataFrame:
 
 def top_countries(arrests: DataFrame, n: int = 10) -> DataFrame:
     """The countries with the ``n`` highest counts, ties with the last included."""
-    return top_n_with_ties(by_country(arrests), "count", n)
+    found = top_n_with_ties(count_by(arrests, "citizenship_country"), "count", n)
+    return found.withColumn("citizenship_country", title_case(F.col("citizenship_country")))
 
 
 def daily_after(arrests: DataFrame, after) -> DataFrame:
@@ -56,7 +57,7 @@ def daily_after(arrests: DataFrame, after) -> DataFrame:
 
 def type_by_day(arrests: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """Arrests per day, one column per type, 0 where there were none."""
-    counted = freq(arrests, DAY, "apprehension_type", sort="key")
+    counted = count_by(arrests, DAY, "apprehension_type")
     return pivot_wide(counted, [DAY], "apprehension_type", "count", types, fill=0)
 
 

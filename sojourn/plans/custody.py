@@ -1,29 +1,29 @@
 """Stays and stints: cohorts, outcomes, flows, durations, occupancy.
 
-The tables have the columns described in FIXTURES.md. Nothing here runs a job except the check for
-oversized groups where a stay's rows have to be put in order.
+The tables have the columns described in FIXTURES.md. Quantiles and durations sort and write their counts
+while they are built; nothing else here runs a job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.dates import as_date, days_between, hours_between, in_period, whole_days_between
-from sojourn.functions.nulls import descending, join_null_safe
+from sojourn.functions.nulls import ascending, descending, join_null_safe
 from sojourn.functions.text import passes_through, title_case
 from sojourn.operators.classify import STILL_HELD, outcome, terminal
 from sojourn.operators.cohort import drop_flagged, restrict_to
 from sojourn.operators.counts import freq, share
 from sojourn.operators.dedupe import dedupe_first
 from sojourn.operators.joins import lookup, person_weights
-from sojourn.operators.occupancy import Grid, occupancy
+from sojourn.operators.occupancy import Grid, changes, dense
 from sojourn.operators.paths import count_edges, path_edges
 from sojourn.operators.quantiles import duration_profile, histogram
 from sojourn.operators.topk import top_paths
-from sojourn.session import write_once
 
 ID = "unique_identifier"
 CODE = "detention_facility_code"
@@ -64,7 +64,8 @@ def arrested_stays(stays: DataFrame, arrests: DataFrame) -> DataFrame:
     The plain merge has a row per stay and arrest; what follows keeps one of them per stay, so the
     arrests are reduced to one row per person before the join and no pairs are written out.
     """
-    first = F.min(F.struct("apprehension_date_time", "apprehension_criminality"))
+    time = F.col("apprehension_date_time")  # a missing time is no first arrest, unless it is the only one
+    first = F.min(F.struct(time.isNull().alias("undated"), time, "apprehension_criminality"))
     by_person = arrests.groupBy(ID).agg(F.count("*").alias("n_arrests"), first.alias("first"))
     by_person = by_person.select(ID, "n_arrests", "first.apprehension_criminality")
     return join_null_safe(stays, by_person, [ID])
@@ -86,13 +87,15 @@ def arrested_stints(stints: DataFrame, arrests: DataFrame) -> DataFrame:
     return join_null_safe(drop_flagged(stints, "likely_duplicate"), person_weights(arrests, ID), [ID])
 
 
-def latest_stays(stays: DataFrame, tiebreak: str) -> DataFrame:
-    """The most recent stay per person; of stays booked in at the same time, the first.
+def latest_stays(stays: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
+    """The most recent stay per person; of stays booked in at the same time, the first by ``tiebreak``.
+
+    ``tiebreak`` ends with a column that leaves no ties.
 
     Dropping same-time duplicates first and then taking the last stay gives the same row with one
     more shuffle.
     """
-    return dedupe_first(stays, [ID], [F.col(BOOK_IN).desc_nulls_first(), F.col(tiebreak).asc_nulls_last()])
+    return dedupe_first(stays, [ID], [F.col(BOOK_IN).desc_nulls_first(), *ascending(*tiebreak)])
 
 
 # Outcomes
@@ -153,12 +156,9 @@ def with_durations(stints: DataFrame) -> DataFrame:
 def stint_profile(stints: DataFrame, facilities: DataFrame, weight: str | None = None) -> DataFrame:
     """Duration profile per facility of the closed stints, with its name and state, most people first.
 
-    The facility's name is looked up for the finished profile rows, not for the stints. Weighted
-    stints come from a join, which is run once and its four columns written.
+    The facility's name is looked up for the finished profile rows, not for the stints.
     """
     closed = with_durations(stints.where(F.col("book_out_date_time").isNotNull()))
-    if weight is not None:
-        closed = write_once(closed.select(CODE, ID, "stint_duration_day", weight))
     profile = duration_profile(closed, CODE, "stint_duration_day", ID, weight)
     named = lookup(profile, facilities.select(CODE, "name", "state"), CODE)
     return named.select(
@@ -172,6 +172,12 @@ def place_durations(stints: DataFrame, place: str, code: str = CODE, weight: str
     return with_durations(here).select("stint_duration_day", *([] if weight is None else [weight]))
 
 
+def held_at(stints: DataFrame, code: str, after: date) -> DataFrame:
+    """Stints at a facility of stays booked in after a day, flagged duplicates dropped, open ones included."""
+    here = drop_flagged(stints.where(F.col(CODE) == code), "likely_duplicate")
+    return here.where(in_period(as_date(F.col(BOOK_IN)), after))
+
+
 def long_stay_share(durations: DataFrame, days: float, weight: str | None = None) -> DataFrame:
     longer = F.col("stint_duration_day") > days
     return durations.agg(share(longer, None if weight is None else F.col(weight)).alias("share"))
@@ -209,13 +215,13 @@ def episode_map(stints: DataFrame, facilities: DataFrame) -> DataFrame:
 def place_occupancy(
     stints: DataFrame, facilities: DataFrame, grid: Grid, open_end: date, weight: str | None = None
 ) -> DataFrame:
-    """Stints per facility and bucket, long form. Counted by code; the facility joins the counts."""
+    """Stints per facility and bucket, long form. Changes are summed by code, and the facility joins those sums."""
     dated = stints.withColumns(
         {
             "stint_start": as_date(F.col("book_in_date_time")),
             "stint_end": as_date(F.col("book_out_date_time")),
         }
     )
-    by_code = occupancy(dated, [CODE], "stint_start", "stint_end", grid, open_end, weight)
+    by_code = changes(dated, [CODE], "stint_start", "stint_end", grid, open_end, weight)
     named = lookup(by_code, facilities.select(CODE, *PLACE), CODE)
-    return named.groupBy(*PLACE, "bucket", "bucket_start").agg(F.sum("n").alias("n"))
+    return dense(named, PLACE, grid)

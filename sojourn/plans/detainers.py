@@ -39,11 +39,9 @@ def on_day(detainers: DataFrame, day) -> DataFrame:
     return detainers.where(in_period(F.col(DAY), day, day, "both"))
 
 
-def by_reason(
-    detainers: DataFrame, keep: Sequence[str] | None = None, values: Sequence[str] | None = None
-) -> DataFrame:
+def by_reason(detainers: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """Requests per facility and lift reason, wide, with totals; reasons not kept are counted as ``other``."""
-    return pivot_with_total(detainers, SITE, REASON, keep, values)
+    return pivot_with_total(detainers, SITE, REASON, keep)
 
 
 def of_type(detainers: DataFrame, prefix: str) -> DataFrame:

@@ -7,10 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.operators.counts import freq
-from sojourn.operators.hot import split_by_group_size
+from sojourn.operators.counts import freq, n_people
 from sojourn.operators.occupancy import Grid, daily, occupancy_wide, weekly
-from sojourn.operators.paths import count_edges, small_steps, stint_edges
+from sojourn.operators.paths import count_edges, stint_edges
 from sojourn.operators.quantiles import summary
 from sojourn.plans import arrests as arrest_plans
 from sojourn.plans import custody, detainers, fixtures, population
@@ -51,9 +50,9 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _line_edges(spark: SparkSession, sf_dir: str, longest: int | None = None) -> DataFrame:
+def _line_edges(spark: SparkSession, sf_dir: str, by_length: bool = False) -> DataFrame:
     lines, ends = _lines(spark, sf_dir), _ends(spark, sf_dir)
-    return stint_edges(lines, ends, "l_orderkey", "code", LINE_ORDER, "outcome", "terminal", longest)
+    return stint_edges(lines, ends, "l_orderkey", "code", LINE_ORDER, "outcome", "terminal", by_length)
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,22 +88,23 @@ def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_edges(_line_edges(spark, sf_dir), _places(spark, sf_dir))
 
 
-@query(EDGES + "SELECT n_stints, source, dest, step_from, step_to, count(*) AS count FROM edges WHERE n_stints <= 5 GROUP BY ALL")
+@query(EDGES + "SELECT n_stints, source, dest, step_from, step_to, count(*) AS count FROM edges GROUP BY ALL")
 def path_edges_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per number of stints, for one to five, in one job."""
-    return count_edges(_line_edges(spark, sf_dir, longest=5), _places(spark, sf_dir), keys=["n_stints"])
+    """The same per number of stints, for all lengths."""
+    return count_edges(_line_edges(spark, sf_dir, by_length=True), _places(spark, sf_dir), keys=["n_stints"])
 
 
 def _short_paths(spark: SparkSession, sf_dir: str, n_stints: int) -> DataFrame:
     """Stays of one length with path strings; at most ``n_stints`` rows are brought together per stay."""
     lines = _lines(spark, sf_dir).withColumnRenamed("code", "place")
-    steps = small_steps(split_by_group_size(lines, ["l_orderkey"]).small, "l_orderkey", LINE_ORDER)
+    sizes = lines.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n_stints"))
+    same = lines.join(sizes.where(F.col("n_stints") == n_stints), "l_orderkey")
     flags = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("place"),
         F.when(F.col("s_acctbal") < 5000, "LOW").otherwise("HIGH").alias("flag"),
     )
-    listed = steps.where(F.col("n_stints") == n_stints).join(flags, "place").groupBy("l_orderkey", "n_stints")
-    items = F.sort_array(F.collect_list(F.struct("step", "flag")))
+    listed = same.join(flags, "place").groupBy("l_orderkey", "n_stints")
+    items = F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "flag")))
     paths = listed.agg(F.array_join(items["flag"], "; ").alias("path"))
     return paths.join(_ends(spark, sf_dir), "l_orderkey").select(
         F.concat("path", F.lit("; ")).alias("detention_facility_codes_all"),
@@ -169,7 +169,7 @@ def length_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = custody.latest_stays(fixtures.stays(spark, sf_dir), "stay_id")
+    latest = custody.latest_stays(fixtures.stays(spark, sf_dir), ["stay_id"])
     return fixtures.with_country(latest, spark, sf_dir)
 
 
@@ -209,7 +209,7 @@ def outcome_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stay_length_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole days of the closed latest stays."""
-    return custody.stay_lengths(custody.latest_stays(fixtures.stays(spark, sf_dir), "stay_id"))
+    return custody.stay_lengths(custody.latest_stays(fixtures.stays(spark, sf_dir), ["stay_id"]))
 
 
 # Cohorts
@@ -361,15 +361,22 @@ def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(custody.duration_histogram(_durations(spark, sf_dir), 60), "bin_from", "bin_to")
 
 
+HELD = """(SELECT unique_identifier, date_diff('microsecond', book_in_date_time, book_out_date_time) / 3.6e9 AS h FROM stints
+  WHERE detention_facility_code = '7' AND NOT likely_duplicate AND CAST(stay_book_in_date_time AS DATE) > DATE '1994-01-01')"""
+
+
 @query(
     ctes("stints")
-    + f"""SELECT round(min(d), 6) AS "min", round(quantile_cont(d, 0.25), 6) AS q1, round(median(d), 6) AS "median",
-      round(avg(d), 6) AS mean, round(quantile_cont(d, 0.75), 6) AS q3, round(max(d), 6) AS "max",
-      CAST(0 AS BIGINT) AS n_null FROM {ONE_PLACE}"""
+    + f"""SELECT round(min(h), 6) AS "min", round(quantile_cont(h, 0.25), 6) AS q1, round(median(h), 6) AS "median",
+      round(avg(h), 6) AS mean, round(quantile_cont(h, 0.75), 6) AS q3, round(max(h), 6) AS "max",
+      count(*) FILTER (WHERE h IS NULL) AS n_null, count(DISTINCT unique_identifier) AS n_people FROM {HELD}"""
 )
 def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = summary(_durations(spark, sf_dir), "stint_duration_day")
-    return rounded(found, "min", "q1", "median", "mean", "q3", "max")
+    """Hours in one facility since a day, open stints as nulls, and the number of people."""
+    held = custody.held_at(fixtures.stints(spark, sf_dir), "7", date(1994, 1, 1))
+    found = summary(custody.with_durations(held), "stint_duration_hr")
+    people = n_people(held, "unique_identifier").select("n_people").scalar()
+    return rounded(found, "min", "q1", "median", "mean", "q3", "max").withColumn("n_people", people)
 
 
 # Maps and occupancy
@@ -593,9 +600,9 @@ ALL_REASONS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "NA"]
     WHERE detainer_prepare_date >= DATE '1999-02-01' AND detainer_type LIKE 'I247A%' GROUP BY detention_facility"""
 )
 def requests_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the types with one prefix, all reasons kept."""
+    """The same for the types with one prefix, all reasons kept; the columns are found in the data."""
     rows = detainers.of_type(detainers.since(_requests(spark, sf_dir), date(1999, 2, 1)), "I247A")
-    return detainers.by_reason(rows, values=ALL_REASONS)
+    return detainers.by_reason(rows)
 
 
 # Population

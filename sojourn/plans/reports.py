@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.dates import as_date, in_period
-from sojourn.operators.cohort import drop_flagged, repeated
+from sojourn.functions.nulls import ascending, descending
+from sojourn.functions.text import passes_through
+from sojourn.operators.cohort import drop_flagged, repeated, restrict_to
 from sojourn.operators.counts import freq, n_people
 from sojourn.operators.occupancy import daily, occupancy_wide, weekly
 from sojourn.operators.paths import path_mismatches
@@ -35,7 +37,9 @@ class Inputs:
 
 @dataclass(frozen=True)
 class Scope:
-    """What the analyses look at. The defaults are the fixed values of the original analyses."""
+    """What the analyses look at."""
+
+    # The defaults are those of the original analyses.
 
     state: str = "MINNESOTA"
     area: str = "St. Paul Area of Responsibility"
@@ -63,7 +67,21 @@ def midnight(day: date) -> str:
     return f"{day} 00:00:00"
 
 
-def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out_date_time") -> dict[str, DataFrame]:
+#: Columns that order stays of one person booked in at the same time; a caller with a stay id ends the list with it.
+TIEBREAK = ("stay_book_out_date_time", custody.PATH, "stay_release_reason", "departure_country", "book_in_aor", "n_stints")
+
+#: Reports whose files number their rows, and the order in which they do.
+INDEXED = {
+    "arrests_by_country": "count",
+    "arrests_by_country_top_10": "count",
+    "arrests_by_criminality": "count",
+    "requests_per_day": "detainer_prepare_date",
+    "requests_per_month": "month_year",
+    "requests_by_type": "count",
+}
+
+
+def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEBREAK) -> dict[str, DataFrame]:
     """Every report by name. ``tiebreak`` orders stays of one person booked in at the same time.
 
     The cohorts that many reports share (arrests and stays of the period, latest stays, stints) are selected
@@ -89,6 +107,7 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
     out = {
         "arrested_people": n_people(period_arrests, custody.ID),
         "arrested_again": repeated(period_arrests, custody.ID),
+        "arrested_again_rows": restrict_to(period_arrests, repeated(period_arrests, custody.ID), custody.ID),
         "merged_rows": custody.merged_rows(period_stays, period_arrests),
         "release_reasons": freq(latest, "stay_release_reason"),
         "detention_by_outcome": custody.outcome_counts(latest),
@@ -100,6 +119,7 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
         "flow_2_simplified": custody.simplified_flow(latest, 2, 4, by_country=True, facilities=inputs.facilities),
         "flow_3_simplified": custody.simplified_flow(latest, 3, 9, facilities=inputs.facilities),
         "stay_lengths": custody.stay_lengths(latest),
+        "episode_map": custody.episode_map(stints, inputs.facilities),
         "stint_lengths": custody.stint_profile(stints, inputs.facilities, weight="weight"),
         "prior_release_reasons": freq(
             custody.arrested_stays(prior_stays, prior_arrests), "stay_release_reason", weight="n_arrests"
@@ -125,6 +145,11 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
         "requests_by_type": freq(period_requests, "detainer_type"),
         "requests_by_reason": detainers.by_reason(period_requests, scope.kept_reasons),
         "prefixed_by_reason": detainers.by_reason(prefixed),
+        "prefixed_reasons": freq(prefixed, detainers.REASON),
+        "prefixed_booked_by_facility": freq(
+            prefixed.where(F.col(detainers.REASON) == scope.kept_reasons[0]), detainers.SITE
+        ),
+        "requests_first_day": detainers.on_day(requests, scope.since),
         "population": population.population_wide(inputs.population),
         "rolling_population": population.rolling_population(inputs.population),
     }
@@ -135,11 +160,12 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
         out[f"long_stays_{i}"] = custody.long_stay_share(durations, 2, "weight")
         out[f"histogram_{i}"] = custody.duration_histogram(durations, weight="weight")
 
-    held = drop_flagged(inputs.stints.where(F.col(custody.CODE) == scope.facility), "likely_duplicate")
-    held = held.where(in_period(as_date(F.col(custody.BOOK_IN)), scope.since))
+    held = custody.held_at(inputs.stints, scope.facility, scope.since)
     out["held_people"] = n_people(held, custody.ID)
     out["held_summary"] = summary(custody.with_durations(held), "stint_duration_hr")
-    stays_since = period_stays.where(in_period(as_date(F.col(custody.BOOK_IN)), scope.since))
+    stays_since = inputs.stays.where(
+        passes_through(F.col(custody.PATH), scope.facility) & in_period(as_date(F.col(custody.BOOK_IN)), scope.since)
+    )
     out["held_not_arrested"] = arrest_plans.held_not_arrested(stays_since, period_arrests)
 
     for name, grid in (("week", weekly(scope.since, scope.weeks)), ("day", daily(scope.since, scope.days))):
@@ -149,6 +175,13 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: str = "stay_book_out
 
 
 def write(reports: Mapping[str, DataFrame], folder: str) -> None:
-    """Write each report as a folder of CSV files below ``folder``."""
+    """Write each report as a folder of CSV files below ``folder``; those in ``INDEXED`` with a row index."""
     for name, df in reports.items():
-        sink_csv(df, f"{folder}/{name}")
+        key = INDEXED.get(name)
+        if key is None:
+            index = None
+        elif key == "count":
+            index = [*descending("count"), *ascending(*[c for c in df.columns if c != "count"])]
+        else:
+            index = ascending(key)
+        sink_csv(df, f"{folder}/{name}", index)

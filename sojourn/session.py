@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,40 +42,61 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
     return tune(spark)
 
 
+_OWN: list[tempfile.TemporaryDirectory] = []  # of a local session; removed when Python ends
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, for checkpoints and written tables.
+    """The folder every executor can reach, for written tables: the one in ``spark.checkpoint.dir``.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes when Python ends.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="sojourn-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="sojourn-"))
+    return _OWN[0].name
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a short table, such as a list of keys, to the shared folder.
+def scratch_path(spark: SparkSession, suffix: str) -> str:
+    """A new path in the shared folder; :func:`release` removes what is written there."""
+    path = f"{shared_dir(spark)}/sojourn-{uuid.uuid4().hex}{suffix}"
+    _WRITTEN.append(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.remove(path)
 
-    Used where later steps read the same rows several times and must see the same ones each time,
-    also after an executor was lost.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables the library wrote; for when the results that read them have been used."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
 
 
 def write_once(df: DataFrame) -> DataFrame:
-    """Write a table of any size to the shared folder as Parquet and go on from there.
+    """Write a table to the shared folder as Parquet and go on from there.
 
-    For the same use as :func:`cut_lineage`, where columns and compression matter. The size of the
-    files then tells Spark what it may broadcast.
+    Used where later steps read the same rows several times and must see the same ones each time,
+    also after an executor was lost. The size of the files then tells Spark what it may broadcast.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sojourn-{uuid.uuid4().hex}.parquet"
+    path = scratch_path(df.sparkSession, ".parquet")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """:func:`write_once` for a table that nothing reads after the block; it is removed there."""
+    path = scratch_path(df.sparkSession, ".parquet")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        _remove(df.sparkSession, path)

@@ -1,7 +1,7 @@
 import os
 import subprocess
 import sys
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,14 +10,13 @@ from sojourn.functions.nulls import ascending
 from sojourn.operators.classify import UNMATCHED, classify, outcome, terminal, unmatched
 from sojourn.operators.cohort import drop_flagged, only_in, repeated, restrict_to, restrict_to_ids
 from sojourn.operators.counts import freq, n_people, n_people_by, null_count, share, table_of
-from sojourn.operators.dedupe import collapse_episodes, concat_over, dedupe_first, latest
-from sojourn.operators.hot import split_by_group_size
-from sojourn.operators.joins import crosswalk, is_short, label_codes, lookup, merge_inner
+from sojourn.operators.dedupe import collapse_episodes, dedupe_first, history, latest
+from sojourn.operators.joins import crosswalk, label_codes, lookup, merge_inner
 from sojourn.operators.pivot import pivot_wide, pivot_with_total
 from sojourn.operators.rolling import rolling_mean_centered
 from sojourn.operators.topk import top_n_with_ties
 from sojourn.plans import arrests, custody
-from sojourn.session import shared_dir
+from sojourn.session import release, scratch_path, shared_dir, stored, write_once
 from sojourn.sources.sinks import sink_csv
 from sojourn.sources.tables import file_info, register, scan, scan_csv
 
@@ -40,8 +39,10 @@ def test_restrict_and_difference_take_null_as_a_key(spark):
     assert sorted(r[1] for r in rows(restrict_to(df, cohort, "id"))) == ["a", "b", "d"]
     assert rows(only_in(df, cohort, "id")) == [(2,)]
     assert rows(repeated(df, "id")) == [(1, 2)]
-    for ids in ([1], list(range(1, 1) or [1]) + list(range(10, 3000))):
-        assert sorted(r[1] for r in rows(restrict_to_ids(df, "id", ids))) == ["a", "b"]
+    for more in ([], list(range(10, 3000))):  # a list of any length gives the same rows
+        assert sorted(r[1] for r in rows(restrict_to_ids(df, "id", [1, *more]))) == ["a", "b"]
+        assert sorted(r[1] for r in rows(restrict_to_ids(df, "id", [1, None, *more]))) == ["a", "b", "d"]
+    assert rows(restrict_to_ids(df, "id", [])) == [] and rows(restrict_to_ids(df, "id", [None])) == [(None, "d")]
 
 
 def test_merge_suffixes_and_null_keys(spark):
@@ -64,10 +65,6 @@ def test_lookup_drops_and_label_keeps_unknown_codes(spark):
     ]
 
 
-def test_short_tables(spark):
-    assert is_short(spark.range(10), 10) and not is_short(spark.range(11), 10)
-
-
 def test_merge_size_without_pairs(spark):
     left = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "unique_identifier string")
     right = spark.createDataFrame([("a",), ("a",), ("a",), ("c",), (None,)], "unique_identifier string")
@@ -109,30 +106,31 @@ def test_first_and_latest(spark):
     stays = df.toDF("unique_identifier", "stay_book_in_date_time", "n")
     # same-time duplicates first, then the last stay
     two_steps = latest(dedupe_first(stays, stays.columns[:2], ascending("n")), stays.columns[0], stays.columns[1], ["n"])
-    assert sorted(rows(custody.latest_stays(stays, "n")), key=repr) == sorted(rows(two_steps), key=repr)
+    assert sorted(rows(custody.latest_stays(stays, ["n"])), key=repr) == sorted(rows(two_steps), key=repr)
 
 
-@pytest.mark.parametrize("limit", [3, 1000])
-def test_collapse_joins_paths_in_order(spark, limit):
-    data = [("p", date(2026, 1, 1 + i), f"{i}; ", 2, i) for i in range(8)] + [("q", date(2026, 2, 1), "x; ", 1, 0), ("q", None, "y; ", 1, 1)]
+@pytest.mark.parametrize("n", [8, 3000])
+def test_history_and_collapse_have_one_shape_at_every_size(spark, n):
+    data = [("p", date(2026, 1, 1) + timedelta(i), f"{i}; ", 2, i) for i in range(n)]
+    data += [("q", date(2026, 2, 1), "x; ", 1, 0), ("q", None, "y; ", 1, 1), (None, None, "z; ", 1, 1)]
     df = spark.createDataFrame(data, "id string, t date, path string, n int, k int").repartition(4)
-    found = {(r["id"], r["part"]): r for r in collapse_episodes(df, "id", "t", "path", "n", ["k"], limit).collect()}
-    parts = sorted(k for k in found if k[0] == "p")
-    assert "".join(found[k]["path"] for k in parts) == "0; 1; 2; 3; 4; 5; 6; 7; "
-    assert len(parts) == (3 if limit == 3 else 1)
-    assert sum(found[k]["n"] for k in parts) == 16 and sum(found[k]["n_rows"] for k in parts) == 8
-    assert found["q", 0]["path"] == "x; y; "
-    kept = concat_over(df, "id", "t", "path", "all_paths", ["k"], limit).collect()
-    assert len(kept) == len(data)
-    assert all(r["all_paths"] == found[r["id"], r["part"]]["path"] for r in kept)
-
-
-def test_split_by_group_size(spark):
-    df = spark.createDataFrame([("a", i) for i in range(9)] + [(None, 1)] * 4 + [("b", 1)], "k string, n int")
-    split = split_by_group_size(df, ["k"], 3)
-    assert rows(split.small) == [("b", 1)]
-    assert split.large.count() == 13 and {r["group_rows"] for r in split.large.collect()} == {9, 4}
-    assert split_by_group_size(df, ["k"], 9).large is None
+    pieces = {}
+    for r in history(df, "id", "t", "path", ["k"]).orderBy("position").collect():
+        pieces.setdefault(r["id"], []).append((r["position"], r["path"]))
+    assert pieces["p"] == [(i + 1, f"{i}; ") for i in range(n)]
+    assert pieces["q"] == [(1, "x; "), (2, "y; ")] and pieces[None] == [(1, "z; ")]
+    found = {r["id"]: tuple(r)[1:] for r in collapse_episodes(df, "id", "t", "n").collect()}
+    assert found == {"p": (date(2026, 1, 1), 2 * n, n), "q": (date(2026, 2, 1), 2, 2), None: (None, 1, 1)}
+
+
+def test_first_arrest_has_a_time(spark):
+    t = datetime(2026, 1, 5)
+    arrests = spark.createDataFrame(
+        [("p", None, "none"), ("p", t, "first"), ("p", t + timedelta(1), "later"), ("q", None, "only")],
+        "unique_identifier string, apprehension_date_time timestamp_ntz, apprehension_criminality string",
+    )
+    stays = spark.createDataFrame([("p",), ("q",)], "unique_identifier string")
+    assert sorted(rows(custody.arrested_stays(stays, arrests))) == [("p", 3, "first"), ("q", 1, "only")]
 
 
 # Classification
@@ -223,14 +221,39 @@ def test_scan_register_and_file_info(spark, tmp_path):
 
 
 def test_shared_dir_is_the_session_setting(tmp_path):
-    """Checkpoints go to the folder the cluster names. Needs a session of its own."""
+    """Tables go to the folder the cluster names. Needs a session of its own."""
     script = f"""
 from pyspark.sql import SparkSession
-from sojourn.session import cut_lineage, shared_dir
+from sojourn.session import shared_dir, write_once
 spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
          .config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate())
-assert cut_lineage(spark.range(5)).count() == 5
+assert write_once(spark.range(5)).count() == 5
 assert shared_dir(spark) == "{tmp_path}/shared"
 """
     subprocess.run([sys.executable, "-c", script], check=True, cwd=os.path.dirname(os.path.dirname(__file__)))
     assert list((tmp_path / "shared").rglob("part-*"))
+
+
+def test_written_tables_are_removed(spark):
+    folder = shared_dir(spark)
+    release(spark)
+    before = set(os.listdir(folder))
+    with stored(spark.range(3)) as table:
+        assert table.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+    write_once(spark.range(3))
+    spark.range(3).write.csv(scratch_path(spark, ".csv"))
+    assert len(set(os.listdir(folder)) - before) == 2
+    release(spark)
+    assert set(os.listdir(folder)) == before
+
+
+def test_unlisted_names_are_counted_or_refused(spark):
+    df = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "new"), ("y", None)], "site string, why string")
+    found = {r["site"]: r.asDict() for r in pivot_with_total(df, "site", "why").collect()}
+    assert found["y"] == {"site": "y", "NA": 1, "a": None, "b": None, "new": 1, "total": 2}
+    kept = {r["site"]: tuple(r) for r in pivot_with_total(df, "site", "why", keep=["a"]).collect()}
+    assert kept == {"x": ("x", 1, 2, 1), "y": ("y", None, 2, 2)}
+    counted = df.groupBy("site", "why").count()
+    with pytest.raises(Exception, match="no column is listed for the name new"):
+        pivot_wide(counted, ["site"], "why", "count", ["a", "b", "NA"]).collect()

@@ -33,9 +33,7 @@ def test_longer_path_is_cut_to_its_stints_and_counted(spark):
     assert path_mismatches(df, "path", "n").first().asDict() == {"n_mismatched": 1, "n_rows": 2}
 
 
-@pytest.mark.parametrize("short", [True, False])
-def test_names_fall_back_to_codes_and_spare_outcomes(spark, monkeypatch, short):
-    monkeypatch.setattr("sojourn.operators.paths.is_short", lambda df: short)
+def test_names_fall_back_to_codes_and_spare_outcomes(spark):
     # an outcome that looks like a code must not be looked up; two codes share a name
     df = spark.createDataFrame([("A; Q; ", 2, "B", None), ("B; Q; ", 2, "B", "A")], STAY)
     names = spark.createDataFrame([("A", "Place"), ("B", "Place"), (None, "none")], "code string, name string")
@@ -54,28 +52,27 @@ def stints():
     return rows
 
 
-@pytest.mark.parametrize("limit", [10, 100, 10**6])
-def test_big_stays_give_the_same_edges(spark, stints, limit):
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_stays_across_parts_give_their_edges(spark, stints, parts):
+    """One stay has most of the rows; with many parts it covers several of them whole."""
     rows = spark.createDataFrame(stints, "stay int, a int, b int, place string").repartition(7)
+    rows = rows.union(spark.createDataFrame([(None, 1, 1, "A")], rows.schema))
     ends = spark.createDataFrame([(1, "X", "Y"), (2, "X", None), (3, "Z", "W"), (4, "X", None)], "stay int, o string, c string")
-    found = stint_edges(rows, ends, "stay", "place", ["a", "b"], "o", "c", limit=limit)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = stint_edges(rows, ends, "stay", "place", ["a", "b"], "o", "c", by_length=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     expected = []
-    for stay, out, country in ((1, "X", "Y"), (2, "X", None), (3, "Z", "W"), (4, "X", None)):
-        stops = [r[3] for r in sorted(r for r in stints if r[0] == stay)]
+    for stay, out, country in ((1, "X", "Y"), (2, "X", None), (3, "Z", "W"), (4, "X", None), (5, None, None)):
+        stops = [r[3] for r in sorted((r for r in stints if r[0] == stay), key=lambda r: r[1:3])]
         n = len(stops)
-        stops += [out] + ([country] if country else [])
+        stops += ([out] if out else []) + ([country] if country else [])
         expected += [(n, s, d, i + 1, i + 2) for i, (s, d) in enumerate(zip(stops, stops[1:]))]
-    got = [tuple(r)[:5] for r in found.collect()]
-    assert sorted(map(repr, got)) == sorted(map(repr, expected))
-
-
-@pytest.mark.parametrize("limit", [3, 10, 100])
-def test_only_short_stays(spark, stints, limit):
-    rows = spark.createDataFrame(stints, "stay int, a int, b int, place string")
-    ends = spark.createDataFrame([(i, "X", None) for i in range(1, 6)], "stay int, o string, c string")
-    found = stint_edges(rows, ends, "stay", "place", ["a", "b"], "o", "c", longest=5, limit=limit)
-    first = found.where("step_from = 1").groupBy("n_stints").count()
-    assert {tuple(r) for r in first.collect()} == {(1, 1), (2, 1), (5, 1)}
+    assert sorted(repr(tuple(r)[:5]) for r in found) == sorted(map(repr, expected))
 
 
 def test_row_index_per_key_and_over_all(spark, stints):

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +11,7 @@ PROBS = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
 
 def test_interpolates(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "v double")
-    for limit in (0, 100):
-        assert quantiles(rows, "v", {"p": 0.9}, limit=limit).first()["p"] == pytest.approx(3.7)
+    assert quantiles(rows, "v", {"p": 0.9}).first()["p"] == pytest.approx(3.7)
 
 
 @pytest.fixture(scope="module")
@@ -27,11 +28,10 @@ def values():
     return [(k, float(x) if rng.random() > 0.02 else None, int(w)) for k, x, w in zip(keys, v, rng.integers(1, 4, n))]
 
 
-@pytest.mark.parametrize("limit", [0, 500, 10**6])
 @pytest.mark.parametrize("weight", [None, "w"])
-def test_matches_numpy(spark, values, limit, weight):
+def test_matches_numpy(spark, values, weight):
     rows = spark.createDataFrame(values, "k string, v double, w int").repartition(5)
-    found = {r["k"]: r for r in quantiles(rows, "v", PROBS, ["k"], weight, limit).collect()}
+    found = {r["k"]: r for r in quantiles(rows, "v", PROBS, ["k"], weight).collect()}
     assert set(found) == {"hot", "b", "c", None}
     for key, row in found.items():
         v = [x for k, x, w in values if k == key and x is not None for _ in range(w if weight else 1)]
@@ -39,15 +39,30 @@ def test_matches_numpy(spark, values, limit, weight):
         assert [row[p] for p in PROBS] == pytest.approx(list(expected), rel=1e-12, abs=1e-15)
 
 
+def test_special_values_have_one_order(spark):
+    """NaN is the largest value, infinities lie at the ends, and -0.0 is 0."""
+    nan, inf = float("nan"), float("inf")
+
+    def median(*values):
+        return quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", {"p": 0.5}).first()["p"]
+
+    for copies in (1, 3000):
+        assert median(*[1.0, 2.0, 3.0, nan, nan] * copies) == 3.0
+    assert math.isnan(median(1.0, nan, nan)) and math.isnan(median(1.0, nan))
+    assert median(-inf, -inf, 5.0, inf) == -inf and median(inf, inf) == inf
+    assert median(-0.0, 0.0, 0.0) == 0.0
+    assert median(1e15 + 1, 1e15 + 2, 1e15 + 3, 1e15 + 5) == 1e15 + 2.5
+
+
 def test_single_value_groups(spark):
     rows = spark.createDataFrame([("a", 5.0), ("b", 0.0), ("b", 0.0)], "k string, v double")
-    found = {r["k"]: tuple(r)[1:] for r in quantiles(rows, "v", PROBS, ["k"], limit=0).collect()}
+    found = {r["k"]: tuple(r)[1:] for r in quantiles(rows, "v", PROBS, ["k"]).collect()}
     assert found == {"a": (5.0,) * 5, "b": (0.0,) * 5}
 
 
 def test_summary_counts_nulls(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (6.0,), (None,)], "v double")
-    assert summary(rows, "v", limit=0).first().asDict() == {
+    assert summary(rows, "v").first().asDict() == {
         "min": 1.0, "q1": 1.5, "median": 2.0, "mean": 3.0, "q3": 4.0, "max": 6.0, "n_null": 1,
     }
 
@@ -80,3 +95,11 @@ def test_histogram_takes_round_widths(spark, top, width):
     assert first["bin_to"] - first["bin_from"] == pytest.approx(width)
     with pytest.raises(ValueError):
         histogram(rows, "v")
+
+
+@pytest.mark.parametrize(("value", "edges"), [(5.0, (5.0, 5.1)), (0.0, (0.0, 1.0)), (-3.0, (-3.0, -2.95))])
+def test_histogram_of_equal_values_is_one_bin(spark, value, edges):
+    rows = spark.createDataFrame([(value,)] * 4, "v double")
+    (found,) = histogram(rows, "v", breaks=60).collect()
+    assert found["count"] == 4 and found["bin_from"] <= value <= found["bin_to"]
+    assert (found["bin_from"], found["bin_to"]) == pytest.approx(edges)

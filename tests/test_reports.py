@@ -32,6 +32,7 @@ def inputs(spark):
             ("p4", t(2025, 11, 1, 12), t(2025, 11, 2), 1, hold, area, "Paroled", None),
             ("p6", t(2025, 12, 20), None, 1, hold, area, None, None),
             ("p7", t(2025, 12, 20), None, 1, "FAR", "elsewhere", None, None),
+            ("p8", t(2025, 12, 20), None, 1, "JAIL", area, None, None),  # booked in by the area, never at the facility
         ],
         "unique_identifier string, stay_book_in_date_time timestamp_ntz, stay_book_out_date_time timestamp_ntz, n_stints int,"
         "detention_facility_codes_all string, book_in_aor string, stay_release_reason string, departure_country string",
@@ -103,7 +104,7 @@ def test_durations_count_a_stint_once_per_arrest(reports):
     assert rows(reports["stint_lengths"]) == {("Holding Building", 0.5, 0.5, 0.5, 2, 1, "MN"), ("Camp", 8.0, 8.0, 8.0, 2, 1, "TX")}
     assert rows(reports["durations_2"]) == {(8.0, 2)}
     assert rows(reports["long_stays_1"]) == {(0.0,)} and rows(reports["long_stays_2"]) == {(1.0,)}
-    assert reports["histogram_1"].first()["count"] == 2
+    assert rows(reports["histogram_1"]) == {(0.5, 0.51, 2)}
     assert reports["held_summary"].first()["max"] == 12.0
 
 
@@ -123,6 +124,11 @@ def test_arrests(reports):
 
 
 def test_requests_and_population(reports):
+    assert rows(reports["prefixed_reasons"]) == {("Booked into Detention", 1), ("Something else", 1)}
+    assert rows(reports["prefixed_booked_by_facility"]) == {("ADC", 1)}
+    assert reports["requests_first_day"].count() == 1
+    assert {r["unique_identifier"] for r in reports["arrested_again_rows"].collect()} == {"p1"}
+    assert reports["episode_map"].count() == 2
     by_reason = {r["detention_facility"]: r.asDict() for r in reports["requests_by_reason"].collect()}
     assert (by_reason["ADC"]["total"], by_reason["ADC"]["other"], by_reason["JAIL"]["NA"]) == (2, 1, 1)
     assert rows(reports["requests_per_month"]) == {("2025-11", 1), ("2025-12", 2), ("2026-01", 1)}
@@ -130,9 +136,15 @@ def test_requests_and_population(reports):
 
 
 def test_every_report_is_written(spark, reports, tmp_path):
-    chosen = ("detention_by_outcome", "occupancy_week", "types_by_day")
+    chosen = ("detention_by_outcome", "occupancy_week", "types_by_day", "arrests_by_country", "requests_per_month")
     write({name: reports[name] for name in chosen}, str(tmp_path))
     back = spark.read.csv(str(tmp_path / "detention_by_outcome"), header=True)
-    assert back.columns == ["outcome", "count"] and back.count() == 2
+    assert rows(back) == {("Deported from country", "1"), ("Detained as of early March", "1")}
+    assert rows(spark.read.csv(str(tmp_path / "arrests_by_country"), header=True)) == {
+        ("1", "Mexico", "2"), ("2", "Dem Rep of the Congo", "1")
+    }
+    assert rows(spark.read.csv(str(tmp_path / "requests_per_month"), header=True)) == {
+        ("1", "2025-11", "1"), ("2", "2025-12", "2"), ("3", "2026-01", "1")
+    }
     for df in reports.values():
         df.write.format("noop").mode("overwrite").save()
