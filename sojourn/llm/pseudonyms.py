@@ -170,7 +170,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Permute], str | None]]] = {
     "mail": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", _mail),
     "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     "date": (r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])", _date),
-    "address": (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])", _address),
+    "address": (r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])", _address),
     "social": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])", _social),
     "phone": (
         r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
