@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.functions.nulls import join_null_safe
+
 
 def rolling_mean_centered(
     df: DataFrame,
@@ -29,3 +31,16 @@ def rolling_mean_centered(
     known = F.count(value).over(around) == k
     mean = F.when(known, F.avg(value).over(around))
     return df.withColumn(out, F.when(full, mean).otherwise(F.lit(float(fill))))
+
+
+def densify(df: DataFrame, keys: Sequence[str], day: str, value: str, fill: float | int = 0) -> DataFrame:
+    """A row for every day between a series' first and last one; days that were missing get ``fill``.
+
+    ``df`` has one row per series and day. Put before :func:`rolling_mean_centered` it makes the frame
+    count days. A row without a day is left out.
+    """
+    dated = df.where(F.col(day).isNotNull())
+    spans = dated.groupBy(*keys).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    days = spans.select(*keys, F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias(day))
+    filled = join_null_safe(days, dated.select(*keys, day, F.col(value).alias("known")), [*keys, day], "left")
+    return filled.select(*keys, day, F.coalesce("known", F.lit(fill)).alias(value))

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sojourn.session import tune
 from sojourn.sources.tables import scan
 
 
-@cache
-def _schema(spark: SparkSession, path: str) -> StructType:
-    return spark.read.parquet(path).schema
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Its schema is read from a file once per session and not again for each query."""
-    path = f"{sf_dir}/{name}.parquet"
-    return scan(tune(spark), path, schema=_schema(spark, path))
+    """A test table."""
+    return scan(tune(spark), f"{sf_dir}/{name}.parquet")
 
 
 REASON = """CASE

@@ -35,7 +35,7 @@ from sojourn.operators.dedupe import collapse_episodes, dedupe_first, history, l
 from sojourn.operators.joins import crosswalk, label_codes, lookup, merge_inner
 from sojourn.operators.pivot import fold_other, pivot_wide, pivot_with_total, row_total
 from sojourn.operators.quantiles import duration_profile, histogram, quantiles, summary
-from sojourn.operators.rolling import rolling_mean_centered
+from sojourn.operators.rolling import densify, rolling_mean_centered
 from sojourn.operators.topk import top_n, top_n_with_ties, with_row_index
 from sojourn.plans.fixtures import facilities, stints, table
 from sojourn.plans.registry import query
@@ -456,6 +456,16 @@ def rolling_mean_7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolling_mean_centered(_daily(spark, sf_dir), ["event_type"], "day", "n"), "rolling_avg")
 
 
+@query(
+    f"""SELECT event_type, CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n FROM
+      (SELECT event_type, unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM ({DAILY}) GROUP BY 1) d
+      LEFT JOIN ({DAILY}) USING (event_type, day)"""
+)
+def calendar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts with a row for every day."""
+    return densify(_daily(spark, sf_dir), ["event_type"], "day", "n")
+
+
 @query(f"SELECT day, {_cells("max(CASE WHEN event_type = '{t}' THEN rolling_avg END)")} FROM ({ROLLED}) GROUP BY day")
 def rolling_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = rolling_mean_centered(_daily(spark, sf_dir), ["event_type"], "day", "n")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sojourn.functions.dates import as_date, in_period
 from sojourn.functions.nulls import ascending, descending
 from sojourn.functions.text import passes_through
+from sojourn.operators.classify import DEPORTED
 from sojourn.operators.cohort import drop_flagged, repeated, restrict_to
 from sojourn.operators.counts import freq, n_people
 from sojourn.operators.occupancy import daily, occupancy_wide, weekly
@@ -94,6 +95,7 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEB
     period_stints = custody.cohort_stints(inputs.stints, period_stays, midnight(scope.since))
     latest = write_once(custody.latest_stays(custody.arrested_stays(period_stays, period_arrests), tiebreak))
     stints = write_once(custody.arrested_stints(period_stints, period_arrests))
+    deported = custody.with_outcome(latest).where(F.col("outcome") == DEPORTED)
     state_arrests = arrests.where(F.col("apprehension_state") == scope.state)
     typed = state_arrests.where(in_period(F.col("apprehension_date"), scope.types_since))
     requests = detainers.cleaned(inputs.detainers)
@@ -112,6 +114,9 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEB
         "release_reasons": freq(latest, "stay_release_reason"),
         "detention_by_outcome": custody.outcome_counts(latest),
         "deportation_by_country": custody.terminal_counts(latest),
+        "deported_by_criminality": freq(deported, "apprehension_criminality"),
+        "stay_countries": freq(period_stays, "departure_country"),
+        "stay_release_reasons": freq(period_stays, "stay_release_reason"),
         "length_shares": custody.length_shares(latest),
         "length_p90": quantiles(latest, "n_stints", {"p90": 0.9}),
         "path_mismatches": path_mismatches(latest, custody.PATH, "n_stints"),
@@ -154,6 +159,12 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEB
         "rolling_population": population.rolling_population(inputs.population),
     }
 
+    # columns that an input may lack
+    if "final_order_yes_no" in latest.columns:
+        out["deported_by_final_order"] = freq(deported, "final_order_yes_no")
+    if "detention_facility_last" in period_stays.columns:
+        out["last_facilities"] = freq(period_stays, "detention_facility_last")
+
     for i, place in enumerate(scope.places, 1):
         durations = custody.place_durations(stints, place, "detention_facility", "weight")
         out[f"durations_{i}"] = durations

@@ -13,7 +13,7 @@ from sojourn.operators.counts import freq, n_people, n_people_by, null_count, sh
 from sojourn.operators.dedupe import collapse_episodes, dedupe_first, history, latest
 from sojourn.operators.joins import crosswalk, label_codes, lookup, merge_inner
 from sojourn.operators.pivot import pivot_wide, pivot_with_total
-from sojourn.operators.rolling import rolling_mean_centered
+from sojourn.operators.rolling import densify, rolling_mean_centered
 from sojourn.operators.topk import top_n_with_ties
 from sojourn.plans import arrests, custody
 from sojourn.session import release, scratch_path, shared_dir, stored, write_once
@@ -257,3 +257,12 @@ def test_unlisted_names_are_counted_or_refused(spark):
     counted = df.groupBy("site", "why").count()
     with pytest.raises(Exception, match="no column is listed for the name new"):
         pivot_wide(counted, ["site"], "why", "count", ["a", "b", "NA"]).collect()
+
+
+def test_densify_fills_missing_days(spark):
+    day = lambda d: date(2026, 1, d)
+    data = [("a", day(1), 5), ("a", day(4), 7), (None, day(2), 1), ("a", None, 9)]
+    df = spark.createDataFrame(data, "k string, day date, n int")
+    found = sorted(rows(densify(df, ["k"], "day", "n")), key=repr)
+    expected = [("a", day(1), 5), ("a", day(2), 0), ("a", day(3), 0), ("a", day(4), 7), (None, day(2), 1)]
+    assert found == sorted(expected, key=repr)
