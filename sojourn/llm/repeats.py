@@ -73,7 +73,7 @@ def _first_minimum(values: np.ndarray, width: int) -> np.ndarray:
     best, place, span = values.copy(), np.zeros(len(values), np.int64), 1
     while span < width:
         step = min(span, width - span)  # runs may overlap
-        n = len(values) - step
+        n = max(0, len(values) - step)
         later = best[step:] < best[:n]
         place[:n] = np.where(later, place[step:] + step, place[:n])
         best[:n] = np.where(later, best[step:], best[:n])
