@@ -15,7 +15,8 @@ is thus mostly linked by star-shaped comparisons, and no link between components
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,47 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.common import bounds, prepare, span_hashes, text_slices, word_hashes, words_of
 from sojourn.llm.components import components
-from sojourn.session import write_once
+from sojourn.session import stored, write_once
 
-#: Counters of the frequency sketch, as a power of two: 1 MB, whatever the input.
-SKETCH_BITS = 18
-_BLOCK = 1 << 12
+#: Counters of the frequency sketch, as a power of two: 4 MB, whatever the input.
+SKETCH_BITS = 20
+#: Bits of the table of wanted sets, as a power of two: 1 MB, whatever the input.
+WANTED_BITS = 23
+_BLOCKS = 64
 #: Most shared n-grams that a document may ask for.
-MOST_SHARED = 4
+MOST_SHARED = 6
 #: Cost of verifying a candidate, where reading one posting costs 1.
 VERIFY_COST = 8
+#: Other documents that share an n-gram which isn't among the frequent ones.
+ORDINARY = 0.25
+
+
+def combined(rows: DataFrame, start: np.ndarray, fold: Callable, combine: np.ufunc) -> np.ndarray:
+    """An array of fixed size that `fold(array, batch)` fills in each task; the tasks' arrays are combined."""
+    kind = "block int, data binary"
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = start.copy()
+        for batch in batches:
+            fold(total, batch)
+        blocks = [zlib.compress(b.tobytes(), 1) for b in np.split(total, _BLOCKS)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "data"]
+        )
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.split(start, _BLOCKS)[0].copy()
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                combine(total, np.frombuffer(zlib.decompress(data), start.dtype), out=total)
+        data = zlib.compress(total.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"]
+        )
+
+    parts = rows.mapInArrow(fill, kind).groupBy("block").applyInArrow(merge, kind).collect()  # _BLOCKS rows
+    found = {r["block"]: np.frombuffer(zlib.decompress(r["data"]), start.dtype) for r in parts}
+    return np.concatenate([found[i] for i in range(_BLOCKS)]) if found else start
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -60,51 +93,30 @@ def _node(grams: np.ndarray) -> int:
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many documents have an n-gram of each hash bucket: exact counts over all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint64)
-        for _, texts in text_slices(batches):
-            grams = [g for g in shingle_sets(texts, width)]
-            buckets = np.concatenate(grams) >> np.uint64(64 - SKETCH_BITS)
-            total += np.bincount(buckets.astype(np.int64), minlength=len(total)).astype(np.uint64)
-        blocks = total.reshape(-1, _BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
-            names=["block", "counts"],
-        )
+    def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, texts in text_slices([batch]):
+            buckets = np.concatenate(list(shingle_sets(texts, width))) >> np.uint64(64 - SKETCH_BITS)
+            np.add.at(total, buckets.astype(np.int64), 1)
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_BLOCK, np.uint64)
-        for batch in batches:
-            for counts in batch.column("counts").to_pylist():
-                total += np.frombuffer(counts, np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())],
-            names=["block", "counts"],
-        )
-
-    kind = "block int, counts binary"
-    blocks = docs.select("text").mapInArrow(count, kind).groupBy("block").applyInArrow(add, kind).collect()
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for row in blocks:  # at most 2^SKETCH_BITS counters in all
-        sketch.reshape(-1, _BLOCK)[row["block"]] = np.frombuffer(row["counts"], np.uint64)
-    return sketch
+    return combined(docs.select("text"), np.zeros(1 << SKETCH_BITS, np.uint64), count, np.add)
 
 
 def choose_prefix(grams: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """How many shared n-grams a document asks for, and its prefix in the common order."""
     n = len(grams)
     load = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    ordered = grams[np.lexsort((grams, load))]
+    order = np.argsort(load, kind="stable")  # equal loads stay in order of the hashes
     needed = -(-percent * n // 100)
     most = min(MOST_SHARED, needed)
     mean = float(sketch.mean())
     # what a bucket holds beyond its share and three standard deviations belongs to a frequent n-gram
-    others = np.maximum(np.sort(load)[: n - needed + most] - (mean + 3 * mean**0.5), 0).cumsum()
+    load = load[order[: n - needed + most]]
+    others = (np.maximum(load - (mean + 3 * mean**0.5), 0) + ORDINARY).cumsum()
     shared = np.arange(1, most + 1)
     length = n - needed + shared
     cost = length + others[length - 1] * (1 + VERIFY_COST / shared)
     best = int(np.argmin(cost))
-    return best + 1, ordered[: length[best]]
+    return best + 1, grams[order[: length[best]]]
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -139,46 +151,64 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, grams) of the documents that stand for the wanted nodes."""
-    chosen = docs.select("doc_id", "text").join(wanted, F.expr("doc_id <=> first_id"), "left_semi")
+    """(node, grams) of the wanted nodes, and of a few others, from one scan that shuffles no text."""
+
+    def mark(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        bit = batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)
+        np.bitwise_or.at(total, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+
+    marks = combined(wanted, np.zeros(1 << WANTED_BITS >> 3, np.uint8), mark, np.bitwise_or)
+    table = docs.sparkSession.sparkContext.broadcast(marks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_slices(batches):
-            found = [g for g in shingle_sets(texts, width) if len(g)]
+            found = {}
+            for grams in shingle_sets(texts, width):
+                if len(grams):
+                    node = _node(grams)
+                    bit = node & ((1 << WANTED_BITS) - 1)
+                    if table.value[bit >> 3] >> (bit & 7) & 1:
+                        found[node] = grams.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(_node, found), pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())],
-                names=["node", "grams"],
+                [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["node", "grams"]
             )
 
-    return chosen.select("text").mapInArrow(read, "node long, grams binary")
+    read_sets = docs.select("text").mapInArrow(read, "node long, grams binary")
+    return read_sets.groupBy("node").agg(F.first("grams").alias("grams"))
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    The sets of b join where their copies were just made one; those of a, of which there are fewer, come
+    from a written table, so that Spark can split the pairs of a head that has many.
+    """
+    left = write_once(_sets(docs, pairs.select("a").distinct(), width)).toDF("a", "left")
+    right = _sets(docs, pairs.select("b").distinct(), width).toDF("b", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left"), batch.column("right")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def _close(percent: int, x: str, y: str) -> str:
-    """Sizes allow the threshold, and both postings lie in the prefix of the weaker demand."""
-    need = f"least({x}.asked, {y}.asked)"
-
-    def within(p: str) -> str:
-        return f"{p}.pos < {p}.n - ceil({percent} * {p}.n / 100) + {need}"
+    """Sizes allow the threshold, and both postings lie where the first of the n-grams asked for have to be.
 
+    Similar sets share at least `common` n-grams. Behind the k-th shared one are common - k others, so its
+    position in a set of n is below n - common + k.
+    """
+    common = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
+    asked = f"least({x}.asked, {y}.asked)"
     return (
-        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {within(x)} AND {within(y)}"
+        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) "
+        f"AND {x}.pos < {x}.n - {common} + {asked} AND {y}.pos < {y}.n - {common} + {asked}"
     )
 
 
@@ -196,28 +226,44 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
         signed.where("node IS NOT NULL")
         .groupBy("node")
         .agg(
-            F.min("doc_id").alias("first_id"),
             F.first("n_shingles").cast("int").alias("n"),
             F.first("asked").alias("asked"),
             F.first("prefix").alias("prefix"),
         )
     )
-    postings = nodes.select("node", "n", "asked", "first_id", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("head")).where("df > 1")
-    lists = write_once(postings.join(shared.select("token", "head"), "token"))
-    sets = write_once(_sets(docs, lists.select("first_id").distinct(), width))
+    postings = nodes.select("node", "n", "asked", F.posexplode("prefix").alias("pos", "token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("asked").alias("weakest")).where("df > 1")
+    # a node with fewer shared n-grams than it or any possible partner asks for is in no pair
+    with stored(postings.join(shared, "token")) as lists:
+        able = (
+            lists.groupBy("node")
+            .agg(
+                F.count("*").alias("shared"),
+                F.min(F.least("asked", "weakest")).alias("least"),
+                (F.sum("df") / F.expr(f"first(n) - ceil({percent} * first(n) / 100) + first(asked)")).alias("central"),
+            )
+            .where("shared >= least")
+        )
+        able = write_once(able.select("node", "central"))
+        lists = write_once(lists.join(able, "node").select("token", "node", "n", "asked", "pos", "central"))
 
-    # round 1: each node with the head it shares the most n-grams with
+    # round 1: each node with the head of a list that it shares the most n-grams with; the head of a list is
+    # the node whose prefix is the most common: a text that copies differ from, rather than a changed copy
+    head = F.max_by(F.struct("node", "n", "asked", "pos"), F.struct("central", "node")).alias("x")
+    heads = lists.groupBy("token").agg(head)
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     stars = (
-        lists.where("head <> node")
-        .groupBy(F.col("node").alias("b"), F.col("head").alias("a"))
-        .agg(F.count("*").alias("shared"))
+        lists.alias("y")
+        .join(heads, "token")
+        .where(f"x.node <> y.node AND {_close(percent, 'x', 'y')}")
+        .groupBy(F.col("y.node").alias("b"), F.col("x.node").alias("a"))
+        .agg(F.count("*").alias("shared"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"))
+        .where("shared >= asked")
         .withColumn("rank", F.row_number().over(best))
         .where("rank = 1")
         .select("a", "b")
     )
-    links = write_once(_verified(stars, sets, percent))
+    links = write_once(_verified(write_once(stars), docs, width, percent))
     part = components(links)
 
     # round 2: all candidates in different components
@@ -227,14 +273,15 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_lists = write_once(placed.join(mixed.select("token"), "token", "left_semi"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
+    apart = "x.token = y.token AND x.node < y.node AND x.root <> y.root"
     pairs = (
-        x.join(y, F.expr(f"x.token = y.token AND x.node < y.node AND x.root <> y.root AND {_close(percent, 'x', 'y')}"))
+        x.join(y, F.expr(f"{apart} AND {_close(percent, 'x', 'y')}"))
         .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .agg(F.count("*").alias("shared"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"))
         .where("shared >= asked")
         .select("a", "b")
     )
-    more = write_once(_verified(pairs, sets, percent))
+    more = write_once(_verified(write_once(pairs), docs, width, percent))
     root = components(links.union(more))
 
     members = signed.select("doc_id", "n_shingles", "node").join(root, "node", "left").withColumn(
