@@ -11,7 +11,6 @@ from sojourn.functions.nulls import ascending
 from sojourn.functions.text import split_path
 from sojourn.operators.joins import crosswalk, label_codes
 from sojourn.operators.topk import sorted_once
-from sojourn.session import write_once
 
 EDGE = ["source", "dest", "step_from", "step_to"]
 #: What an edge leads to: the next place, the outcome, or the country behind the outcome.
@@ -108,8 +107,7 @@ def numbered_steps(stints: DataFrame, stay: str, place: str, order: Sequence[str
         F.max_by("stay", "at").alias("last_stay"),
         F.max("at").alias("last_at"),
     )
-    parts = write_once(parts)  # a row per part
-    at_ends = rows.join(F.broadcast(parts), "part").where("stay = first_stay OR stay = last_stay")
+    at_ends = rows.join(F.broadcast(parts), "part")  # a row per part.where("stay = first_stay OR stay = last_stay")
     runs = at_ends.groupBy("part", "stay").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("stay").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = runs.select("part", F.col("stay").alias("first_stay"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
