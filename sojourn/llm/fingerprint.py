@@ -109,29 +109,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
-    """doc_id and text, and the text of the document with the next smaller id; after the last comes the first.
+    """doc_id and text of each document, and of the one with the next smaller id (after the last: the first)
+    `next_id`, `next_fingerprint` and `donor`, the first half as many characters as the document has itself.
 
-    Rows of one id are ordered by a hash of their text, and equal rows count as one. Only ids and hashes are
-    sorted; a text moves once for itself and once for its neighbour.
+    Rows of one id are ordered by a hash of their text, and equal rows count as one. Only ids, hashes and
+    lengths are sorted. A text is shuffled once, and what its neighbour needs of it once more.
     """
-    keyed = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = filled.select("*", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("h2"))
+    keyed = keyed.groupBy("h1", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    listed = filled.select(
+        "doc_id",
+        F.xxhash64("doc_id", "text").alias("h1"),
+        F.xxhash64(F.lit(1), "text", "doc_id").alias("h2"),
+        F.length("text").alias("n"),
     )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
-    numbered = write_once(with_row_index(keyed.select("doc_id", "h").distinct(), order, "place"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h1"), F.col("h2")]
+    numbered = write_once(with_row_index(listed.distinct(), order, "place"))
     total = numbered.count()
-    after = numbered.select(
-        (F.when(F.col("place") > 1, F.col("place") - 1).otherwise(total)).alias("place"),
-        F.col("doc_id").alias("next_id"),
-        F.col("h").alias("next_h"),
+    before = numbered.select(
+        (F.col("place") % total + 1).alias("place"),
+        F.col("h1").alias("for1"),
+        F.col("h2").alias("for2"),
+        F.floor(F.col("n") / 2).cast("int").alias("half"),
     )
-    pairs = write_once(numbered.join(after, "place").drop("place"))
-    here = keyed.alias("t").join(pairs.alias("p"), F.expr("t.doc_id <=> p.doc_id AND t.h = p.h")).select(
-        "t.doc_id", "t.text", "t.h", "next_id", "next_h"
+    pairs = write_once(numbered.select("h1", "h2", "place").join(before, "place").drop("place"))
+    placed = keyed.join(pairs, ["h1", "h2"])
+    given = placed.select(  # with the id, so that both sides need the same columns of one shuffle
+        F.col("for1").alias("to1"),
+        F.col("for2").alias("to2"),
+        F.col("doc_id").alias("next_id"),
+        F.substring("text", F.lit(1), F.col("half")).alias("donor"),
+        fingerprint(tree(F.col("text"))).alias("next_fingerprint"),
     )
-    following = keyed.select(F.col("doc_id").alias("id2"), F.col("text").alias("next_text"), F.col("h").alias("h2"))
-    found = here.join(following, F.expr("next_id <=> id2 AND next_h = h2"))
-    return found.select("doc_id", "text", "next_text")
+    found = placed.join(given, (F.col("h1") == F.col("to1")) & (F.col("h2") == F.col("to2")))
+    return found.select("doc_id", "text", "next_id", "donor", "next_fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -142,23 +154,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     chars = F.length("text")
-    half = F.floor(chars / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half))
-    texts = with_successor(docs).select("doc_id", "text", "next_text", chars.cast("long").alias("n_chars"), edited.alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), chars - F.floor(chars / 2).cast("int")), F.col("donor"))
+    texts = with_successor(docs).select(
+        "doc_id", "text", "next_id", "next_fingerprint", chars.cast("long").alias("n_chars"), edited.alias("edited")
+    )
     prints = texts.select(
         "doc_id",
         "n_chars",
+        "next_id",
+        "next_fingerprint",
         F.sha2("edited", 256).alias("edited_sha256"),
         tree(F.col("text")).alias("a"),
         tree(F.col("edited")).alias("b"),
-        tree(F.col("next_text")).alias("c"),
     ).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
+        "next_id",
+        "next_fingerprint",
         fingerprint(F.col("a")).alias("fingerprint"),
         fingerprint(F.col("b")).alias("edited_fingerprint"),
-        fingerprint(F.col("c")).alias("next_fingerprint"),
     )
     sets = prints.select(
         "*",
@@ -175,6 +190,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(own, F.col("edited_fingerprint"), a, F.col("b")).alias("near_edited"),
         likeness(own, F.col("next_fingerprint"), a, F.col("c")).alias("near_next"),
+        "next_id",
     )
 
 
@@ -209,14 +225,15 @@ def _sql_likeness(left: str, right: str) -> str:
 SQL = f"""
 WITH ordered AS (SELECT doc_id, coalesce(text, '') AS text,
     coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC),
-      first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next_text FROM documents),
+      first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next_text,
+    coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id FROM documents),
 edited AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2)
     AS edited FROM ordered),
-trees AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+trees AS (SELECT doc_id, next_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
     {_sql_tree("text")} AS a, {_sql_tree("edited")} AS b, {_sql_tree("next_text")} AS c FROM edited),
-prints AS (SELECT doc_id, n_chars, edited_sha256, {_sql_fingerprint("a")} AS fingerprint,
+prints AS (SELECT doc_id, next_id, n_chars, edited_sha256, {_sql_fingerprint("a")} AS fingerprint,
     {_sql_fingerprint("b")} AS edited_fingerprint, {_sql_fingerprint("c")} AS next_fingerprint FROM trees)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
   {_sql_likeness("fingerprint", "edited_fingerprint")} AS near_edited,
-  {_sql_likeness("fingerprint", "next_fingerprint")} AS near_next
+  {_sql_likeness("fingerprint", "next_fingerprint")} AS near_next, next_id
 FROM prints"""
