@@ -96,19 +96,18 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, texts in text_slices([batch]):
             buckets = np.concatenate(list(shingle_sets(texts, width))) >> np.uint64(64 - SKETCH_BITS)
-            np.add.at(total, buckets.astype(np.int64), 1)
+            total += np.bincount(buckets.astype(np.int64), minlength=len(total)).astype(total.dtype)
 
     return combined(docs.select("text"), np.zeros(1 << SKETCH_BITS, np.uint64), count, np.add)
 
 
-def choose_prefix(grams: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """How many shared n-grams a document asks for, and its prefix in the common order."""
+def choose_prefix(grams: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tuple[int, np.ndarray]:
+    """How many shared n-grams a document asks for, and its prefix in the common order; `mean` is the sketch's."""
     n = len(grams)
     load = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.argsort(load, kind="stable")  # equal loads stay in order of the hashes
     needed = -(-percent * n // 100)
     most = min(MOST_SHARED, needed)
-    mean = float(sketch.mean())
     # what a bucket holds beyond its share and three standard deviations belongs to a frequent n-gram
     load = load[order[: n - needed + most]]
     others = (np.maximum(load - (mean + 3 * mean**0.5), 0) + ORDINARY).cumsum()
@@ -125,10 +124,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = sketch.value
+        mean = float(loads.mean())
         for part, texts in text_slices(batches):
             size, node, asked, prefix = [], [], [], []
             for grams in shingle_sets(texts, width):
-                k, tokens = choose_prefix(grams, loads, percent) if len(grams) else (0, grams)
+                k, tokens = choose_prefix(grams, loads, mean, percent) if len(grams) else (0, grams)
                 size.append(len(grams))
                 node.append(_node(grams) if len(grams) else None)
                 asked.append(k)
@@ -198,13 +198,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
+def _common(percent: int, x: str, y: str) -> str:
+    """How many n-grams similar sets share at least."""
+    return f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
+
+
 def _close(percent: int, x: str, y: str) -> str:
     """Sizes allow the threshold, and both postings lie where the first of the n-grams asked for have to be.
 
     Similar sets share at least `common` n-grams. Behind the k-th shared one are common - k others, so its
     position in a set of n is below n - common + k.
     """
-    common = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent})"
+    common = _common(percent, x, y)
     asked = f"least({x}.asked, {y}.asked)"
     return (
         f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) "
@@ -212,6 +217,41 @@ def _close(percent: int, x: str, y: str) -> str:
     )
 
 
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes in different components that share as many n-grams in their prefixes as asked.
+
+    The last of the k shared n-grams asked for has k listed ones up to it in either prefix, so pairs meet at
+    n-grams with k listed before or there. That leaves out documents whose prefix is mostly their own, before
+    any pair is made. Then the n-grams that a pair's prefixes share are counted.
+    """
+    x, y = lists.alias("x"), lists.alias("y")
+    asked = "least(x.asked, y.asked)"
+    met = (
+        x.join(
+            y,
+            F.expr(
+                f"x.token = y.token AND x.node < y.node AND x.root <> y.root AND {_close(percent, 'x', 'y')} "
+                f"AND x.listed >= {asked} AND y.listed >= {asked}"
+            ),
+        )
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        .distinct()
+    )
+    prefixes = lists.groupBy("node").agg(
+        F.first("n").alias("n"), F.first("asked").alias("asked"), F.collect_list(F.struct("pos", "token")).alias("prefix")
+    )
+    both = (
+        met.join(prefixes.select(F.col("node").alias("a"), F.struct("n", "asked", "prefix").alias("x")), "a")
+        .join(prefixes.select(F.col("node").alias("b"), F.struct("n", "asked", "prefix").alias("y")), "b")
+    )
+
+    def reach(p: str) -> str:
+        limit = f"{p}.n - {_common(percent, 'x', 'y')} + {asked}"
+        return f"transform(filter({p}.prefix, t -> t.pos < {limit}), t -> t.token)"
+
+    return both.where(f"size(array_intersect({reach('x')}, {reach('y')})) >= {asked}").select("a", "b")
+
+
 def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest id reachable by links).
 
@@ -271,16 +311,11 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
         "token", "node", "n", "asked", "pos", F.coalesce("root", "node").alias("root")
     )
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_lists = write_once(placed.join(mixed.select("token"), "token", "left_semi"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    apart = "x.token = y.token AND x.node < y.node AND x.root <> y.root"
-    pairs = (
-        x.join(y, F.expr(f"{apart} AND {_close(percent, 'x', 'y')}"))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"))
-        .where("shared >= asked")
-        .select("a", "b")
+    by_place = Window.partitionBy("node").orderBy("pos")  # a document's own prefix
+    open_lists = write_once(
+        placed.join(mixed.select("token"), "token", "left_semi").withColumn("listed", F.row_number().over(by_place))
     )
+    pairs = _candidates(open_lists, percent)
     more = write_once(_verified(write_once(pairs), docs, width, percent))
     root = components(links.union(more))
 
