@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sojourn.llm.common import prepare, text_slices
-from sojourn.session import shared_dir, write_once
+from sojourn.session import scratch_path, write_once
 
 MAGIC = b"CMRC"
 #: Ids of a block.
@@ -40,28 +40,29 @@ BLOCK_IDS = 4096
 #: A segment ends with the document that fills so many ids.
 SEGMENT_IDS = 16 * BLOCK_IDS
 #: Blocks that are coded side by side.
-LANES = 1024
+LANES = 2048
 #: Words whose ids a worker remembers.
 MEMO_WORDS = 1_000_000
-_CONTEXTS = BLOCK_IDS
+#: Marks that make one piece of a text with others of their kind.
+_MARKS = ".,;:!?*#$%&()+-/=@[]_{}~"
 _RUN = 7  # longest run that counts, in 3 bits
 #: Weight of a prediction against all of order 0, by its share of hits in 1024 steps: 256 p / (1 - p), at most 64 times.
-_ODDS = np.minimum(256 * np.arange(1024) // (1024 - np.arange(1024)), 64 * 256)
+_ODDS = np.minimum(256 * np.arange(1024) // (1024 - np.arange(1024)), 64 * 256).astype(np.int32)
 _WORD = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _TOP = np.uint64(1 << 32)
 
 
 def _varints(values: np.ndarray) -> bytes:
-    out = bytearray()
-    if len(values) and int(values.max()) < 128:
-        return values.astype(np.uint8).tobytes()
-    for v in values.tolist():
-        while v > 127:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    """Seven bits a byte, the lowest first; all but a number's last byte have the high bit."""
+    values = values.astype(np.int64)
+    size = np.maximum(1, sum((values >> 7 * i > 0).astype(np.int64) for i in range(5)))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for i in range(5):
+        long = np.flatnonzero(size > i)
+        out[at[long] + i] = values[long] >> 7 * i & 127 | (size[long] > i + 1) << 7
+    return out.tobytes()
 
 
 def _read_varints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
@@ -79,57 +80,56 @@ def _read_varints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
 
 
 class _Mixture:
-    """The model of several blocks at once; `lane` numbers are block numbers.
+    """The model of several blocks at once; arrays of two rows hold order 1 and order 2.
 
     `spread` packs where each symbol begins among the block's sorted ids and how often it occurs.
     """
 
     def __init__(self, counts: list[np.ndarray], sizes: np.ndarray):
         n = len(sizes)
-        self.mass = sizes.astype(np.int64) << 2
         self.sizes = sizes.astype(np.int64)
-        self.base = np.arange(n, dtype=np.int64) * _CONTEXTS
-        self.lane = np.arange(n, dtype=np.int64) * 16
+        self.mass = (sizes << 2).astype(np.int32)
+        self.base = np.arange(n, dtype=np.int64) * BLOCK_IDS
+        orders = np.arange(2, dtype=np.int64)[:, None]
+        self.slots = self.base + orders * (n * BLOCK_IDS)
+        self.kinds = np.arange(n, dtype=np.int64) * 16 + orders * 8
         spread = np.zeros((n, BLOCK_IDS), np.int32)
         for i, c in enumerate(counts):
             spread[i, : len(c)] = (np.cumsum(c) - c) << 13 | c
         self.spread = spread.ravel()
-        self.tables = [np.zeros(n * _CONTEXTS, np.uint16) for _ in range(2)]
+        self.table = np.zeros(2 * n * BLOCK_IDS, np.uint16)
         #: Share of predictions that came true, of 2^16, for each lane, order and run; 0 where the run is 0.
         self.share = np.tile(np.repeat(np.array([0, 1 << 15], np.int32), [1, 7]), 2 * n)
         self.before = np.zeros((2, n), np.int64)
 
     def predict(self, n: int) -> None:
         """Predictions and weights of the first n lanes, for their next ids."""
-        last, older = self.before[0, :n], self.before[1, :n]
-        self.n, self.state = n, []
-        self.total = self.mass[:n].copy()
-        for order, context in ((0, last), (1, (last * 2053 + older * 3) & (_CONTEXTS - 1))):
-            slot = self.base[:n] + context
-            entry = self.tables[order].take(slot).astype(np.int64)
-            run = entry & _RUN
-            kind = self.lane[:n] + run
-            kind += 8 * order
-            share = self.share.take(kind)
-            weight = self.mass[:n] * _ODDS.take(share >> 6) >> 8
-            self.total += weight
-            self.state.append((slot, entry >> 3, run, kind, share, weight))
+        self.n = n
+        self.slot = self.slots[:, :n].copy()
+        self.slot[0] += self.before[0, :n]
+        self.slot[1] += self.before[0, :n] * 2053 + self.before[1, :n] * 3 & BLOCK_IDS - 1
+        entry = self.table.take(self.slot).astype(np.int32)
+        self.run, self.guess = entry & _RUN, entry >> 3
+        self.kind = self.kinds[:, :n] + self.run
+        self.old = self.share.take(self.kind)
+        self.weight = self.mass[:n] * _ODDS.take(self.old >> 6) >> 8
+        self.total = self.mass[:n] + self.weight[0] + self.weight[1]
 
     def begin(self, spread: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        begin = (spread >> 13 << 2).astype(np.int64)
-        for _, guess, _, _, _, weight in self.state:
-            begin += weight * (guess < symbol)
-        return begin
+        below = self.weight * (self.guess < symbol)
+        return (spread >> 13 << 2) + below[0] + below[1]
 
-    def width(self, spread: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        width = ((spread & 8191) << 2).astype(np.int64)
-        for _, guess, _, _, _, weight in self.state:
-            width += weight * (guess == symbol)
-        return width
+    def width(self, spread: np.ndarray) -> np.ndarray:
+        """To be asked after `check`."""
+        equal = self.weight * self.hit
+        return ((spread & 8191) << 2) + equal[0] + equal[1]
+
+    def check(self, symbol: np.ndarray) -> None:
+        self.hit = self.guess == symbol
 
     def find(self, target: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """The symbols at places of the mixture; `owners` holds the symbol of each place of order 0."""
-        (_, x, _, _, _, wx), (_, y, _, _, _, wy) = self.state
+        (x, y), (wx, wy) = self.guess, self.weight
         swap = x > y
         a, b = np.minimum(x, y), np.maximum(x, y)
         wa, wb = np.where(swap, wy, wx), np.where(swap, wx, wy)
@@ -142,17 +142,17 @@ class _Mixture:
         spread = self.spread.take(base + b)
         begin_b = spread >> 13 << 2
         past_b = past_a & (rest >= begin_b + ((spread & 8191) << 2) + wb)
-        place = (rest - wb * past_b) >> 2
-        symbol = owners.take(base + np.minimum(place, self.sizes[: self.n] - 1)).astype(np.int64)
+        place = rest - wb * past_b >> 2
+        symbol = owners.take(base + np.minimum(place, self.sizes[: self.n] - 1)).astype(np.int32)
         symbol = np.where(past_a & ~past_b & (rest >= begin_b), b, symbol)
         return np.where((target >= begin_a) & ~past_a, a, symbol)
 
     def learn(self, symbol: np.ndarray) -> None:
-        for order, (slot, guess, run, kind, share, _) in enumerate(self.state):
-            hit = (guess == symbol) & (run > 0)
-            self.share[kind] = share + (((hit.astype(np.int32) << 16) - hit - share) >> 5) * (run > 0)
-            run = np.minimum(run * hit + 1, _RUN)
-            self.tables[order][slot] = symbol << 3 | run
+        """To be called after `check`."""
+        known = self.run > 0
+        hit = (self.hit & known).astype(np.int32)
+        self.share[self.kind] = self.old + ((hit * 65535 - self.old) >> 5) * known
+        self.table[self.slot] = symbol << 3 | np.minimum(self.run * hit + 1, _RUN)
         self.before[1, : self.n] = self.before[0, : self.n]
         self.before[0, : self.n] = symbol
 
@@ -176,23 +176,33 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     order, active = _longest_first(np.array([len(b) for b in blocks]))
     sizes = np.array([len(blocks[i]) for i in order])
     found = [np.unique(blocks[i], return_inverse=True, return_counts=True) for i in order]
-    symbols = np.zeros((len(active), len(order)), np.int64)
+    symbols = np.zeros((len(active), len(order)), np.int16)
     for lane, (_, inverse, _) in enumerate(found):
         symbols[: len(inverse), lane] = inverse
     model = _Mixture([f[2] for f in found], sizes)
     low = np.zeros(len(order), np.uint64)
     size = np.full(len(order), (1 << 64) - 1, np.uint64)
-    words = np.zeros((len(order), len(active) + 4), np.uint64)
+    words = np.zeros((len(order), len(active) * 11 // 16 + 8), np.uint32)  # an id takes less than 22 bits
     filled = np.zeros(len(order), np.int64)
+
+    def carry(lanes: np.ndarray) -> None:
+        for lane in lanes.tolist():
+            at = filled[lane] - 1
+            while words[lane, at] == _LOW:
+                words[lane, at] = 0
+                at -= 1
+            words[lane, at] += 1
+
     for i, n in enumerate(active.tolist()):
         model.predict(n)
-        symbol = symbols[i, :n]
+        symbol = symbols[i, :n].astype(np.int32)
+        model.check(symbol)
         spread = model.spread.take(model.base[:n] + symbol)
-        unit = size[:n] // model.total.view(np.uint64)
-        now = low[:n] + model.begin(spread, symbol).view(np.uint64) * unit
-        carried = np.flatnonzero(now < low[:n])
-        words[carried, filled[carried] - 1] += np.uint64(1)
-        left = model.width(spread, symbol).view(np.uint64) * unit
+        unit = size[:n] // model.total.astype(np.uint64)
+        now = low[:n] + model.begin(spread, symbol).astype(np.uint64) * unit
+        if (over := now < low[:n]).any():
+            carry(np.flatnonzero(over))
+        left = model.width(spread).astype(np.uint64) * unit
         full = np.flatnonzero(left < _TOP)
         words[full, filled[full]] = now[full] >> _WORD
         filled[full] += 1
@@ -202,15 +212,9 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.learn(symbol)
     # the last word: a multiple of 2^32 within the range that is left
     last = (low + _LOW) & ~_LOW
-    carried = np.flatnonzero(last < low)
-    words[carried, filled[carried] - 1] += np.uint64(1)
-    lanes = np.arange(len(order))
-    words[lanes, filled] = last >> _WORD
+    carry(np.flatnonzero(last < low))
+    words[np.arange(len(order)), filled] = last >> _WORD
     filled += 1
-    while len(over := np.argwhere(words > _LOW)):
-        rows, at = over[:, 0], over[:, 1]
-        words[rows, at] &= _LOW
-        words[rows, at - 1] += np.uint64(1)
     out: list[bytes] = [b""] * len(blocks)
     for lane, i in enumerate(order.tolist()):
         ids, _, counts = found[lane]
@@ -243,34 +247,35 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([h[0] for h in heads])
     model = _Mixture([h[2] for h in heads], sizes)
     owners = np.zeros((len(heads), BLOCK_IDS), np.int16)
-    words = np.zeros((len(heads), max(len(h[3]) for h in heads) + 2), np.uint64)
+    words = np.zeros((len(heads), max(len(h[3]) for h in heads) + 2), np.uint32)
     for lane, (n, _, counts, code) in enumerate(heads):
         owners[lane, :n] = np.repeat(np.arange(len(counts)), counts)
         words[lane, : len(code)] = code
     owners = owners.ravel()
-    code = words[:, 0] << _WORD | words[:, 1]
+    code = words[:, 0].astype(np.uint64) << _WORD | words[:, 1]
     taken = np.full(len(heads), 2, np.int64)
     size = np.full(len(heads), (1 << 64) - 1, np.uint64)
-    symbols = np.zeros((len(heads), len(active)), np.int64)
+    symbols = np.zeros((len(active), len(heads)), np.int16)
     for i, n in enumerate(active.tolist()):
         model.predict(n)
-        unit = size[:n] // model.total.view(np.uint64)
-        target = np.minimum((code[:n] // unit).view(np.int64), model.total - 1)
+        unit = size[:n] // model.total.astype(np.uint64)
+        target = np.minimum((code[:n] // unit).astype(np.int32), model.total - 1)
         symbol = model.find(target, owners)
+        model.check(symbol)
         spread = model.spread.take(model.base[:n] + symbol)
-        rest = code[:n] - model.begin(spread, symbol).view(np.uint64) * unit
-        left = model.width(spread, symbol).view(np.uint64) * unit
+        rest = code[:n] - model.begin(spread, symbol).astype(np.uint64) * unit
+        left = model.width(spread).astype(np.uint64) * unit
         full = np.flatnonzero(left < _TOP)
         rest[full] = rest[full] << _WORD | words[full, np.minimum(taken[full], words.shape[1] - 1)]
         taken[full] += 1
         left[full] <<= _WORD
         code[:n], size[:n] = rest, left
-        symbols[:n, i] = symbol
+        symbols[i, :n] = symbol
         model.learn(symbol)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for lane, i in enumerate(order.tolist()):
         n, ids, _, _ = heads[lane]
-        out[i] = ids[symbols[lane, :n]].astype(np.uint32) if n else np.zeros(0, np.uint32)
+        out[i] = ids[symbols[:n, lane]].astype(np.uint32) if n else np.zeros(0, np.uint32)
         if zlib.crc32(out[i].astype("<u4").tobytes()) != int.from_bytes(coded[i][-4:], "little"):
             raise ValueError("a block fails its checksum")
     return out
@@ -320,15 +325,16 @@ def _learn_words(memo: dict[bytes, bytes], words: list[bytes], path: str) -> Non
     plain, pieces, single = [], [], []
     for word in words:
         text = word.decode()
-        marked = text[-1] in ".,;:!?"
-        if ends is not None and (text[:-1] if marked else text).isalpha():
+        core = text.strip(_MARKS)
+        if ends is not None and core.isalpha() and core.lower().isalpha():
             plain.append(word)
-            pieces.append(1 + marked)
+            pieces.append(1 + (text[0] in _MARKS) + (text[-1] in _MARKS))
         else:
             single.append(word)
-    for i in range(0, len(plain), 256):
-        some, expected = plain[i : i + 256], np.cumsum(pieces[i : i + 256])
-        ids = np.array(tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+    chunks = [(plain[i : i + 256], np.cumsum(pieces[i : i + 256])) for i in range(0, len(plain), 256)]
+    coded = tokenizer.encode_batch_fast([b" ".join(some).decode() for some, _ in chunks], add_special_tokens=False)
+    for (some, expected), code in zip(chunks, coded):
+        ids = np.array(code.ids, "<u4")
         last = np.flatnonzero(ends[ids])
         if len(last) != expected[-1] or last[-1] != len(ids) - 1:
             single += some  # letters that the tokenizer changes into something else
@@ -452,7 +458,7 @@ def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     """
     spark = prepare(docs.sparkSession)
     if path is None:
-        path = f"{shared_dir(spark)}/ids-{os.urandom(8).hex()}.parquet"
+        path = scratch_path(spark, ".ids.parquet")
     write_ids(docs, path, tokenizer, end_id)
     return read_ids(spark.read.parquet(path)).select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
