@@ -29,6 +29,8 @@ from sojourn.llm.common import Words, bounds, mix, prepare, span_hashes, text_sl
 from sojourn.session import write_once
 
 SEED_WORDS = 16
+#: Two hashes of id and text, which stand for a document: rows may share an id or have none.
+ROW = ["row", "check"]
 
 
 class Paths:
@@ -93,19 +95,21 @@ def _path_rows(docs: DataFrame, window: int) -> DataFrame:
                 [
                     _longs(paths.seed),
                     _longs(paths.content),
-                    part.column("row").take(pa.array(paths.owner)),
+                    *(part.column(c).take(pa.array(paths.owner)) for c in ROW),
                     pa.array(paths.first, pa.int32()),
                     pa.array(paths.size, pa.int32()),
                 ],
-                names=["seed", "content", "row", "first", "size"],
+                names=["seed", "content", *ROW, "first", "size"],
             )
 
-    return docs.select("row", "text").mapInArrow(read, "seed long, content long, row long, first int, size int")
+    return docs.select(*ROW, "text").mapInArrow(
+        read, "seed long, content long, row long, check long, first int, size int"
+    )
 
 
 def _window_rows(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """(hash, seed, content, bit, times) of the windows of the chosen paths, at their source coordinates."""
-    sources = chosen.groupBy("row").agg(F.collect_list(F.struct("first", "seed", "content", "times")).alias("paths"))
+    sources = chosen.groupBy(*ROW).agg(F.collect_list(F.struct("first", "seed", "content", "times")).alias("paths"))
     named = ["hash", "seed", "content", "bit", "times"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +128,18 @@ def _window_rows(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
                 [_longs(np.concatenate(hashes)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=named
             )
 
-    return docs.select("row", "text").join(sources, "row").mapInArrow(
+    return docs.join(sources, ROW).select("text", "paths").mapInArrow(
         read, "hash long, seed long, content long, bit int, times long"
     )
 
 
 def repeated_paths(docs: DataFrame, window: int) -> DataFrame:
-    """(row, first, mask): of the path whose first window is `first`, the windows with a bit in `mask` repeat."""
+    """(ROW, first, mask): of the path whose first window is `first`, the windows with a bit in `mask` repeat."""
     paths = _path_rows(docs, window)
     again = paths.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     paths = write_once(paths.join(again, "seed", "left_semi"))
     compact = paths.groupBy("seed", "content").agg(
-        F.count("*").alias("times"), F.min(F.struct("row", "first")).alias("source"), F.first("size").alias("size")
+        F.count("*").alias("times"), F.min(F.struct(*ROW, "first")).alias("source"), F.first("size").alias("size")
     )
     compact = write_once(compact.select("seed", "content", "times", "source.*", "size"))
     branching = compact.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
@@ -153,7 +157,7 @@ def repeated_paths(docs: DataFrame, window: int) -> DataFrame:
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     )
     masks = write_once(settled.union(opened))
-    return paths.join(masks, ["seed", "content"]).select("row", "first", "mask")
+    return paths.join(masks, ["seed", "content"]).select(*ROW, "first", "mask")
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -167,10 +171,11 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     if not SEED_WORDS <= window <= 60 + SEED_WORDS:
         raise ValueError("the window doesn't fit a mask")
     prepare(docs.sparkSession)
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    row = F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("check")
+    docs = docs.select(*row, "doc_id", "text")
     marks = (
-        repeated_paths(docs.select("row", "text"), window)
-        .groupBy("row")
+        repeated_paths(docs.select(*ROW, "text"), window)
+        .groupBy(*ROW)
         .agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
     )
     kind = dict(docs.dtypes)["doc_id"]
@@ -201,6 +206,6 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_text"],
             )
 
-    return docs.join(marks, "row", "left").select("doc_id", "text", "marks").mapInArrow(
+    return docs.join(marks, ROW, "left").select("doc_id", "text", "marks").mapInArrow(
         remove, f"doc_id {kind}, n_words long, n_removed long, kept_text string"
     )
