@@ -1,5 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds find passages of documents, Smith-Waterman alignment scores them.
 
+An alignment that reaches the least score loses a bounded number of points, and each word or pair of words that
+it breaks costs some. So of enough n-grams of an item a known number are intact in every copy, however it was
+edited; passages with that many are aligned, and no others can reach the score.
+
 The test items stay bounded in memory: their seeds are looked up in blocks of `BLOCK_ITEMS` items, with one
 scan of the documents for each block. Documents are never shuffled.
 """
@@ -16,11 +20,13 @@ from pyspark.sql import functions as F
 
 from sojourn.llm.common import ALNUM, Words, prepare, span_hashes, text_slices, word_hashes, words_of
 
-#: Words of a seed.
-SEED_WORDS = 4
-#: Of so many consecutive n-grams of an item the rarest is a seed, so any run of
-#: SEED_WORDS + SEED_EVERY - 1 words that a passage shares with an item contains one.
-SEED_EVERY = 4
+#: Words of a seed, and the least score that an alignment loses with each seed that it breaks: 2 with a word that
+#: it leaves out or replaces, 1 with a pair of words (one word put between them).
+SEEDS = {1: 2, 2: 1}
+#: Items of fewer words match nothing.
+LEAST_WORDS = 4
+#: Seeds of an item that are in every copy, if it has so many; with more of them fewer passages are aligned in vain.
+INTACT = 4
 #: Least alignment score, as a share of what the whole item would score against itself.
 LEAST_SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -28,6 +34,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS = 20_000
 #: Cells of the alignment matrices that are held at once, unless one pair needs more.
 CELLS = 1 << 20
+#: Seeds found in texts that are worked on at once, unless a single text has more.
+HITS = 1 << 21
 _FILTER_BITS = 22
 
 
@@ -36,13 +44,18 @@ def _words(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return words, word_hashes(words)
 
 
-def _grams(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place and hash of every seed-long run of words within one text."""
+def _grams(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and words of every seed-long run of words within one text, by width."""
     n = np.diff(words.first)
-    count = np.maximum(n - SEED_WORDS + 1, 0)
-    owner = np.repeat(np.arange(len(n)), count)
-    starts = words.first[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-    return starts, span_hashes(hashes, starts, starts + SEED_WORDS)
+    places, grams, widths = [], [], []
+    for width in SEEDS:
+        count = np.maximum(n - width + 1, 0)
+        owner = np.repeat(np.arange(len(n)), count)
+        starts = words.first[owner] + np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        places.append(starts)
+        grams.append(span_hashes(hashes, starts, starts + width))
+        widths.append(np.full(len(starts), width))
+    return np.concatenate(places), np.concatenate(grams), np.concatenate(widths)
 
 
 class _Lookup:
@@ -81,26 +94,35 @@ def _frequencies(docs: DataFrame, known: np.ndarray) -> np.ndarray:
     return times
 
 
-def _rarest(grams: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Places of an item's seeds: the rarest of each SEED_EVERY consecutive n-grams, the first of equals."""
-    if len(grams) <= SEED_EVERY:
-        return np.array([int(np.argmin(times))])
-    windows = np.lib.stride_tricks.sliding_window_view(times, SEED_EVERY)
-    return np.unique(np.argmin(windows, axis=1) + np.arange(len(windows)))
-
-
 class _Items:
     """The items of one block: their words, and the seeds with the item and place of each."""
 
-    def __init__(self, docs: DataFrame, texts: list[str]):
+    def __init__(self, docs: DataFrame, texts: list[str], least_score: float):
         words, self.hashes = _words(pa.array(texts, pa.string()))
         self.first = words.first
-        starts, grams = _grams(words, self.hashes)
+        n = np.diff(self.first)
+        #: What an alignment may lose, in points; no more words than this are put in between.
+        self.loss = np.floor(MATCH * n * (1 - least_score) + 1e-9).astype(np.int64)
+        #: Seeds that every alignment with the least score keeps.
+        self.intact = np.ones(len(texts), np.int64)
+        starts, grams, widths = _grams(words, self.hashes)
         known = np.unique(grams)
         times = _frequencies(docs, known)[np.searchsorted(known, grams)] if len(known) else np.zeros(0, np.int64)
         owner = np.searchsorted(self.first, starts, side="right") - 1
-        edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-        chosen = [a + _rarest(grams[a:b], times[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
+        chosen = []
+        edges = {w: np.searchsorted(owner[widths == w], np.arange(len(texts) + 1)) for w in SEEDS}
+        base = {w: int(np.searchsorted(widths, w)) for w in SEEDS}
+        for item in np.flatnonzero(n >= LEAST_WORDS).tolist():
+            best = None
+            for width, cost in SEEDS.items():
+                a, b = (base[width] + edges[width][item : item + 2]).tolist()
+                broken = int(self.loss[item]) // cost
+                if b - a - broken < width:  # single words when a pair alone would have to do
+                    continue
+                rare = a + np.argsort(times[a:b], kind="stable")[: broken + INTACT]
+                if best is None or times[rare].sum() < times[best].sum():
+                    best, self.intact[item] = rare, len(rare) - broken
+            chosen.append(best)
         seeds = np.concatenate(chosen).astype(np.int64) if chosen else np.zeros(0, np.int64)
         seeds = seeds[np.argsort(grams[seeds], kind="stable")]
         self.lookup = _Lookup(np.unique(grams[seeds]))
@@ -133,21 +155,27 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _candidates(items: _Items, words: Words, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, begin, end) of the passages around the seeds that a text shares with an item."""
-    starts, grams = _grams(words, hashes)
-    hit, which = items.lookup(grams)
+def _passages(
+    items: _Items, words: Words, at: np.ndarray, which: np.ndarray, text: np.ndarray
+) -> list[tuple[int, int, int, int]]:
+    """(text, item, begin, end) of the passages with enough of the seeds that lie at the given places."""
     repeat = items.edges[which + 1] - items.edges[which]
     seed = np.repeat(items.edges[which], repeat) + np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-    at = np.repeat(starts[hit], repeat)
-    text = np.searchsorted(words.first, at, side="right") - 1
-    item = items.item[seed]
-    size = items.size(item)
-    begin = np.maximum(at - items.place[seed] - size // 2, words.first[text])
-    end = np.minimum(at - items.place[seed] + size + size // 2 + 1, words.first[text + 1])
+    item, start = items.item[seed], np.repeat(at, repeat) - items.place[seed]  # start: of the item, were it unedited
+    text = np.repeat(text, repeat)
+    order = np.lexsort((start, item, text))
+    text, item, start = text[order], item[order], start[order]
+    group = np.cumsum(np.append(False, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))) if len(text) else text
+    # the starts of one alignment's seeds differ by the words put in and left out
+    key = group * (np.ptp(start) + int(items.loss.max()) + 1) + start if len(start) else start
+    near = np.searchsorted(key, key + items.loss[item], side="right") - np.arange(len(key))
+    enough = np.flatnonzero(near >= items.intact[item])
+    text, item, start = text[enough], item[enough], start[enough]
+    size, loss = items.size(item), items.loss[item]
+    begin = np.maximum(start - loss, words.first[text])
+    end = np.minimum(start + size + loss, words.first[text + 1])
     found: list[tuple[int, int, int, int]] = []
-    for k in np.lexsort((begin, item, text)).tolist():
-        t, i, a, b, half = int(text[k]), int(item[k]), int(begin[k]), int(end[k]), int(size[k]) // 2
+    for t, i, a, b, half in zip(text.tolist(), item.tolist(), begin.tolist(), end.tolist(), (size // 2).tolist()):
         if found and found[-1][:2] == (t, i) and a - found[-1][2] <= half:
             found[-1] = (t, i, found[-1][2], max(b, found[-1][3]))  # seeds of the same passage
         else:
@@ -155,12 +183,31 @@ def _candidates(items: _Items, words: Words, hashes: np.ndarray) -> list[tuple[i
     return found
 
 
+def _candidates(items: _Items, words: Words, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, begin, end) of the passages that share enough seeds with an item."""
+    starts, grams, _ = _grams(words, hashes)
+    hit, which = items.lookup(grams)
+    order = np.argsort(starts[hit], kind="stable")
+    at, which = starts[hit][order], which[order]
+    text = np.searchsorted(words.first, at, side="right") - 1
+    total = np.cumsum(items.edges[which + 1] - items.edges[which])
+    found, a = [], 0
+    while a < len(at):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, side="right"))
+        if b < len(at):  # whole texts
+            b = int(np.searchsorted(text, text[b]))
+            b = b if b > a else int(np.searchsorted(text, text[a], side="right"))
+        found += _passages(items, words, at[a:b], which[a:b], text[a:b])
+        a = b
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per document and item of which it holds a copy: doc_id, item_id, score, first_word, last_word.
 
     Score is the best local alignment over words (lower case, punctuation aside) as a share of the item's own;
-    words are numbered from 0. Null texts and items of fewer than SEED_WORDS words match nothing; rows of a
-    repeated id count as one. `docs` needs doc_id and text, `benchmark` item_id and text.
+    words are numbered from 0. Every copy with that score is found, wherever it was edited. Null texts and
+    items of fewer than LEAST_WORDS words match nothing; rows of a repeated id count as one. `docs` needs doc_id and text, `benchmark` item_id and text.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -172,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     for block in range(blocks):
         rows = numbered.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow()  # about BLOCK_ITEMS rows
         ids = rows.column("item_id").combine_chunks()
-        model = spark.sparkContext.broadcast(_Items(docs, rows.column("text").to_pylist()))
+        model = spark.sparkContext.broadcast(_Items(docs, rows.column("text").to_pylist(), least_score))
 
         def score(
             batches: Iterator[pa.RecordBatch], model: object = model, ids: pa.Array = ids
