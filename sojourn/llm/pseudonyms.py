@@ -11,6 +11,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -182,24 +183,103 @@ KINDS: dict[str, tuple[str, Callable[[str, Permute], str | None]]] = {
 _PATTERNS = {kind: re.compile(rf"(?<![A-Za-z0-9]){pattern}") for kind, (pattern, _) in KINDS.items()}
 
 
+_DIGIT_RUN, _DIGIT_GROUP = re.compile(r"[0-9]+(?:[ -][0-9]+)*"), re.compile("[0-9]+")
+#: Lengths of the groups of a card number, the usual ones first. One group of 13 to 19 digits comes before them.
+_CARD_SHAPES = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3), (4, 4, 5), (4, 4, 4, 3), (8, 8), (6, 13), (2,) * 8]
+_CARD_PREFIX = re.compile("2[2-7]|[3-6]")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+#: Characters of a country's IBAN.
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _card_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Where a card may be, the likeliest of each run of digits first; a span consists of whole groups of digits."""
+    for run in _DIGIT_RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [m.span() for m in _DIGIT_GROUP.finditer(text, *run.span())]
+        sizes = [end - begin for begin, end in groups]
+        spans = []
+        for i, (begin, end) in enumerate(groups):
+            if not i and begin and text[begin - 1].isascii() and text[begin - 1].isalpha():
+                continue
+            likely = _CARD_PREFIX.match(text, begin) is not None
+            if 13 <= sizes[i] <= 19:
+                spans.append((-1, not likely, begin, end))
+            for rank, shape in enumerate(_CARD_SHAPES):
+                if tuple(sizes[i : i + len(shape)]) == shape:
+                    spans.append((rank, not likely, begin, groups[i + len(shape) - 1][1]))
+        yield from (span[2:] for span in sorted(spans))
+        # any other grouping, from the run's begin on
+        yield from (m.span() for m in _PATTERNS["card"].finditer(text, run.start(), run.end()))
+
+
+def _iban_spans(text: str) -> list[tuple[int, int]]:
+    """Where an IBAN may be: at first those of their country's length, then all others, the longest first."""
+    spans = []
+    for head in _IBAN_HEAD.finditer(text):
+        begin, length, at = head.start(), 4, head.end()
+        own = _IBAN_LENGTHS.get(text[begin : begin + 2])
+        while at < len(text) and length < 35:
+            if text[at] == " " and not length % 4:
+                at += 1
+            if not re.match("[A-Z0-9]", text[at : at + 1]):
+                break
+            length, at = length + 1, at + 1
+            if length >= 12 and not re.match("[A-Za-z0-9]", text[at : at + 1]):
+                spans.append((length != own, begin, -at))
+    return [(begin, -end) for _, begin, end in sorted(spans)]
+
+
+def _without_overlap(found: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
+    """Of overlapping (begin, rank, end, ...) the one that begins first, of those the least rank."""
+    kept = []
+    for value in sorted(found):
+        if not kept or value[0] >= kept[-1][2]:
+            kept.append(value)
+    return kept
+
+
 def pseudonymised(text: str, permute: Permute) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, begin, end) of each value in the text that was given.
 
-    Of overlapping values the one that begins first counts, of those the first kind.
+    Of overlapping values the one that begins first counts, of those the first kind. A card or an IBAN may have
+    other numbers or words on both sides.
     """
     found = []
     for rank, (kind, pattern) in enumerate(_PATTERNS.items()):
-        for match in pattern.finditer(text):
-            new = KINDS[kind][1](match[0], permute)
+        used: set[int] = set()
+        begins = []
+        if kind == "iban":
+            spans = _iban_spans(text)
+        elif kind == "card":  # not of digits of other values
+            found = _without_overlap(found)
+            begins, spans = [f[0] for f in found], _card_spans(text)
+        else:
+            spans = (m.span() for m in pattern.finditer(text))
+        for begin, end in spans:
+            before = bisect_right(begins, begin)
+            if not used.isdisjoint(range(begin, end)) or before and found[before - 1][2] > begin:
+                continue
+            new = KINDS[kind][1](text[begin:end], permute)
             if new is not None:
-                found.append((match.start(), rank, match.end(), kind, new))
-    out, at, kept = [], 0, []
-    for begin, _, end, kind, new in sorted(found):
-        if begin >= at:
-            out += [text[at:begin], new]
-            at = end
-            kept.append((kind, begin, end))
-    return "".join([*out, text[at:]]), kept
+                used.update(range(begin, end))
+                found.append((begin, rank, end, kind, new))
+    out, at = [], 0
+    kept = _without_overlap(found)
+    for begin, _, end, _, new in kept:
+        out += [text[at:begin], new]
+        at = end
+    return "".join([*out, text[at:]]), [(kind, begin, end) for begin, _, end, kind, _ in kept]
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
