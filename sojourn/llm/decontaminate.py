@@ -18,13 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import ALNUM, Words, prepare, span_hashes, text_slices, word_hashes, words_of
+from sojourn.llm.common import ALNUM, Words, bounds, prepare, span_hashes, text_slices, word_hashes, words_of
 
 #: Words of a seed, and the least score that an alignment loses with each seed that it breaks: 2 with a word that
 #: it leaves out or replaces, 1 with a pair of words (one word put between them).
 SEEDS = {1: 2, 2: 1}
-#: Items of fewer words match nothing.
+#: Items of fewer words match only exactly.
 LEAST_WORDS = 4
+#: Longer items are also looked for in pieces of so many words that begin at every PIECE_STEP-th word. So a run of
+#: PIECE_WORDS - PIECE_STEP + 1 = 30 words of an item lies within a piece, and is the least share of it.
+PIECE_WORDS, PIECE_STEP = 50, 21
 #: Seeds of an item that are in every copy, if it has so many; with more of them fewer passages are aligned in vain.
 INTACT = 4
 #: Least alignment score, as a share of what the whole item would score against itself.
@@ -95,24 +98,36 @@ def _frequencies(docs: DataFrame, known: np.ndarray) -> np.ndarray:
 
 
 class _Items:
-    """The items of one block: their words, and the seeds with the item and place of each."""
+    """The items of one block and then the pieces of long ones: their words, and the seeds with the item and place of each."""
 
     def __init__(self, docs: DataFrame, texts: list[str], least_score: float):
-        words, self.hashes = _words(pa.array(texts, pa.string()))
-        self.first = words.first
-        n = np.diff(self.first)
+        words, hashes = _words(pa.array(texts, pa.string()))
+        #: The item of each piece.
+        self.whole = list(range(len(texts)))
+        parts = [hashes[a:b] for _, a, b in bounds(words.first)]
+        for item, n in enumerate(np.diff(words.first).tolist()):
+            if n > PIECE_WORDS:
+                for a in [*range(0, n - PIECE_WORDS, PIECE_STEP), n - PIECE_WORDS]:
+                    self.whole.append(item)
+                    parts.append(parts[item][a : a + PIECE_WORDS])
+        n = np.array([len(part) for part in parts], np.int64)
+        self.hashes = np.concatenate(parts) if parts else hashes
+        self.first = np.append(0, np.cumsum(n))
+        words = Words(words.data, words.starts, words.ends, self.first)
+        #: The least share of its own score with which an item or a piece is found.
+        self.least = np.where(n < LEAST_WORDS, 1.0, least_score)
         #: What an alignment may lose, in points; no more words than this are put in between.
-        self.loss = np.floor(MATCH * n * (1 - least_score) + 1e-9).astype(np.int64)
+        self.loss = np.floor(MATCH * n * (1 - self.least) + 1e-9).astype(np.int64)
         #: Seeds that every alignment with the least score keeps.
-        self.intact = np.ones(len(texts), np.int64)
+        self.intact = np.ones(len(parts), np.int64)
         starts, grams, widths = _grams(words, self.hashes)
         known = np.unique(grams)
         times = _frequencies(docs, known)[np.searchsorted(known, grams)] if len(known) else np.zeros(0, np.int64)
         owner = np.searchsorted(self.first, starts, side="right") - 1
         chosen = []
-        edges = {w: np.searchsorted(owner[widths == w], np.arange(len(texts) + 1)) for w in SEEDS}
+        edges = {w: np.searchsorted(owner[widths == w], np.arange(len(parts) + 1)) for w in SEEDS}
         base = {w: int(np.searchsorted(widths, w)) for w in SEEDS}
-        for item in np.flatnonzero(n >= LEAST_WORDS).tolist():
+        for item in np.flatnonzero(n).tolist():
             best = None
             for width, cost in SEEDS.items():
                 a, b = (base[width] + edges[width][item : item + 2]).tolist()
@@ -202,12 +217,30 @@ def _candidates(items: _Items, words: Words, hashes: np.ndarray) -> list[tuple[i
     return found
 
 
+def _aligned(
+    items: _Items, hashes: np.ndarray, pairs: list[tuple[int, int, int, int]]
+) -> Iterator[tuple[tuple[int, int, int, int], int, int]]:
+    """Each pair with the best score and the passage's word where it ends; pairs of like size are aligned side by side."""
+    pairs = sorted(pairs, key=lambda p: (int(items.size(np.array(p[1]))), p[3] - p[2]))
+    while pairs:
+        cells = np.cumsum([p[3] - p[2] for p in pairs[:4096]])
+        some = pairs[: max(1, int(np.searchsorted(cells, CELLS // 64)))]
+        pairs = pairs[len(some) :]
+        best, end = align(
+            [items.hashes[items.first[i] : items.first[i + 1]] for _, i, _, _ in some],
+            [hashes[a:b] for _, _, a, b in some],
+        )
+        yield from zip(some, best.tolist(), end.tolist())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per document and item of which it holds a copy: doc_id, item_id, score, first_word, last_word.
 
     Score is the best local alignment over words (lower case, punctuation aside) as a share of the item's own;
-    words are numbered from 0. Every copy with that score is found, wherever it was edited. Null texts and
-    items of fewer than LEAST_WORDS words match nothing; rows of a repeated id count as one. `docs` needs doc_id and text, `benchmark` item_id and text.
+    words are numbered from 0. Every copy with that score is found, wherever it was edited. Of items of
+    more than PIECE_WORDS words also a passage is found that has the least score for a piece of PIECE_WORDS words (30
+    words without a change); its score may be below `least_score`. Items of fewer than LEAST_WORDS words match only
+    exactly. Null and empty texts match nothing; rows of a repeated id count as one. `docs` needs doc_id and text, `benchmark` item_id and text.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -228,20 +261,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
             for part, texts in text_slices(batches):
                 words, hashes = _words(texts)
                 pairs = _candidates(items, words, hashes)
-                pairs.sort(key=lambda p: (int(items.size(np.array(p[1]))), p[3] - p[2]))
-                kept = []
-                while pairs:
-                    cells = np.cumsum([p[3] - p[2] for p in pairs[:4096]])
-                    some = pairs[: max(1, int(np.searchsorted(cells, CELLS // 64)))]
-                    pairs = pairs[len(some) :]
-                    best, end = align(
-                        [items.hashes[items.first[i] : items.first[i + 1]] for _, i, _, _ in some],
-                        [hashes[a:b] for _, _, a, b in some],
-                    )
-                    for (t, i, a, _), top, last in zip(some, best.tolist(), end.tolist()):
-                        share = top / (MATCH * int(items.size(np.array(i))))
-                        if share >= least_score:
-                            kept.append((t, i, share, a - int(words.first[t]), a - int(words.first[t]) + last - 1))
+                kept, long = [], {}
+                for (t, i, a, b), top, last in _aligned(items, hashes, pairs):
+                    share = top / (MATCH * int(items.size(np.array(i))))
+                    if share < items.least[i]:
+                        continue
+                    whole = items.whole[i]
+                    if whole == i:
+                        kept.append((t, i, share, a - int(words.first[t]), a - int(words.first[t]) + last - 1))
+                    else:  # a passage of a long item: the whole item's score is that around it
+                        n = int(items.size(np.array(whole)))
+                        a, b = max(a - MATCH * n, int(words.first[t])), min(b + MATCH * n, int(words.first[t + 1]))
+                        before = long.get((t, whole), (a, b))
+                        long[t, whole] = min(a, before[0]), max(b, before[1])
+                for (t, i, a, _), top, last in _aligned(items, hashes, [(*key, *span) for key, span in long.items()]):
+                    share = top / (MATCH * int(items.size(np.array(i))))
+                    kept.append((t, i, share, a - int(words.first[t]), a - int(words.first[t]) + last - 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array([k[0] for k in kept], pa.int64())),
