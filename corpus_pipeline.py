@@ -7,7 +7,7 @@ returns as Parquet in the shared folder and gives the next stage the table as it
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm.common import documents, prepare
@@ -23,24 +23,46 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
+def _row() -> tuple[Column, Column]:
+    """Two hashes of id and text, which stand for a row: rows may share an id or have none."""
+    return F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_check")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels know; those without any letter go. `lang` keeps its labels."""
+    """Documents in a language that the labels know, or in any if there are no labels; those without a letter go.
+
+    `lang` keeps its labels.
+    """
     found = identify_language(docs, docs, keep=docs.columns)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id; rows without an id stay."""
-    groups = similarity_components(docs, NEAR_WIDTH, NEAR_PERCENT)
-    gone = write_once(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near copies the row with the smallest id; ids that are null come last.
+
+    Of rows with the same id and text one stays, and of different texts under one id the one with the least hash,
+    if they are near copies. Rows without any word are copies of nothing.
+    """
+    by_row = docs.select(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", *_row()).alias("doc_id"), "text")
+    groups = similarity_components(by_row, NEAR_WIDTH, NEAR_PERCENT).where("n_shingles > 0")
+    rows = groups.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    rows = rows.select("doc_id._row", "doc_id._check", F.expr("component_id <> doc_id").alias("gone"), "n")
+    rows = write_once(rows.where("gone OR n > 1"))
+    named = docs.select("*", *_row())
+    kept = named.join(rows, ["_row", "_check"], "left_anti").select(*docs.columns)
+    repeated = rows.where("NOT gone")
+    if repeated.isEmpty():
+        return kept
+    repeated = named.join(repeated, ["_row", "_check"], "left_semi").groupBy("_row", "_check")
+    return kept.union(repeated.agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item; each row is judged by its own text."""
     benchmark = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = write_once(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated(docs.select(F.struct(*_row()).alias("doc_id"), "text"), benchmark)
+    gone = write_once(found.select("doc_id._row", "doc_id._check").distinct())
+    return docs.select("*", *_row()).join(gone, ["_row", "_check"], "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
