@@ -17,6 +17,7 @@ from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import identify_language
 from sojourn.llm.licenses import license_notices
 from sojourn.llm.mixture import SEED, TEMPERATURE, mix_sources
+from sojourn.llm.periods import looped, periodic_runs, run_digests
 from sojourn.llm.pseudonyms import pseudonymise
 from sojourn.llm.quality import quality_scores, train
 from sojourn.llm.repeats import without_repeats
@@ -113,3 +114,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 3) == 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     return quality_scores(docs.withColumn("held_out", held_out), train(docs, labels), keep=("doc_id", "held_out"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of which are made to repeat, and digests of what is left."""
+    return run_digests(periodic_runs(looped(documents(spark, sf_dir))))

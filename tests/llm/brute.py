@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -87,3 +88,42 @@ def phrases(sample_pieces, text):
         i = max(j, i + 1)
         count += 1
     return count
+
+
+def looped(doc_id, text):
+    """The words of a document of the periodic run query."""
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    return w
+
+
+def periodic_runs(w):
+    """{(start, length, period)} of a list of words."""
+    found = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)  # the smallest period of a stretch comes first
+            i = max(j, i + 1)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def run_row(doc_id, text):
+    """The row of a document in the periodic run query, without its id."""
+    w = looped(doc_id, text)
+    runs = periodic_runs(w)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else None
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    left = " ".join(x for i, x in enumerate(w) if i not in gone)
+    sha = [hashlib.sha256(t.encode()).hexdigest() for t in (lines, left)]
+    return (len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *sha)
