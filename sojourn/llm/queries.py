@@ -20,6 +20,8 @@ from sojourn.llm.mixture import SEED, TEMPERATURE, mix_sources
 from sojourn.llm.periods import looped, periodic_runs, run_digests
 from sojourn.llm.pseudonyms import pseudonymise
 from sojourn.llm.quality import quality_scores, train
+from sojourn.llm.ranked_search import SQL as SEARCH_SQL
+from sojourn.llm.ranked_search import ranked_search
 from sojourn.llm.repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +122,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, some of which are made to repeat, and digests of what is left."""
     return run_digests(periodic_runs(looped(documents(spark, sf_dir))))
+
+
+@query(SEARCH_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search(documents(spark, sf_dir), items, "doc_id", "item_id")
