@@ -18,6 +18,7 @@ from sojourn.llm.language import identify_language
 from sojourn.llm.licenses import license_notices
 from sojourn.llm.mixture import SEED, TEMPERATURE, mix_sources
 from sojourn.llm.periods import looped, periodic_runs, run_digests
+from sojourn.llm.pitman_yor import language_model_scores
 from sojourn.llm.pseudonyms import pseudonymise
 from sojourn.llm.quality import quality_scores, train
 from sojourn.llm.ranked_search import SQL as SEARCH_SQL
@@ -129,3 +130,9 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that score highest for each benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return ranked_search(documents(spark, sf_dir), items, "doc_id", "item_id")
+
+
+@query()
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a Pitman-Yor model of the other folds, and by word counts."""
+    return language_model_scores(documents(spark, sf_dir), id_remainder("doc_id", 7) != 2)

@@ -21,7 +21,7 @@ def texts(spark, sf_dir):
 
 def test_each_operator_has_its_query():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
