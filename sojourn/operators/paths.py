@@ -11,6 +11,7 @@ from sojourn.functions.nulls import ascending
 from sojourn.functions.text import split_path
 from sojourn.operators.joins import crosswalk, label_codes
 from sojourn.operators.topk import sorted_once
+from sojourn.session import write_once
 
 EDGE = ["source", "dest", "step_from", "step_to"]
 #: What an edge leads to: the next place, the outcome, or the country behind the outcome.
@@ -66,10 +67,11 @@ def stint_edges(
     ``order`` leaves no ties that matter. With ``by_length`` each step carries the ``n_stints`` of its stay.
     One plan serves stays of all sizes, see :func:`numbered_steps`.
     """
-    steps = numbered_steps(stints, stay, place, order)
+    # written: both kinds of edges below read the numbered rows, whose windows then run once
+    steps = write_once(numbered_steps(stints, stay, place, order))
     keys = []
     if by_length:
-        sizes = stints.groupBy(F.col(stay).alias("stay")).agg(F.count("*").cast("int").alias("n_stints"))
+        sizes = steps.where("is_last").select("stay", F.col("step").alias("n_stints"))
         steps, keys = steps.join(sizes, "stay"), ["n_stints"]
     # codes may be numbers, which are shorter than text in the shuffle
     at, here = F.col("step"), F.col("place").cast("string")
@@ -100,17 +102,19 @@ def numbered_steps(stints: DataFrame, stay: str, place: str, order: Sequence[str
     needs only what the parts tell about their first and last stays, two rows each.
     """
     rows = stints.where(F.col(stay).isNotNull()).select(F.col(stay).alias("stay"), *order, F.col(place).alias("place"))
-    rows = sorted_once(rows, ascending("stay", *order)).select("stay", "place", "at", "part")
+    rows = sorted_once(rows, ascending("stay", *order), ["stay", "place"])
     parts = rows.groupBy("part").agg(
         F.min_by("stay", "at").alias("first_stay"),
         F.min_by(F.struct("stay", "place"), "at").alias("head"),
         F.max_by("stay", "at").alias("last_stay"),
         F.max("at").alias("last_at"),
     )
-    at_ends = rows.join(F.broadcast(parts), "part")  # a row per part.where("stay = first_stay OR stay = last_stay")
+    parts = write_once(parts)  # a row per part
+    at_ends = rows.join(F.broadcast(parts), "part").where("stay = first_stay OR stay = last_stay")
     runs = at_ends.groupBy("part", "stay").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("stay").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = runs.select("part", F.col("stay").alias("first_stay"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"))
+    carried = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried")
+    carried = runs.select("part", F.col("stay").alias("first_stay"), carried)
     following = F.lead("head").over(Window.orderBy("part"))  # over a row per part
     edges_of_parts = parts.withColumn("next_head", following).join(carried, ["part", "first_stay"]).select(
         "part", "first_stay", "last_at", "next_head", "carried"
@@ -147,7 +151,8 @@ def count_edges(
     if facilities is None:
         return edges.groupBy(*keys, *EDGE).agg(F.count("*").alias("count"))
     by_code = edges.groupBy(*keys, *EDGE, "kind").agg(F.count("*").alias("count"))
-    named = _named(by_code, crosswalk(facilities, code, name))
+    # written, so that its size is known: Spark then broadcasts it where it is small, and the edges need no shuffle
+    named = _named(by_code, write_once(crosswalk(facilities, code, name)))
     return named.groupBy(*keys, *EDGE).agg(F.sum("count").alias("count"))
 
 

@@ -34,12 +34,13 @@ def top_paths(df: DataFrame, path: str, n: int, extra_keys: Sequence[str] = ())
     return df.join(F.broadcast(common), path, "left_semi")
 
 
-def sorted_once(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """The rows in a global order, written once: ``part`` and ``at`` tell a row's file and place.
+def sorted_once(df: DataFrame, order: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
+    """The rows in a global order, written once, with the columns to keep: ``part`` and ``at`` tell a row's file and place.
 
     ``at`` grows along the order, within a part by 1. The sort spreads even a single key over many parts.
     """
-    ordered = write_once(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    ordered = df.orderBy(*order).select(*(keep or df.columns), F.monotonically_increasing_id().alias("at"))
+    ordered = write_once(ordered)
     # the upper bits of the id are the partition, the lower ones count its rows
     return ordered.withColumn("part", F.shiftright("at", 33))
 
