@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sojourn.functions.nulls import join_null_safe
+from sojourn.session import write_once
 
 
 def drop_flagged(df: DataFrame, flag: str) -> DataFrame:
@@ -28,11 +31,14 @@ def restrict_to(df: DataFrame, cohort: DataFrame, on: str | Sequence[str]) -> Da
 
 
 def restrict_to_ids(df: DataFrame, on: str, ids: Iterable) -> DataFrame:
-    """Rows whose key is in a list of literals; a null in the list matches null keys, as in :func:`restrict_to`."""
-    ids = list(ids)
-    known = [i for i in ids if i is not None]
-    listed = F.col(on).isin(known)
-    return df.where(listed | F.col(on).isNull() if len(known) < len(ids) else listed)
+    """Rows whose key is in a list; a null in the list matches null keys, as in :func:`restrict_to`.
+
+    The list becomes a written table, so the plan does not grow with it; Spark knows the table's size, broadcasts a
+    short list, and can put a Bloom filter of a long one below the shuffle.
+    """
+    kind = df.schema[on].dataType
+    listed = pa.table({on: pa.array(dict.fromkeys(ids), to_arrow_type(kind))})
+    return restrict_to(df, write_once(df.sparkSession.createDataFrame(listed).select(F.col(on).cast(kind))), on)
 
 
 def only_in(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.dates import bound, day_label
@@ -62,7 +62,7 @@ def occupancy(
     Long form ``(keys, bucket, bucket_start, n)``, with a row for every bucket of every place. An
     open episode ends at ``open_end``. An episode becomes two changes, +1 in its first bucket and -1
     behind its last, whatever its length; they are summed before the shuffle, and the running sum
-    then goes over the buckets of a place.
+    then goes over the buckets of a place, within one row.
     """
     return dense(changes(df, keys, start, end, grid, open_end, weight), keys, grid)
 
@@ -103,17 +103,31 @@ def changes(
     return summed
 
 
-def dense(summed: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
-    """Running sums of the :func:`changes` over all buckets of a place."""
+def counts_by_place(summed: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+    """``(keys, counts)``: running sums of the :func:`changes`, one array of all buckets per place, made within the row."""
     keys = list(keys)
     again = summed.groupBy(*keys, "bucket").agg(F.sum("by").alias("by"))
     places = again.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "by"))).alias("by"))
-    buckets = places.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("bucket"), "by")
-    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.coalesce(F.try_element_at("by", F.col("bucket")), F.lit(0))
-    return buckets.select(
-        *keys, "bucket", grid.start(F.col("bucket")).alias("bucket_start"), F.sum(here).over(running).alias("n")
-    )
+
+    def add(counts: Column, bucket: Column) -> Column:
+        here = F.coalesce(F.try_element_at("by", bucket), F.lit(0))
+        return F.concat(counts, F.array(F.coalesce(F.try_element_at(counts, F.lit(-1)), F.lit(0)) + here))
+
+    buckets = F.sequence(F.lit(0), F.lit(grid.n - 1))
+    return places.select(*keys, F.aggregate(buckets, F.array().cast("array<bigint>"), add).alias("counts"))
+
+
+def wide_counts(counted: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+    """:func:`counts_by_place` with one column per bucket: no row per bucket is made on the way, and no pivot."""
+    cells = [F.get("counts", F.lit(i)).alias(label) for i, label in enumerate(grid.labels)]
+    return counted.select(*keys, *cells)
+
+
+def dense(summed: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
+    """Running sums of the :func:`changes` over all buckets of a place, a row per bucket."""
+    keys = list(keys)
+    rows = counts_by_place(summed, keys, grid).select(*keys, F.posexplode("counts").alias("bucket", "n"))
+    return rows.select(*keys, "bucket", grid.start(F.col("bucket")).alias("bucket_start"), "n")
 
 
 def occupancy_wide(long: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:

@@ -20,7 +20,7 @@ from sojourn.operators.cohort import drop_flagged, restrict_to
 from sojourn.operators.counts import freq, share
 from sojourn.operators.dedupe import dedupe_first
 from sojourn.operators.joins import lookup, person_weights
-from sojourn.operators.occupancy import Grid, changes, dense
+from sojourn.operators.occupancy import Grid, changes, counts_by_place, dense, wide_counts
 from sojourn.operators.paths import count_edges, path_edges
 from sojourn.operators.quantiles import duration_profile, histogram
 from sojourn.operators.topk import top_paths
@@ -216,6 +216,20 @@ def place_occupancy(
     stints: DataFrame, facilities: DataFrame, grid: Grid, open_end: date, weight: str | None = None
 ) -> DataFrame:
     """Stints per facility and bucket, long form. Changes are summed by code, and the facility joins those sums."""
+    return dense(_place_changes(stints, facilities, grid, open_end, weight), PLACE, grid)
+
+
+def place_occupancy_wide(
+    stints: DataFrame, facilities: DataFrame, grid: Grid, open_end: date, weight: str | None = None
+) -> DataFrame:
+    """Stints per facility, one column per bucket."""
+    counted = counts_by_place(_place_changes(stints, facilities, grid, open_end, weight), PLACE, grid)
+    return wide_counts(counted, PLACE, grid)
+
+
+def _place_changes(
+    stints: DataFrame, facilities: DataFrame, grid: Grid, open_end: date, weight: str | None
+) -> DataFrame:
     dated = stints.withColumns(
         {
             "stint_start": as_date(F.col("book_in_date_time")),
@@ -223,5 +237,4 @@ def place_occupancy(
         }
     )
     by_code = changes(dated, [CODE], "stint_start", "stint_end", grid, open_end, weight)
-    named = lookup(by_code, facilities.select(CODE, *PLACE), CODE)
-    return dense(named, PLACE, grid)
+    return lookup(by_code, facilities.select(CODE, *PLACE), CODE)

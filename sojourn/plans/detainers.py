@@ -44,5 +44,10 @@ def by_reason(detainers: DataFrame, keep: Sequence[str] | None = None) -> DataFr
     return pivot_with_total(detainers, SITE, REASON, keep)
 
 
+def extract(detainers: DataFrame, site: str, reason: str) -> DataFrame:
+    """The requests of one facility with one lift reason, all columns."""
+    return detainers.where((F.col(SITE) == site) & (F.col(REASON) == reason))
+
+
 def of_type(detainers: DataFrame, prefix: str) -> DataFrame:
     return detainers.where(F.col("detainer_type").startswith(prefix))

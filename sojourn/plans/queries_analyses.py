@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.operators.counts import freq, n_people
-from sojourn.operators.occupancy import Grid, daily, occupancy_wide, weekly
+from sojourn.operators.occupancy import Grid, daily, weekly
 from sojourn.operators.paths import count_edges, stint_edges
 from sojourn.operators.quantiles import summary
 from sojourn.plans import arrests as arrest_plans
@@ -415,9 +415,9 @@ def _wide_sql(grid: Grid) -> str:
     return _occupancy_sql(grid) + f"SELECT name, latitude, longitude, state, address, {cells} FROM long GROUP BY ALL"
 
 
-def _occupancy(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
+def _occupancy(spark: SparkSession, sf_dir: str, grid: Grid, form=custody.place_occupancy) -> DataFrame:
     stints, places = fixtures.stints(spark, sf_dir), fixtures.facilities(spark, sf_dir)
-    return custody.place_occupancy(stints, places, grid, OPEN_END)
+    return form(stints, places, grid, OPEN_END)
 
 
 @query(_occupancy_sql(WEEKS) + "SELECT * FROM long")
@@ -432,12 +432,12 @@ def occupancy_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_wide_sql(WEEKS))
 def occupancy_week_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occupancy_wide(_occupancy(spark, sf_dir, WEEKS), custody.PLACE, WEEKS)
+    return _occupancy(spark, sf_dir, WEEKS, custody.place_occupancy_wide)
 
 
 @query(_wide_sql(DAYS))
 def occupancy_day_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occupancy_wide(_occupancy(spark, sf_dir, DAYS), custody.PLACE, DAYS)
+    return _occupancy(spark, sf_dir, DAYS, custody.place_occupancy_wide)
 
 
 # Arrests

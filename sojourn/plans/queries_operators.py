@@ -40,8 +40,8 @@ from sojourn.operators.topk import top_n, top_n_with_ties, with_row_index
 from sojourn.plans.fixtures import facilities, stints, table
 from sojourn.plans.registry import query
 from sojourn.session import scratch_path
-from sojourn.sources.sinks import sink_csv
-from sojourn.sources.tables import file_info, register, scan_csv
+from sojourn.sources.sinks import sink_csv, sink_dated
+from sojourn.sources.tables import file_info, register, scan_csv, scan_period
 
 # Fixed values of the test tables.
 PRIORITY_KEEP = ["1-URGENT", "5-LOW", "NA"]
@@ -55,6 +55,18 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 # Scans and sinks
 
 
+@query(
+    """SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders
+    WHERE o_orderdate > TIMESTAMP '1996-11-20 00:00:00' AND o_orderdate <= TIMESTAMP '1998-02-10 00:00:00'"""
+)
+def dated_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders laid out by month, and those of a period read back from its months only."""
+    path = scratch_path(spark, ".parquet")
+    sink_dated(table(spark, sf_dir, "orders"), path, "o_orderdate")
+    rows = scan_period(spark, path, "o_orderdate", "1996-11-20 00:00:00", "1998-02-10 00:00:00", "right")
+    return rows.select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
 @query(
     """SELECT o_orderkey, o_custkey, o_orderdate FROM orders
     WHERE o_orderdate > TIMESTAMP '1998-12-01 00:00:00'

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.dates import as_date, in_period
@@ -14,8 +14,8 @@ from sojourn.functions.nulls import ascending, descending
 from sojourn.functions.text import passes_through
 from sojourn.operators.classify import DEPORTED
 from sojourn.operators.cohort import drop_flagged, repeated, restrict_to
-from sojourn.operators.counts import freq, n_people
-from sojourn.operators.occupancy import daily, occupancy_wide, weekly
+from sojourn.operators.counts import count_rows, freq, n_people
+from sojourn.operators.occupancy import daily, weekly
 from sojourn.operators.paths import path_mismatches
 from sojourn.operators.quantiles import quantiles, summary
 from sojourn.plans import arrests as arrest_plans
@@ -62,6 +62,9 @@ class Scope:
         "NA",
     )
     type_prefix: str = "I247A"
+    declined: str = "Detainer Declined by LEA"
+    declined_at: str = "MINN.C.F.,ST.CLOUD"
+    days_of: str = "RAADCMN"
 
 
 def midnight(day: date) -> str:
@@ -135,7 +138,9 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEB
         "arrests_by_country_top_10": arrest_plans.top_countries(period_arrests),
         "arrests_by_case_status": freq(period_arrests, "case_status"),
         "arrests_by_criminality": freq(period_arrests, "apprehension_criminality"),
+        "arrests_of_period": count_rows(period_arrests),
         "arrests_after": arrest_plans.daily_after(period_arrests, scope.wound_down),
+        "types": freq(typed, "apprehension_type"),
         "types_by_day": arrest_plans.type_by_day(typed),
         "types_by_period": arrest_plans.type_by_period(
             typed,
@@ -154,9 +159,11 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEB
         "prefixed_booked_by_facility": freq(
             prefixed.where(F.col(detainers.REASON) == scope.kept_reasons[0]), detainers.SITE
         ),
+        "declined_requests": detainers.extract(prefixed, scope.declined_at, scope.declined),
         "requests_first_day": detainers.on_day(requests, scope.since),
         "population": population.population_wide(inputs.population),
         "rolling_population": population.rolling_population(inputs.population),
+        "days_in_use": population.days_in_use(inputs.population, scope.days_of),
     }
 
     # columns that an input may lack
@@ -177,16 +184,57 @@ def build(inputs: Inputs, scope: Scope = Scope(), tiebreak: Sequence[str] = TIEB
     stays_since = inputs.stays.where(
         passes_through(F.col(custody.PATH), scope.facility) & in_period(as_date(F.col(custody.BOOK_IN)), scope.since)
     )
+    out["stay_people"] = n_people(stays_since, custody.ID)
     out["held_not_arrested"] = arrest_plans.held_not_arrested(stays_since, period_arrests)
 
     for name, grid in (("week", weekly(scope.since, scope.weeks)), ("day", daily(scope.since, scope.days))):
-        long = custody.place_occupancy(stints, inputs.facilities, grid, scope.open_end, weight="weight")
-        out[f"occupancy_{name}"] = occupancy_wide(long, custody.PLACE, grid)
+        out[f"occupancy_{name}"] = custody.place_occupancy_wide(
+            stints, inputs.facilities, grid, scope.open_end, weight="weight"
+        )
     return out
 
 
+#: Rows that must not be in a report, as a condition over its columns.
+IMPOSSIBLE = {
+    "detention_by_outcome": "outcome IS NULL OR outcome = 'debug'",
+    "flow_by_length": "step_to > n_stints + 2",
+    "flow_2_simplified": "step_to > 4",
+    "flow_3_simplified": "step_to > 5",
+}
+#: Sums over reports that must be equal, wherever two of them are written together.
+EQUAL = (
+    {"requests_per_day": "count", "requests_per_month": "count"},
+    {"arrests_of_period": "count", "arrests_by_country": "count", "arrests_by_case_status": "count", "arrests_by_criminality": "count"},
+    {"types": "count", "types_by_day": None},
+    {"detention_by_outcome": "count", "release_reasons": "count", "length_shares": "count", "flow_by_length": "IF(step_from = 1, count, 0)"},
+    {"requests_by_reason": "total", "requests_by_type": "count"},
+    {"prefixed_by_reason": "total", "prefixed_reasons": "count"},
+)
+
+
+def _checks(name: str, df: DataFrame) -> dict[str, Column]:
+    """What is measured while a report is written: its impossible rows, rows with a wrong total, and its sums."""
+    found = {}
+    if name in IMPOSSIBLE:
+        found["impossible"] = F.count_if(F.expr(IMPOSSIBLE[name]))
+    if "total" in df.columns:
+        cells = [F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in df.columns[1:] if c != "total"]
+        found["wrong total"] = F.count_if(F.col("total") != sum(cells, F.lit(0)))
+    for sums in EQUAL:
+        if name in sums:
+            cells = [F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in df.columns[1:]]
+            value = sum(cells, F.lit(0)) if sums[name] is None else F.expr(sums[name])
+            found["sum"] = F.coalesce(F.sum(value), F.lit(0))
+    return found
+
+
 def write(reports: Mapping[str, DataFrame], folder: str) -> None:
-    """Write each report as a folder of CSV files below ``folder``; those in ``INDEXED`` with a row index."""
+    """Write each report as a folder of CSV files below ``folder``; those in ``INDEXED`` with a row index.
+
+    What has to hold in a report, and between reports, is measured in the jobs that write them; a breach raises
+    ValueError once all of them are written.
+    """
+    measured = {}
     for name, df in reports.items():
         key = INDEXED.get(name)
         if key is None:
@@ -195,4 +243,11 @@ def write(reports: Mapping[str, DataFrame], folder: str) -> None:
             index = [*descending("count"), *ascending(*[c for c in df.columns if c != "count"])]
         else:
             index = ascending(key)
-        sink_csv(df, f"{folder}/{name}", index)
+        measured[name] = sink_csv(df, f"{folder}/{name}", index, measure=_checks(name, df))
+    breaches = [f"{name}: {n} rows, {what}" for name, m in measured.items() for what, n in m.items() if what != "sum" and n]
+    for sums in EQUAL:
+        found = {name: measured[name]["sum"] for name in sums if name in measured}
+        if len(set(found.values())) > 1:
+            breaches.append(f"different sums: {found}")
+    if breaches:
+        raise ValueError("; ".join(breaches))

@@ -148,3 +148,30 @@ def test_every_report_is_written(spark, reports, tmp_path):
     }
     for df in reports.values():
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_reports_that_were_missing(reports):
+    assert rows(reports["declined_requests"]) == set()
+    assert rows(reports["arrests_of_period"]) == {(3,)} and rows(reports["stay_people"]) == {(2,)}
+    assert rows(reports["types"]) == {("Targeted", 3), ("Collateral", 1)}
+    assert rows(reports["days_in_use"]) == set()
+
+
+def test_extract_and_days_in_use(spark, inputs):
+    scope = Scope(declined="Something else", declined_at="ADC", days_of="CAMP")
+    found = build(inputs, scope)
+    assert [r["detainer_type"] for r in found["declined_requests"].collect()] == ["I247A - x"]
+    assert {r[1] for r in rows(found["days_in_use"])} == set(range(1, 9))
+
+
+def test_a_breach_fails_the_write(spark, reports, tmp_path):
+    write(reports, str(tmp_path / "all"))
+    debug = spark.createDataFrame([("debug", 1)], "outcome string, count long")
+    with pytest.raises(ValueError, match="detention_by_outcome: 1 rows, impossible"):
+        write({"detention_by_outcome": debug}, str(tmp_path / "a"))
+    fewer = reports["requests_per_day"].limit(1)
+    with pytest.raises(ValueError, match="different sums: .*requests_per_day"):
+        write({"requests_per_day": fewer, "requests_per_month": reports["requests_per_month"]}, str(tmp_path / "b"))
+    off = reports["requests_by_reason"].withColumn("total", reports["requests_by_reason"]["total"] + 1)
+    with pytest.raises(ValueError, match="wrong total"):
+        write({"requests_by_reason": off}, str(tmp_path / "c"))
