@@ -6,6 +6,7 @@ import os
 import shutil
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from pathlib import Path
 
 import numpy as np
@@ -135,12 +136,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-#: The same value for an ASCII letter in either case.
-_FOLDED = _BYTES.copy()
-_FOLDED[0x41:0x5B] = _FOLDED[0x61:0x7B]
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs values[starts[i]:ends[i]], from sums over all values; the place doesn't matter."""
     powers, inverse = _powers(len(values))
@@ -150,8 +145,36 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 4096
+
+
 def word_hashes(words: Words, fold: bool = False) -> np.ndarray:
-    return span_hashes((_FOLDED if fold else _BYTES)[words.data], words.starts, words.ends)
+    """64-bit hashes of the words' bytes, or of those with ASCII letters in lower case.
+
+    Eight bytes at a time go through :func:`mix`, so patterns within a word do not cancel out; words of up to eight
+    bytes and the same length never share a hash.
+    """
+    padded = np.zeros(len(words.data) + 8, np.uint8)
+    padded[:-8] = _LOWER[words.data] if fold else words.data
+    eight = np.ndarray(len(words.data) + 1, "<u8", padded, strides=(1,))
+    size = words.ends - words.starts
+    hashes = size.astype(np.uint64) * np.uint64(BASE)
+    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        rest = size[at] - done
+        chunk = eight[words.starts[at] + done] & _FIRST[np.minimum(rest, 8)]
+        hashes[at] = mix(hashes[at] * np.uint64(0xD6E8FEB86659FD93) ^ chunk)
+        done += 8
+        at = at[rest > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = blake2b(padded[words.starts[i] : words.ends[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
 
 
 def bounds(first: np.ndarray) -> Iterator[tuple[int, int, int]]:
