@@ -1,12 +1,15 @@
 """Ranked lexical search without random access: impact-sorted reads with bounds for every document.
 
-The index holds a posting for each document and term that a query can use, with its impact (what the term adds to the
-document's score), laid out by impact: a band is an octave of impacts. Bands are read from the highest down, each once.
-After a band, the lists' frontiers are known: the most that a posting not read yet can add. A document that was seen for
+The index holds a posting for each document and term that a query can use, with its impact: what the term adds to the
+document's score. A list is cut into cells, an octave of impacts each, and read from the highest cell down. Which cells
+of which lists are read in a round depends on what they cost: the impact that a cell takes off the list's frontier, for
+each posting in it. So short lists of rare terms are read early, long lists of common terms last. Each cell is read once.
+
+After a round, the lists' frontiers are known: the most that a posting not read yet can add. A document that was seen for
 a query has the sum of its read impacts as lower bound, and that plus the frontiers of the lists it was not seen in as
 upper bound. Documents whose upper bound is below the k-th best lower bound are dropped; once the sum of a query's
-frontiers is below that bar, no unseen document can enter, and from then on only the documents left are looked up in a
-band. Reading goes on until the last band, where no bound is open: membership, ties and scores are then exact.
+frontiers is below that bar, no unseen document can enter, and from then on only the documents left are looked up in
+what is read. Reading goes on until all is read and no bound is open: membership, ties and scores are then exact.
 
 Scores are whole numbers of 64 bits. A term's weight is floor(1000 ln((2 N + 2) / (2 df + 1))), its impact in a document
 weight * (10^9 tf div (1000 tf + 8 m)) with m = 10 + (90 n N) div L.
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending
 from sojourn.llm.common import prepare
-from sojourn.session import scratch_path, write_once
+from sojourn.session import scratch_path, stored, write_once
 
 #: What parts terms: ASCII that is no letter or digit.
 PARTS = bytes(b for b in range(0x80) if not chr(b).isalnum())
 _FOLD = bytes.maketrans(PARTS + bytes(range(0x41, 0x5B)), b" " * len(PARTS) + bytes(range(0x61, 0x7B)))
 #: Bits of the filter of query terms that go to the workers; terms that share a bit are told apart by a join.
 FILTER_BITS = 1 << 22
+#: Octaves of gain that are read in a round.
+ROUND_OCTAVES = 2
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -86,28 +91,34 @@ def _term_filter(terms: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings `(term, row, id, impact, band)` by band, and `(term, band, top)`, the highest impact of each list in it.
+def build_index(counted: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings `(list, row, impact)` by round, and `(term, list, round, top)`: the highest impact of a list in a round.
 
-    `docs` has the columns id and text, `terms` the terms that matter. Terms that occur in no document, and postings
-    without impact, are not in the index.
+    `counted` has the documents' term counts, `terms` the terms that matter. Terms that occur in no document, and
+    postings without impact, are not in the index.
     """
-    counted = _counts(docs, "row", _term_filter(terms))
     n_docs, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
     m = F.expr(f"10 + (CAST(90 AS DECIMAL(3, 0)) * CAST(n AS DECIMAL(15, 0)) * CAST({n_docs} AS DECIMAL(15, 0))) div {total}")
-    found = counted.select("row", "id", m.alias("m"), F.explode(F.arrays_zip("terms", "times")).alias("t"))
-    found = found.select("row", "id", "m", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"))
+    found = counted.select("row", m.alias("m"), F.explode(F.arrays_zip("terms", "times")).alias("t"))
+    found = found.select("row", "m", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"))
     lists = found.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
     weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long")
-    lists = write_once(lists.select("term", weight.alias("weight")).where("weight > 0"))
+    lists = lists.select("term", weight.alias("weight"), F.monotonically_increasing_id().alias("list"))
+    lists = write_once(lists.where("weight > 0"))
     impact = F.expr("weight * ((1000000000 * tf) div (1000 * tf + 8 * m))")
-    postings = found.join(lists, "term").select("term", "row", "id", impact.alias("impact")).where("impact > 0")
+    postings = found.join(lists, "term").select("list", "row", impact.alias("impact")).where("impact > 0")
     # the octave by the number's binary digits, which is exact
-    postings = postings.withColumn("band", F.length(F.bin("impact")))
-    path = scratch_path(docs.sparkSession, ".parquet")
-    postings.write.partitionBy("band").parquet(path)
-    index = docs.sparkSession.read.schema(postings.schema).parquet(path)
-    return index, write_once(index.groupBy("term", "band").agg(F.max("impact").alias("top")))
+    postings = postings.withColumn("octave", F.length(F.bin("impact")))
+    cells = postings.groupBy("list", "octave").agg(F.max("impact").alias("top"), F.count("*").alias("n"))
+    gain = F.floor((F.col("octave") - F.log2("n")) / ROUND_OCTAVES)
+    # never before the cells above
+    gain = F.min(gain).over(Window.partitionBy("list").orderBy(F.desc("octave")))
+    cells = write_once(cells.select("list", "octave", "top", gain.cast("int").alias("round")))
+    path = scratch_path(counted.sparkSession, ".parquet")
+    placed = postings.join(cells.select("list", "octave", "round"), ["list", "octave"]).drop("octave")
+    placed.write.partitionBy("round").parquet(path)
+    tops = cells.groupBy("list", "round").agg(F.max("top").alias("top")).join(lists.select("list", "term"), "list")
+    return counted.sparkSession.read.schema(placed.schema).parquet(path), write_once(tops)
 
 
 def _best(states: DataFrame, k: int) -> DataFrame:
@@ -117,10 +128,10 @@ def _best(states: DataFrame, k: int) -> DataFrame:
     return best.groupBy("query").agg(F.count("*").alias("n"), F.min("lower").alias("bar")).where(F.col("n") == k).drop("n")
 
 
-def _frontiers(wanted: DataFrame, tops: DataFrame, band: int) -> DataFrame:
-    """`(query, ahead, most)`: for each of a query's terms what a posting below the band can add, and their sum."""
-    below = tops.where(F.col("band") < band).groupBy("term").agg(F.max("top").alias("top"))
-    lists = wanted.join(below, "term", "left").select("query", "no", F.coalesce("top", F.lit(0)).alias("top"))
+def _frontiers(wanted: DataFrame, tops: DataFrame, turn: int) -> DataFrame:
+    """`(query, ahead, most)`: for each of a query's terms what a posting not read after a round can add, and their sum."""
+    below = tops.where(F.col("round") < turn).groupBy("list").agg(F.max("top").alias("top"))
+    lists = wanted.join(below, "list", "left").select("query", "no", F.coalesce("top", F.lit(0)).alias("top"))
     ahead = F.transform(F.sort_array(F.collect_list(F.struct("no", "top"))), lambda x: x["top"])
     return lists.groupBy("query").agg(ahead.alias("ahead"), F.sum("top").alias("most"))
 
@@ -128,48 +139,53 @@ def _frontiers(wanted: DataFrame, tops: DataFrame, band: int) -> DataFrame:
 def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int = 10) -> DataFrame:
     """The k best documents of each query with a score above 0: query id, rank from 1, document id, score.
 
-    Both tables have a column `text`. The loop has a round for each octave of impacts, 40 at most at any size.
+    Both tables have a column `text`. The loop has a round for each few octaves of gain, some 20 at any size.
     """
     prepare(docs.sparkSession)
     asked = _counts(queries.select(F.col(query_id).alias("id"), "text"), "query")
-    wanted = asked.select("query", F.posexplode("terms").alias("no", "term"))
-    wanted = write_once(wanted)
-    terms = wanted.select("term").distinct()
-    index, tops = build_index(docs.select(F.col(doc_id).alias("id"), "text"), terms)
-    bands = sorted((r["band"] for r in tops.select("band").distinct().collect()), reverse=True)
+    wanted = asked.select("query", F.explode("terms").alias("term"))
+    terms = write_once(wanted.select("term").distinct())
+    counted = _counts(docs.select(F.col(doc_id).alias("id"), "text"), "row", _term_filter(terms))
+    index, tops = build_index(counted, terms)
+    lists = tops.select("term", "list").distinct()
+    number = F.row_number().over(Window.partitionBy("query").orderBy("list")) - 1
+    wanted = write_once(wanted.join(lists, "term").select("query", "list", number.alias("no")))
+    rounds = sorted((r["round"] for r in tops.select("round").distinct().collect()), reverse=True)
     states = closed = None
-    for band in bands:
-        read = index.where(F.col("band") == band)
-        hits = _hits(read, wanted, states, closed)
-        seen = hits.groupBy("query", "row", "id").agg(F.sum("impact").alias("lower"), F.collect_list("no").alias("seen"))
+    for turn in rounds:
+        hits = _hits(index.where(F.col("round") == turn), wanted, states, closed)
+        seen = hits.groupBy("query", "row").agg(F.sum("impact").alias("lower"), F.collect_list("no").alias("seen"))
         if states is not None:
             both = seen.unionByName(states.select(*seen.columns))
-            seen = both.groupBy("query", "row", "id").agg(
+            seen = both.groupBy("query", "row").agg(
                 F.sum("lower").alias("lower"), F.flatten(F.collect_list("seen")).alias("seen")
             )
-        ahead = _frontiers(wanted, tops, band)
+        ahead = _frontiers(wanted, tops, turn)
         unseen = F.expr("most - aggregate(seen, 0L, (sum, i) -> sum + ahead[i])")
-        bounded = write_once(seen.join(ahead, "query").select(*seen.columns, (F.col("lower") + unseen).alias("upper")))
-        bars = write_once(_best(bounded, k).join(ahead, "query").select("query", "bar", "most"))
-        # scores of at least the bar may still be among the best, also by a tie
-        states = bounded.join(bars.select("query", "bar"), "query", "left").where("bar IS NULL OR upper >= bar").drop("bar")
+        bounded = seen.join(ahead, "query").select(*seen.columns, (F.col("lower") + unseen).alias("upper"))
+        with stored(bounded) as bounded:
+            bars = write_once(_best(bounded, k).join(ahead, "query").select("query", "bar", "most"))
+            # scores of at least the bar may still be among the best, also by a tie
+            left = bounded.join(bars.select("query", "bar"), "query", "left").where("bar IS NULL OR upper >= bar")
+            states = write_once(left.drop("bar"))
         closed = bars.where("most < bar").select("query")
-    return _results(states, asked, k, doc_id, query_id, docs, queries)
+    return _results(states, counted, asked, k, doc_id, query_id, docs, queries)
 
 
 def _hits(read: DataFrame, wanted: DataFrame, states: DataFrame | None, closed: DataFrame | None) -> DataFrame:
-    """`(query, row, id, no, impact)` of a band: all postings for open queries, those of the documents left for others."""
-    columns = ["query", "row", "id", "no", "impact"]
+    """`(query, row, no, impact)` of a round: all postings for open queries, those of the documents left for others."""
+    columns = ["query", "row", "no", "impact"]
     if states is None:
-        return read.join(wanted, "term").select(columns)
-    hits = read.join(wanted.join(closed, "query", "left_anti"), "term").select(columns)
+        return read.join(wanted, "list").select(columns)
+    hits = read.join(write_once(wanted.join(closed, "query", "left_anti")), "list").select(columns)
     left = states.join(closed, "query", "left_semi").where("upper > lower").select("query", "row", "seen")
-    left = left.join(wanted, "query").where("NOT array_contains(seen, no)").select("query", "row", "no", "term")
-    return hits.unionByName(read.join(left, ["term", "row"]).select(columns))
+    left = left.join(wanted, "query").where("NOT array_contains(seen, no)").select("query", "row", "no", "list")
+    # written, so that Spark knows whether they are few enough to be broadcast
+    return hits.unionByName(read.join(write_once(left), ["list", "row"]).select(columns))
 
 
 def _results(
-    states: DataFrame | None, asked: DataFrame, k: int, doc_id: str, query_id: str, docs: DataFrame, queries: DataFrame
+    states: DataFrame | None, counted: DataFrame, asked: DataFrame, k: int, doc_id: str, query_id: str, docs: DataFrame, queries: DataFrame
 ) -> DataFrame:
     if states is None:  # no term occurs in any document
         kinds = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
@@ -177,7 +193,8 @@ def _results(
         return docs.sparkSession.createDataFrame([], schema)
     order = [F.col("lower").desc(), *ascending("id"), F.col("row")]
     rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
-    best = states.withColumn("rank", rank).where(F.col("rank") <= k)
+    named = states.join(counted.select("row", "id"), "row")
+    best = named.withColumn("rank", rank).where(F.col("rank") <= k)
     named = best.join(asked.select("query", F.col("id").alias("query_id")), "query")
     return named.select(F.col("query_id").alias(query_id), "rank", F.col("id").alias(doc_id), F.col("lower").alias("score"))
 
