@@ -150,16 +150,18 @@ def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     lists = tops.select("term", "list").distinct()
     number = F.row_number().over(Window.partitionBy("query").orderBy("list")) - 1
     wanted = write_once(wanted.join(lists, "term").select("query", "list", number.alias("no")))
+    by_number = F.transform(F.sort_array(F.collect_list(F.struct("no", "list"))), lambda x: x["list"])
+    lists_of = write_once(wanted.groupBy("query").agg(by_number.alias("lists")))
     rounds = sorted((r["round"] for r in tops.select("round").distinct().collect()), reverse=True)
     states = closed = None
     for turn in rounds:
-        hits = _hits(index.where(F.col("round") == turn), wanted, states, closed)
-        seen = hits.groupBy("query", "row").agg(F.sum("impact").alias("lower"), F.collect_list("no").alias("seen"))
-        if states is not None:
-            both = seen.unionByName(states.select(*seen.columns))
-            seen = both.groupBy("query", "row").agg(
-                F.sum("lower").alias("lower"), F.flatten(F.collect_list("seen")).alias("seen")
-            )
+        read = index.where(F.col("round") == turn)
+        if states is None:
+            seen = _seen(read, wanted)
+        else:
+            open_ = write_once(wanted.join(closed, "query", "left_anti"))
+            seen = _seen(read, open_, states.join(closed, "query", "left_anti"))
+            seen = seen.unionByName(_looked_up(read, lists_of, states.join(closed, "query", "left_semi")))
         ahead = _frontiers(wanted, tops, turn)
         unseen = F.expr("most - aggregate(seen, 0L, (sum, i) -> sum + ahead[i])")
         bounded = seen.join(ahead, "query").select(*seen.columns, (F.col("lower") + unseen).alias("upper"))
@@ -172,16 +174,26 @@ def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     return _results(states, counted, asked, k, doc_id, query_id, docs, queries)
 
 
-def _hits(read: DataFrame, wanted: DataFrame, states: DataFrame | None, closed: DataFrame | None) -> DataFrame:
-    """`(query, row, no, impact)` of a round: all postings for open queries, those of the documents left for others."""
-    columns = ["query", "row", "no", "impact"]
+def _seen(read: DataFrame, wanted: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """`(query, row, lower, seen)`: all documents of the postings read for some queries, added to what is known."""
+    seen = read.join(wanted, "list").groupBy("query", "row")
+    seen = seen.agg(F.sum("impact").alias("lower"), F.collect_list("no").alias("seen"))
     if states is None:
-        return read.join(wanted, "list").select(columns)
-    hits = read.join(write_once(wanted.join(closed, "query", "left_anti")), "list").select(columns)
-    left = states.join(closed, "query", "left_semi").where("upper > lower").select("query", "row", "seen")
-    left = left.join(wanted, "query").where("NOT array_contains(seen, no)").select("query", "row", "no", "list")
-    # written, so that Spark knows whether they are few enough to be broadcast
-    return hits.unionByName(read.join(write_once(left), ["list", "row"]).select(columns))
+        return seen
+    both = seen.unionByName(states.select(*seen.columns)).groupBy("query", "row")
+    return both.agg(F.sum("lower").alias("lower"), F.flatten(F.collect_list("seen")).alias("seen"))
+
+
+def _looked_up(read: DataFrame, lists_of: DataFrame, states: DataFrame) -> DataFrame:
+    """The same for the documents that are left of queries that no other can enter: what is read meets them by row.
+
+    A document's postings of a round are one map, no larger than the document; a posting is read in one round only.
+    """
+    found = read.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("list", "impact"))).alias("found"))
+    met = states.select("query", "row", "lower", "seen").join(found, "row", "left").join(lists_of, "query")
+    numbers = F.expr("filter(sequence(0, size(lists) - 1), i -> found IS NOT NULL AND map_contains_key(found, lists[i]))")
+    lower = F.expr("lower + aggregate(new, 0L, (sum, i) -> sum + found[lists[i]])")
+    return met.withColumn("new", numbers).select("query", "row", lower.alias("lower"), F.concat("seen", "new").alias("seen"))
 
 
 def _results(
