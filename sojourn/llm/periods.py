@@ -54,8 +54,8 @@ def least_places(period: int) -> int:
     return max(LEAST, TIMES * period) - period
 
 
-def tiles_of(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """`(octave, first place, core)` of each tile that may touch a run; the octave is its least period, or 1.
+def tiles_of(x: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray | None]]:
+    """`(octave, first place, core, boundaries)` of each tile that may touch a run; the octave is its least period, or 1.
 
     Tiles of short periods are those with a stretch that is long enough. In longer octaves s to 2 s a boundary stands
     at every s-th word. A run goes over three of them or more, and the words that follow its first two come again
@@ -69,7 +69,7 @@ def tiles_of(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
         begins, ends = stretches(x[period:] == x[:-period])
         for i in np.flatnonzero(ends - begins >= least_places(period)):
             marked[begins[i] // CORE : (ends[i] - 1) // CORE + 1] = True
-    yield from ((1, int(t) * CORE, CORE) for t in np.flatnonzero(marked))
+    yield from ((1, int(t) * CORE, CORE, None) for t in np.flatnonzero(marked))
     s, hashes = 1, mix(x.astype(np.uint64) + np.uint64(1))
     while TIMES * s <= n:
         if s >= SHORT:
@@ -81,8 +81,10 @@ def tiles_of(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
             again = (at[1:] == at[:-1, :1]) & (at[:-1, :1] != 0)
             first = np.flatnonzero((again[1:] & again[:-1]).any(axis=1))
             boundaries = np.unique(np.concatenate([first, first + 1, first + 2])) * s
-            yield from ((s, int(t) * core, core) for t in np.unique(boundaries // core))
-        hashes = mix(hashes[:-s] * np.uint64(0x9E3779B97F4A7C15) + hashes[s:])
+            for t in np.unique(boundaries // core).tolist():
+                yield s, t * core, core, boundaries[boundaries // core == t] - t * core
+        hashes = hashes[:-s] * np.uint64(0x9E3779B97F4A7C15) + hashes[s:]
+        hashes ^= hashes >> np.uint64(29)
         s *= 2
 
 
@@ -130,8 +132,8 @@ def solve_short(x: np.ndarray, core: int, first: bool) -> Iterator[tuple[int, in
                 yield period, begin, end
 
 
-def solve_octave(x: np.ndarray, s: int, before: int, core: int) -> Iterator[tuple[int, int, int]]:
-    """As :func:`solve_short` for the periods s to 2 s - 1; the core begins `before` words after the tile's begin.
+def solve_octave(x: np.ndarray, s: int, boundaries: list[int]) -> Iterator[tuple[int, int, int]]:
+    """As :func:`solve_short` for the periods s to 2 s - 1, at the boundaries that may be in a run.
 
     Around a boundary b, the places that go on with period q are as many before b as the words before b and before b + q
     end alike, and as many after as the words from there on begin alike; s each way are enough, as the next boundary
@@ -140,42 +142,50 @@ def solve_octave(x: np.ndarray, s: int, before: int, core: int) -> Iterator[tupl
     """
     x = x.tolist()
     open_: dict[int, tuple[int, int]] = {}
-    for b in range(before, min(before + core, len(x) - s), s):
+    for b in boundaries:
+        upto = min(2 * s, len(x) - b)  # words from b on that the tile has, of those that the periods need
+        if upto <= s:
+            continue
         ahead = z_function(x[b : b + 3 * s])
         behind = x[max(0, b - s) : b][::-1]
         reach = len(behind)
         back = z_function([*behind, -1, *x[b : b + 2 * s][::-1], *behind])
-        upto = min(2 * s, len(x) - b)  # words from b on that the tile has, of those that the periods need
-        for q in range(s, upto):
-            right = min(ahead[q], s)
-            left = min(back[reach + 1 + upto - q], s) if reach else 0
-            if (right < s and left < s) or any(ahead[q // p] >= q - q // p for p in prime_factors(q)):
+        right = np.minimum(ahead[s:upto], s)
+        left = np.minimum(back[reach + 2 : reach + 2 + upto - s][::-1], s) if reach else np.zeros_like(right)
+        for q in (np.flatnonzero((right == s) | (left == s)) + s).tolist():
+            if any(ahead[q // p] >= q - q // p for p in prime_factors(q)):
                 continue
+            first, last = b - int(left[q - s]), b + int(right[q - s])
             begin, end = open_.get(q, (0, -1))
-            if b - left <= end:
-                open_[q] = begin, max(end, b + right)
+            if first <= end:
+                open_[q] = begin, max(end, last)
             else:
                 if end >= 0:
                     yield q, begin, end
-                open_[q] = b - left, b + right
+                open_[q] = first, last
     yield from ((q, begin, end) for q, (begin, end) in open_.items())
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "octave", "place", "core", "words"]
+    names = ["key", "octave", "place", "core", "boundaries", "words"]
     for batch in batches:
         for key, text in zip(batch.column("key"), batch.column("text").to_pylist()):
             x = word_numbers(text)[1]
             rows, size = [], 0
-            for s, place, core in tiles_of(x):
+            for s, place, core, boundaries in tiles_of(x):
                 words = x[place : place + core + SHORT] if s == 1 else x[max(0, place - s) : place + core + 3 * s]
-                rows.append((key.as_py(), s, place, core, words.tobytes()))
+                rows.append((key.as_py(), s, place, core, None if boundaries is None else boundaries.tolist(), words.tobytes()))
                 size += words.nbytes
                 if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                    yield _tile_batch(rows, names)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                yield _tile_batch(rows, names)
+
+
+def _tile_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,19 +194,16 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in batch.to_pylist():
             x, s, place = np.frombuffer(tile["words"], np.int32), tile["octave"], tile["place"]
             before = 0 if s == 1 else min(s, place)
-            found = solve_short(x, tile["core"], place == 0) if s == 1 else solve_octave(x, s, before, tile["core"])
+            if s == 1:
+                found = solve_short(x, tile["core"], place == 0)
+            else:
+                found = solve_octave(x, s, [before + b for b in tile["boundaries"]])
             shift = place - before
             rows += [(tile["key"], q, begin + shift, end + shift) for q, begin, end in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "period", "begin", "end"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marked = [next(tiles_of(word_numbers(t)[1]), None) is not None for t in batch.column("text").to_pylist()]
-        yield batch.append_column("marked", pa.array(marked, pa.bool_()))
-
-
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -231,26 +238,21 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     """`(doc_id, runs, collapsed)`: a document's runs by start and period, and its text without the words that repeat.
 
     `runs` are structs of start, length and period in words, empty without any. `collapsed` keeps of each run the first
-    period, and words that are in no run; words are joined by single spaces. Documents that no tile can touch are done
-    without a shuffle.
+    period, and words that are in no run; words are joined by single spaces.
     """
     prepare(docs.sparkSession)
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     docs = docs.select("doc_id", "text", F.unhex(F.md5(name)).alias("key"))
-    tiles = docs.select("key", "text").mapInArrow(_cut, "key binary, octave long, place long, core long, words binary")
+    tiles = docs.select("key", "text").mapInArrow(_cut, "key binary, octave long, place long, core long, boundaries array<long>, words binary")
     # the input's partition parts the tiles of rows that are alike
     tiles = tiles.withColumn("part", F.spark_partition_id()).repartition("key", "octave", "place", "part")
     pieces = tiles.drop("part").mapInArrow(_solve, "key binary, period long, begin long, end long")
     runs = F.struct("start", "length", "period")
     # written, so that both sides of the join below are plain shuffles, which Spark can split
     by_key = write_once(stitch(pieces).groupBy("key").agg(F.sort_array(F.collect_list(runs)).cast(RUNS).alias("runs")))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs {RUNS}, collapsed string"
-    marked = docs.mapInArrow(_mark, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, key binary, marked boolean")
-    none = F.array().cast(RUNS).alias("runs")
-    plain = marked.where("NOT marked").select("doc_id", "text", none)
-    found = marked.where("marked").join(by_key, "key", "left")
-    found = found.select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
-    return plain.union(found).mapInArrow(_collapse, schema)
+    none = F.array().cast(RUNS)
+    found = docs.join(by_key, "key", "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
+    return found.mapInArrow(_collapse, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs {RUNS}, collapsed string")
 
 
 def looped(docs: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from sojourn.session import release
 def solved(x):
     """The runs that the tiles of a sequence find, stitched in Python."""
     pieces = {}
-    for s, place, core in periods.tiles_of(x):
+    for s, place, core, boundaries in periods.tiles_of(x):
         before = 0 if s == 1 else min(s, place)
         words = x[place : place + core + periods.SHORT] if s == 1 else x[place - before : place + core + 3 * s]
-        found = periods.solve_short(words, core, place == 0) if s == 1 else periods.solve_octave(words, s, before, core)
+        if s == 1:
+            found = periods.solve_short(words, core, place == 0)
+        else:
+            found = periods.solve_octave(words, s, (boundaries + before).tolist())
         for q, begin, end in found:
             pieces.setdefault(q, []).append((begin + place - before, end + place - before))
     runs = []
