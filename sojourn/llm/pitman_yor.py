@@ -42,11 +42,11 @@ LEAVES, PARENTS = 64, 256
 N_LEAVES = LEAVES * PARENTS
 #: Discounts and strengths of the root, the parents, and the restaurants of previous words.
 DISCOUNT, STRENGTH = (0.5, 0.7, 0.8), (1.0, 1.0, 1.0)
-#: Passes over the words with totals held, rounds from the leaves to the root in a pass, samples in a round; the last
-#: round's samples but the first are averaged.
-PASSES, ROUNDS, SAMPLES = 2, 2, 4
+#: Passes over the words with totals held, rounds from the leaves to the root in the last pass (one in those before),
+#: samples in a round; the last round's samples but the first are averaged.
+PASSES, ROUNDS, SAMPLES = 2, 2, 3
 #: Bytes of text in a slice, unless a single text is longer.
-SLICE = 16 << 20
+SLICE = 32 << 20
 #: Rows and bytes of rows that are worked on at once.
 LOT_ROWS, LOT_BYTES = 1 << 15, 8 << 20
 #: The end of a text as a word; no word holds white space.
@@ -80,11 +80,16 @@ def _binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
-def _joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _joined(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a binary column in a row, and how many each value has (null: none)."""
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(v for v in values.to_pylist() if v), kind), sizes.astype(np.int64)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+    buffers = column.buffers()
+    ends = np.frombuffer(buffers[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    width = np.dtype(kind).itemsize
+    if ends[0] == ends[-1]:
+        return np.zeros(0, kind), np.diff(ends)
+    return np.frombuffer(buffers[2], kind, (ends[-1] - ends[0]) // width, int(ends[0])), np.diff(ends) // width
 
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -164,7 +169,7 @@ def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             s = _Slice(row)
             keys, counts = np.unique(s.key[np.repeat(s.train, s.lengths)], return_counts=True)
             _, words, leaves, starts = s.asked(keys)
-            yield from _parts([words, leaves, _binaries(counts.astype(np.int64), starts)], ["word", "leaves", "counts"])
+            yield from _parts([words, leaves, _binaries(counts.astype(np.uint32), starts)], ["word", "leaves", "counts"])
 
 
 def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +191,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["word", "leaves", "counts"]
     held = None
     for lot in _lots(batches):
-        lot = pa.concat_tables([held, lot.select(names)]).combine_chunks() if held else lot.select(names)
+        wide = _joined(lot.column("counts"), np.uint32)  # a slice has fewer than 2^32 words
+        wide = _binaries(wide[0].astype(np.int64), np.append(0, np.cumsum(wide[1])))
+        lot = pa.table([lot.column("word"), lot.column("leaves"), wide], names)
+        lot = pa.concat_tables([held, lot]).combine_chunks() if held else lot
         words = lot.column("word")
         new = np.ones(lot.num_rows, bool)
         if lot.num_rows > 1:
@@ -211,7 +219,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def seat(customers: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Tables of customers seated one after the other, and the logarithm of the seating's weight over its chance."""
     tables, weight = np.ones(len(customers), np.int64), np.zeros(len(customers))
-    order = np.argsort(-customers, kind="stable")
+    more = np.flatnonzero(customers > 1)  # one customer has one table
+    order = more[np.argsort(-customers[more], kind="stable")]
     c, a = customers[order], a[order]
     t, w, seated = np.ones(len(c), np.int64), np.zeros(len(c)), 1
     while active := int(np.searchsorted(-c, -seated)):
@@ -298,7 +307,7 @@ def _add_up(totals: Totals | None, turn: int):
         sums = np.zeros((2, _SLOTS))
         for lot in _lots(batches):
             rows = _Rows(lot)
-            means = rows.sample(totals, ROUNDS if totals else 0, _generator(lot, turn))
+            means = rows.sample(totals, 1 if totals else 0, _generator(lot, turn))
             slots = np.zeros(rows.n, np.int64), 1 + rows.parent, 1 + PARENTS + rows.leaf
             for at, level in zip(slots, means):
                 for i in (0, 1):
@@ -325,8 +334,8 @@ def _learn(totals: Totals, turn: int):
             arrays = [
                 lot.column("word").combine_chunks(), pa.array(np.add.reduceat(rows.customers, rows.starts[:-1])),
                 pa.array(own[0]), _binaries(rows.parent.astype(np.uint8), rows.parent_starts),
-                _binaries(own[1], rows.parent_starts), _binaries(rows.leaf.astype(np.uint16), rows.starts),
-                _binaries(own[2], rows.starts),
+                _binaries(own[1].astype(np.float32), rows.parent_starts), _binaries(rows.leaf.astype(np.uint16), rows.starts),
+                _binaries(own[2].astype(np.float32), rows.starts),
             ]
             yield pa.RecordBatch.from_arrays(arrays, _MODEL)
 
@@ -340,9 +349,10 @@ def _own_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(_SLOTS)
     for lot in _lots(batches):
         sums[0] += lot.column("root").to_numpy().sum()
-        sums += np.bincount(1 + _joined(lot.column("parents"), np.uint8)[0].astype(np.int64), _joined(lot.column("parent_own"), float)[0], _SLOTS)
+        at = 1 + _joined(lot.column("parents"), np.uint8)[0].astype(np.int64)
+        sums += np.bincount(at, _joined(lot.column("parent_own"), np.float32)[0], _SLOTS)
         at = 1 + PARENTS + _joined(lot.column("leaves"), np.uint16)[0].astype(np.int64)
-        sums += np.bincount(at, _joined(lot.column("leaf_own"), float)[0], _SLOTS)
+        sums += np.bincount(at, _joined(lot.column("leaf_own"), np.float32)[0], _SLOTS)
     used = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["slot", "own"])
 
@@ -374,7 +384,7 @@ class Shares:
         if not len(keys):
             return np.zeros(len(wanted))
         place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        own = np.where(keys[place] == wanted, _joined(lot.column(values), float)[0][place], 0.0)
+        own = np.where(keys[place] == wanted, _joined(lot.column(values), np.float32)[0][place].astype(float), 0.0)
         return own / self.size[slot + at]
 
 
@@ -390,11 +400,12 @@ def _answers(shares: Shares):
             starts = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(slices))
             ends = np.append(0, np.cumsum(sizes))
             counts = pc.fill_null(lot.column("count"), 0).to_numpy()
-            arrays = [
-                pa.array(slices[starts[:-1]]), _binaries(lot.column("number").to_numpy().astype(np.uint32), starts),
-                _binaries(counts.astype(np.int64), starts), _binaries(probabilities.astype(np.float32), ends[starts]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["slice", "numbers", "counts", "probabilities"])
+            values = lot.column("number").to_numpy(), counts & 0xFFFFFFFF, counts >> 32
+            packed = [[_packed(v[i:j]) for i, j in zip(starts, starts[1:])] for v in values]
+            chances, ends = probabilities.astype(np.float32).view(np.uint32), ends[starts]
+            packed.append([_packed(chances[i:j]) for i, j in zip(ends, ends[1:])])
+            arrays = [pa.array(slices[starts[:-1]]), *(pa.array(p, pa.binary()) for p in packed)]
+            yield pa.RecordBatch.from_arrays(arrays, ["slice", "numbers", "low", "high", "probabilities"])
 
     return run
 
@@ -408,12 +419,12 @@ def _scores(n_tokens: int, n_words: int):
             starts = np.searchsorted(keys >> 16, np.arange(len(s.words) + 1))
             count, logs = np.zeros(len(s.words), np.int64), np.zeros(len(keys))
             for part in answers.to_pylist():
-                numbers = np.frombuffer(part["numbers"], np.uint32).astype(np.int64)
-                count[numbers] = np.frombuffer(part["counts"], np.int64)
+                numbers = _unpacked(part["numbers"]).astype(np.int64)
+                count[numbers] = _unpacked(part["low"]).astype(np.int64) | _unpacked(part["high"]).astype(np.int64) << 32
                 sizes = starts[numbers + 1] - starts[numbers]
                 first = np.cumsum(sizes) - sizes
                 places = np.repeat(starts[numbers] - first, sizes) + np.arange(sizes.sum())
-                logs[places] = np.log10(np.frombuffer(part["probabilities"], np.float32))
+                logs[places] = np.log10(_unpacked(part["probabilities"]).view(np.float32))
             begins = np.cumsum(s.lengths) - s.lengths
             base = np.log10((count + 1) / (n_tokens + n_words + 1))[s.word]
             arrays = [
@@ -468,7 +479,7 @@ def language_model_scores(docs: DataFrame, train: Column) -> DataFrame:
     own[rows.column("slot").to_numpy()] = rows.column("own").to_numpy()
     questions = sequences.mapInArrow(_questions, "word string, slice long, number long, asked binary")
     met = questions.join(model, "word", "left").drop("word")
-    answers = met.mapInArrow(_answers(Shares(totals, own)), "slice long, numbers binary, counts binary, probabilities binary")
+    answers = met.mapInArrow(_answers(Shares(totals, own)), "slice long, numbers binary, low binary, high binary, probabilities binary")
     result = (
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
