@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 from zlib import crc32
 
 import numpy as np
@@ -41,6 +42,8 @@ _FOLD = bytes.maketrans(PARTS + bytes(range(0x41, 0x5B)), b" " * len(PARTS) + by
 FILTER_BITS = 1 << 22
 #: Octaves of gain that are read in a round.
 ROUND_OCTAVES = 2
+#: Terms of a query that a 64-bit column of seen lists stands for.
+BITS = 62
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -153,47 +156,66 @@ def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     by_number = F.transform(F.sort_array(F.collect_list(F.struct("no", "list"))), lambda x: x["list"])
     lists_of = write_once(wanted.groupBy("query").agg(by_number.alias("lists")))
     rounds = sorted((r["round"] for r in tops.select("round").distinct().collect()), reverse=True)
+    most_terms = wanted.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0] + 1
+    masks = [f"seen{i}" for i in range(-(-most_terms // BITS))]
     states = closed = None
+    before = ExitStack()
     for turn in rounds:
         read = index.where(F.col("round") == turn)
         if states is None:
-            seen = _seen(read, wanted)
+            seen = _seen(read, wanted, masks)
         else:
             open_ = write_once(wanted.join(closed, "query", "left_anti"))
-            seen = _seen(read, open_, states.join(closed, "query", "left_anti"))
-            seen = seen.unionByName(_looked_up(read, lists_of, states.join(closed, "query", "left_semi")))
+            seen = _seen(read, open_, masks, states.join(closed, "query", "left_anti"))
+            seen = seen.unionByName(_looked_up(read, lists_of, masks, states.join(closed, "query", "left_semi")))
         ahead = _frontiers(wanted, tops, turn)
-        unseen = F.expr("most - aggregate(seen, 0L, (sum, i) -> sum + ahead[i])")
-        bounded = seen.join(ahead, "query").select(*seen.columns, (F.col("lower") + unseen).alias("upper"))
-        with stored(bounded) as bounded:
-            bars = write_once(_best(bounded, k).join(ahead, "query").select("query", "bar", "most"))
-            # scores of at least the bar may still be among the best, also by a tie
-            left = bounded.join(bars.select("query", "bar"), "query", "left").where("bar IS NULL OR upper >= bar")
-            states = write_once(left.drop("bar"))
+        bits = F.array(*masks)
+        unseen = F.expr(
+            f"aggregate(ahead, (0, 0L), (s, top) -> (s.col1 + 1, "
+            f"s.col2 + IF((get(bits, s.col1 div {BITS}) >> (s.col1 % {BITS})) & 1 = 0, top, 0L)), s -> s.col2)"
+        )
+        bounded = seen.join(ahead, "query").withColumn("bits", bits)
+        bounded = bounded.select(*seen.columns, (F.col("lower") + unseen).alias("upper"))
+        written = ExitStack()
+        bounded = written.enter_context(stored(bounded))
+        before.close()  # what the round before wrote
+        before = written
+        bars = write_once(_best(bounded, k).join(ahead, "query").select("query", "bar", "most"))
+        # scores of at least the bar may still be among the best, also by a tie
+        states = bounded.join(bars.select("query", "bar"), "query", "left").where("bar IS NULL OR upper >= bar").drop("bar")
         closed = bars.where("most < bar").select("query")
+    if states is not None:
+        states = write_once(states)
+    before.close()
     return _results(states, counted, asked, k, doc_id, query_id, docs, queries)
 
 
-def _seen(read: DataFrame, wanted: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """`(query, row, lower, seen)`: all documents of the postings read for some queries, added to what is known."""
-    seen = read.join(wanted, "list").groupBy("query", "row")
-    seen = seen.agg(F.sum("impact").alias("lower"), F.collect_list("no").alias("seen"))
-    if states is None:
-        return seen
-    both = seen.unionByName(states.select(*seen.columns)).groupBy("query", "row")
-    return both.agg(F.sum("lower").alias("lower"), F.flatten(F.collect_list("seen")).alias("seen"))
+def _seen(read: DataFrame, wanted: DataFrame, masks: list[str], states: DataFrame | None = None) -> DataFrame:
+    """`(query, row, lower, seen0, ...)`: all documents of the postings read for some queries, added to what is known.
+
+    The lists a document was seen in are bits, which add up, as a posting is read once.
+    """
+    bits = [F.expr(f"IF(no div {BITS} = {i}, 1L << CAST(no % {BITS} AS INT), 0L)").alias(m) for i, m in enumerate(masks)]
+    seen = read.join(wanted, "list").select("query", "row", F.col("impact").alias("lower"), *bits)
+    if states is not None:
+        seen = seen.unionByName(states.select(*seen.columns))
+    return seen.groupBy("query", "row").agg(*[F.sum(c).alias(c) for c in ("lower", *masks)])
 
 
-def _looked_up(read: DataFrame, lists_of: DataFrame, states: DataFrame) -> DataFrame:
+def _looked_up(read: DataFrame, lists_of: DataFrame, masks: list[str], states: DataFrame) -> DataFrame:
     """The same for the documents that are left of queries that no other can enter: what is read meets them by row.
 
     A document's postings of a round are one map, no larger than the document; a posting is read in one round only.
     """
     found = read.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("list", "impact"))).alias("found"))
-    met = states.select("query", "row", "lower", "seen").join(found, "row", "left").join(lists_of, "query")
+    met = states.drop("upper").join(found, "row", "left").join(lists_of, "query")
     numbers = F.expr("filter(sequence(0, size(lists) - 1), i -> found IS NOT NULL AND map_contains_key(found, lists[i]))")
     lower = F.expr("lower + aggregate(new, 0L, (sum, i) -> sum + found[lists[i]])")
-    return met.withColumn("new", numbers).select("query", "row", lower.alias("lower"), F.concat("seen", "new").alias("seen"))
+    bits = [
+        F.expr(f"{m} + aggregate(new, 0L, (sum, i) -> sum + IF(i div {BITS} = {j}, 1L << CAST(i % {BITS} AS INT), 0L))").alias(m)
+        for j, m in enumerate(masks)
+    ]
+    return met.withColumn("new", numbers).select("query", "row", lower.alias("lower"), *bits)
 
 
 def _results(

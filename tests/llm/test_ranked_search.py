@@ -44,6 +44,8 @@ def test_all_scores(spark, odd_docs, k):
     docs = docs.selectExpr("*", "1 AS term", "2 AS query", "3 AS n", "4 AS terms", "5 AS id", "6 AS band")
     asked = [("a", "w1 w2 w3 w22"), ("b", "SAME words"), ("c", None), ("d", "nowhere"), ("e", "é ß w7 w7"), ("f", "w5 " * 9)]
     asked += [("b", "SAME words"), (None, "word two"), ("g", " ".join(f"w{i}" for i in range(23)))]
+    asked += [("h", " ".join(f"v{i}" for i in range(150)))]  # more terms than a column of bits
+    made += [(500 + i, " ".join(f"v{j}" for j in range(150) if (i * j) % 7 < 3)) for i in range(1, 30)]
     queries = spark.createDataFrame(asked, "item_id string, text string").selectExpr("*", "1 AS id", "2 AS row")
     rows = sorted(map(repr, (tuple(r) for r in ranked_search(docs, queries, "doc_id", "item_id", k).collect())))
     given = [tuple(r) for r in docs.select("doc_id", "text").collect()]
