@@ -131,11 +131,15 @@ def _best(states: DataFrame, k: int) -> DataFrame:
     return best.groupBy("query").agg(F.count("*").alias("n"), F.min("lower").alias("bar")).where(F.col("n") == k).drop("n")
 
 
-def _frontiers(wanted: DataFrame, tops: DataFrame, turn: int) -> DataFrame:
-    """`(query, ahead, most)`: for each of a query's terms what a posting not read after a round can add, and their sum."""
+def _frontiers(wanted: DataFrame, tops: DataFrame, turn: int, most_terms: int) -> DataFrame:
+    """`(query, ahead, most)`: for each of a query's terms what a posting not read after a round can add, and their sum.
+
+    All queries get as many numbers, 0 beyond their own terms.
+    """
     below = tops.where(F.col("round") < turn).groupBy("list").agg(F.max("top").alias("top"))
     lists = wanted.join(below, "list", "left").select("query", "no", F.coalesce("top", F.lit(0)).alias("top"))
-    ahead = F.transform(F.sort_array(F.collect_list(F.struct("no", "top"))), lambda x: x["top"])
+    ahead = F.map_from_entries(F.collect_list(F.struct("no", "top")))
+    ahead = F.transform(F.sequence(F.lit(0), F.lit(most_terms - 1)), lambda i: F.coalesce(ahead[i], F.lit(0)))
     return lists.groupBy("query").agg(ahead.alias("ahead"), F.sum("top").alias("most"))
 
 
@@ -153,8 +157,6 @@ def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     lists = tops.select("term", "list").distinct()
     number = F.row_number().over(Window.partitionBy("query").orderBy("list")) - 1
     wanted = write_once(wanted.join(lists, "term").select("query", "list", number.alias("no")))
-    by_number = F.transform(F.sort_array(F.collect_list(F.struct("no", "list"))), lambda x: x["list"])
-    lists_of = write_once(wanted.groupBy("query").agg(by_number.alias("lists")))
     rounds = sorted((r["round"] for r in tops.select("round").distinct().collect()), reverse=True)
     most_terms = wanted.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0] + 1
     masks = [f"seen{i}" for i in range(-(-most_terms // BITS))]
@@ -163,19 +165,16 @@ def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     for turn in rounds:
         read = index.where(F.col("round") == turn)
         if states is None:
-            seen = _seen(read, wanted, masks)
+            seen = _seen(read.join(wanted, "list"), masks)
         else:
             open_ = write_once(wanted.join(closed, "query", "left_anti"))
-            seen = _seen(read, open_, masks, states.join(closed, "query", "left_anti"))
-            seen = seen.unionByName(_looked_up(read, lists_of, masks, states.join(closed, "query", "left_semi")))
-        ahead = _frontiers(wanted, tops, turn)
-        bits = F.array(*masks)
-        unseen = F.expr(
-            f"aggregate(ahead, (0, 0L), (s, top) -> (s.col1 + 1, "
-            f"s.col2 + IF((get(bits, s.col1 div {BITS}) >> (s.col1 % {BITS})) & 1 = 0, top, 0L)), s -> s.col2)"
-        )
-        bounded = seen.join(ahead, "query").withColumn("bits", bits)
-        bounded = bounded.select(*seen.columns, (F.col("lower") + unseen).alias("upper"))
+            left = states.join(closed, "query", "left_semi").where("upper > lower").select("query", "row")
+            # documents left of queries that no other can enter: what is read meets them by row
+            found = read.join(left, "row").join(wanted, ["query", "list"])
+            seen = _seen(read.join(open_, "list").unionByName(found), masks, states)
+        ahead = _frontiers(wanted, tops, turn, most_terms)
+        unseen = [F.expr(f"IF(({masks[i // BITS]} >> {i % BITS}) & 1 = 0, ahead[{i}], 0L)") for i in range(most_terms)]
+        bounded = seen.join(ahead, "query").select(*seen.columns, sum(unseen, F.col("lower")).alias("upper"))
         written = ExitStack()
         bounded = written.enter_context(stored(bounded))
         before.close()  # what the round before wrote
@@ -190,34 +189,18 @@ def ranked_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: st
     return _results(states, counted, asked, k, doc_id, query_id, docs, queries)
 
 
-def _seen(read: DataFrame, wanted: DataFrame, masks: list[str], states: DataFrame | None = None) -> DataFrame:
-    """`(query, row, lower, seen0, ...)`: all documents of the postings read for some queries, added to what is known.
+def _seen(hits: DataFrame, masks: list[str], states: DataFrame | None = None) -> DataFrame:
+    """`(query, row, lower, seen0, ...)`: the documents of the postings read for queries, added to what is known.
 
     The lists a document was seen in are bits, which add up, as a posting is read once.
     """
     bits = [F.expr(f"IF(no div {BITS} = {i}, 1L << CAST(no % {BITS} AS INT), 0L)").alias(m) for i, m in enumerate(masks)]
-    seen = read.join(wanted, "list").select("query", "row", F.col("impact").alias("lower"), *bits)
+    seen = hits.select("query", "row", F.col("impact").alias("lower"), *bits)
     if states is not None:
         seen = seen.unionByName(states.select(*seen.columns))
     return seen.groupBy("query", "row").agg(*[F.sum(c).alias(c) for c in ("lower", *masks)])
 
 
-def _looked_up(read: DataFrame, lists_of: DataFrame, masks: list[str], states: DataFrame) -> DataFrame:
-    """The same for the documents that are left of queries that no other can enter: what is read meets them by row.
-
-    A document's postings of a round are one map, no larger than the document; a posting is read in one round only.
-    """
-    found = read.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("list", "impact"))).alias("found"))
-    met = states.drop("upper").join(found, "row", "left").join(lists_of, "query")
-    numbers = F.expr("filter(sequence(0, size(lists) - 1), i -> found IS NOT NULL AND map_contains_key(found, lists[i]))")
-    lower = F.expr("lower + aggregate(new, 0L, (sum, i) -> sum + found[lists[i]])")
-    bits = [
-        F.expr(f"{m} + aggregate(new, 0L, (sum, i) -> sum + IF(i div {BITS} = {j}, 1L << CAST(i % {BITS} AS INT), 0L))").alias(m)
-        for j, m in enumerate(masks)
-    ]
-    return met.withColumn("new", numbers).select("query", "row", lower.alias("lower"), *bits)
-
-
 def _results(
     states: DataFrame | None, counted: DataFrame, asked: DataFrame, k: int, doc_id: str, query_id: str, docs: DataFrame, queries: DataFrame
 ) -> DataFrame:
