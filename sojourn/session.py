@@ -80,6 +80,28 @@ def release(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+#: Remove an execution's shuffle files at its end, not when the driver happens to collect garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes in the block leave no shuffle files behind.
+
+    For tables that are written once and read as files from then on: nothing reads the shuffles again. Spark would
+    repeat their stages if something did.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def write_once(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder as Parquet and go on from there.
 
@@ -87,7 +109,8 @@ def write_once(df: DataFrame) -> DataFrame:
     also after an executor was lost. The size of the files then tells Spark what it may broadcast.
     """
     path = scratch_path(df.sparkSession, ".parquet")
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +118,8 @@ def write_once(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """:func:`write_once` for a table that nothing reads after the block; it is removed there."""
     path = scratch_path(df.sparkSession, ".parquet")
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     try:
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
