@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.llm.common import prepare
@@ -34,22 +34,20 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
     return weighted.select("source", "n_docs", rate.alias("rate"))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... of the Poisson distribution, up to where a double can tell it from 1."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(
-        F.array(F.exp(-rate)).alias("steps"), (-rate).alias("log_p"), F.exp(-rate).alias("sum")
-    )
-
-    def step(so_far: Column, k: Column) -> Column:
-        log_p = so_far["log_p"] + F.log(rate / k)
-        total = so_far["sum"] + F.exp(log_p)
-        return F.struct(
-            F.concat(so_far["steps"], F.array(total)).alias("steps"), log_p.alias("log_p"), total.alias("sum")
-        )
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(source, steps): P(X <= k) for k = 0, 1, ... of each source's Poisson distribution.
 
-    steps = F.aggregate(F.sequence(F.lit(1), last), start, step)["steps"]
-    return F.when(rate > 0, steps).otherwise(F.array().cast("array<double>"))
+    The steps go up to where a double can tell them from 1; a source with rate 0 has none. They are running sums over
+    a row per step, so their number costs in proportion, and they are added in the order of k on every machine.
+    """
+    rate, k = F.col("rate"), F.col("k")
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
+    rows = rates.where(rate > 0).select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    so_far = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_p = F.sum(F.when(k == 0, -rate).otherwise(F.log(rate / F.nullif(k, F.lit(0))))).over(so_far)
+    sums = rows.withColumn("log_p", log_p).withColumn("p", F.sum(F.exp("log_p")).over(so_far))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda step: step["p"])
+    return sums.groupBy("source").agg(steps.alias("steps"))
 
 
 def uniform(seed: int, doc_id: str = "doc_id") -> Column:
@@ -65,23 +63,25 @@ def mix_sources(
 
     The draw of a document inverts the distribution with its source's rate at a hash of seed and id, so rows
     of one id are drawn alike and a lost executor repeats the same draws. The copies of a row are spread over
-    the partitions by hash. Other columns are passed on, but for names that begin with `_`. An empty table
-    stays empty.
+    the partitions by a hash of all its columns (but for maps, which Spark doesn't hash), so rows without an id or
+    under one id are spread as well. Other columns are passed on, whatever their names. An empty table stays empty.
     """
     prepare(docs.sparkSession)
     rates = source_rates(docs.select("source"), weights, temperature)
     # written, so that its size is known when Spark chooses between broadcast and shuffle
-    steps = write_once(rates.select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps")))
-    copies = F.size(F.filter("_steps", lambda p: p <= F.col("_draw")))
-    order = F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "_copy")
+    steps = write_once(poisson_steps(rates))
+    hashed = [c for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("source").alias("name"), uniform(seed).alias("draw"),
+        F.xxhash64(F.lit(seed), F.lit("order"), *hashed).alias("content"),
+    )
+    copies = F.size(F.filter("steps", lambda p: p <= F.col("draw")))
+    drawn = rows.join(steps, F.expr("source <=> name")).select("row", "content", copies.alias("copies"))
     return (
-        docs.withColumn("_draw", uniform(seed))
-        .join(steps, F.expr("source <=> _source"))
-        .withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .withColumn("_order", order)
-        .repartition("_order")
-        .sortWithinPartitions("_order")
-        .select(*docs.columns)
+        drawn.where("copies > 0")
+        .select("row", "content", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .select("row", F.xxhash64("content", "copy").alias("order"))
+        .repartition("order")
+        .sortWithinPartitions("order")
+        .select("row.*")
     )

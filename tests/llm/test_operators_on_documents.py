@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -179,15 +180,36 @@ def test_mixture_meets_its_targets(spark, odd_docs, no_docs):
     assert share_of_none == pytest.approx(math.exp(-rate), abs=0.03)
     assert sorted(map(tuple, mixture.mix_sources(docs, weights).collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
     assert mixture.mix_sources(docs, weights.limit(0)).count() == 0 and mixture.mix_sources(no_docs).count() == 0
-    assert set(mixture.mix_sources(odd_docs.drop("_c")).columns) == set(odd_docs.drop("_c").columns)
+    names = ["_draw", "_copy", "_order", "_source", "_steps", "row", "steps", "draw", "content", "copies", "order", "name"]
+    clashing = odd_docs.selectExpr("*", *(f"{i} AS {n}" for i, n in enumerate(names) if n not in odd_docs.columns))
+    got = mixture.mix_sources(clashing)
+    assert got.columns == clashing.columns and got.count() > 0 and got.distinct().exceptAll(clashing.distinct()).count() == 0
+    assert got.select("_draw", "_source", "steps").distinct().collect() == clashing.select("_draw", "_source", "steps").distinct().collect()
+
+
+def test_mixture_spreads_rows_without_an_id(spark):
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "string(id) AS text", "'s' AS source")
+    copies = docs.selectExpr("7L AS doc_id", "text", "source")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for given in (docs, copies):
+        got = mixture.mix_sources(given, temperature=1.0)
+        drawn = [mixture.uniform(mixture.SEED).alias("draw")]
+        assert given.select(*drawn).distinct().count() == (6001 if given is docs else 1)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 0 or max(sizes) < 1.3 * sum(sizes) / len(sizes)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
 def test_poisson_steps_also_for_large_rates(spark):
-    rows = spark.createDataFrame([(0.0,), (0.3,), (5.0,), (2000.0,)], "rate double")
-    for rate, steps in rows.select("rate", mixture.poisson_steps(F.col("rate"))).collect():
-        assert (len(steps) > rate) == (rate > 0) and all(a <= b for a, b in zip(steps, steps[1:]))
-        if rate:
-            assert steps[-1] == pytest.approx(1) and steps[int(rate)] == pytest.approx(0.5, abs=0.25)
+    rates = [("none", 0.0), ("a", 0.3), (None, 5.0), ("b", 2000.0), ("c", 100_000.0)]
+    rows = mixture.poisson_steps(spark.createDataFrame(rates, "source string, rate double")).collect()
+    found = {source: np.array(steps) for source, steps in rows}
+    assert found.keys() == {"a", None, "b", "c"}
+    for source, rate in rates[1:]:
+        steps, k = found[source], np.arange(len(found[source]))
+        log_p = k * math.log(rate) - rate - np.array([math.lgamma(i + 1) for i in k])
+        assert len(steps) > rate and np.allclose(steps, np.exp(log_p).cumsum(), atol=1e-7)
 
 
 def test_fingerprints_tell_equality_and_locate_edits(spark, odd_docs, no_docs):
