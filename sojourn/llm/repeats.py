@@ -136,7 +136,8 @@ def _window_rows(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
 def repeated_paths(docs: DataFrame, window: int) -> DataFrame:
     """(ROW, first, mask): of the path whose first window is `first`, the windows with a bit in `mask` repeat."""
     paths = _path_rows(docs, window)
-    again = paths.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # written, so that the join below has its own shuffle of it and Spark can split a seed of many paths
+    again = write_once(paths.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     paths = write_once(paths.join(again, "seed", "left_semi"))
     compact = paths.groupBy("seed", "content").agg(
         F.count("*").alias("times"), F.min(F.struct(*ROW, "first")).alias("source"), F.first("size").alias("size")
