@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -178,12 +179,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
+    """The pairs (a, b) whose sets are similar enough, written.
 
     The sets of b join where their copies were just made one; those of a, of which there are fewer, come
     from a written table, so that Spark can split the pairs of a head that has many.
     """
-    left = write_once(_sets(docs, pairs.select("a").distinct(), width)).toDF("a", "left")
+    left = _sets(docs, pairs.select("a").distinct(), width)
     right = _sets(docs, pairs.select("b").distinct(), width).toDF("b", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    with stored(left) as sets:
+        both = pairs.join(right, "b").join(sets.toDF("a", "left"), "a").select("a", "b", "left", "right")
+        return write_once(both.mapInArrow(compare, "a long, b long"))
 
 
 def _common(percent: int, x: str, y: str) -> str:
@@ -259,9 +262,48 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
     is linked with nothing; its component is its own id. A null id is like any id, but it is no component's
     smallest unless it is alone. An empty table gives an empty result.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = write_once(signatures(docs, width, percent))
+    with stored(signatures(docs, width, percent)) as signed:
+        root = _roots(docs, signed, width, percent)
+        members = signed.select("doc_id", "n_shingles", "node").join(root, "node", "left")
+        members = write_once(members.withColumn("root", F.coalesce("root", "node")).drop("node"))
+    smallest = write_once(members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
+    return members.join(smallest, "root", "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
+    )
+
+
+def _roots(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) of the nodes that are linked with another one."""
+    with ExitStack() as tables:
+        with ExitStack() as early:
+            with ExitStack() as parts:
+                lists = early.enter_context(stored(_lists(signed, percent, parts)))
+            with ExitStack() as parts:
+                stars = early.enter_context(stored(_stars(lists, percent, parts)))
+            links = _verified(stars, docs, width, percent)
+            part = components(links)
+
+            # round 2: all candidates in different components
+            placed = lists.join(part, "node", "left").select(
+                "token", "node", "n", "asked", "pos", F.coalesce("root", "node").alias("root")
+            )
+            mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+            mixed = early.enter_context(stored(mixed.select("token")))
+            by_place = Window.partitionBy("node").orderBy("pos")  # a document's own prefix
+            open_lists = placed.join(mixed, "token", "left_semi").withColumn("listed", F.row_number().over(by_place))
+            open_lists = tables.enter_context(stored(open_lists))
+        pairs = tables.enter_context(stored(_candidates(open_lists, percent)))
+        return components(links.union(_verified(pairs, docs, width, percent)))
+
+
+def _lists(signed: DataFrame, percent: int, parts: ExitStack) -> DataFrame:
+    """(token, node, n, asked, pos, central): the postings of n-grams that several prefixes hold; reads `parts`.
+
+    A node with fewer shared n-grams than it or any possible partner asks for is in no pair and left out.
+    `central` says how common a node's prefix is.
+    """
     nodes = (
         signed.where("node IS NOT NULL")
         .groupBy("node")
@@ -273,26 +315,31 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
     )
     postings = nodes.select("node", "n", "asked", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("asked").alias("weakest")).where("df > 1")
-    # a node with fewer shared n-grams than it or any possible partner asks for is in no pair
-    with stored(postings.join(shared, "token")) as lists:
-        able = (
-            lists.groupBy("node")
-            .agg(
-                F.count("*").alias("shared"),
-                F.min(F.least("asked", "weakest")).alias("least"),
-                (F.sum("df") / F.expr(f"first(n) - ceil({percent} * first(n) / 100) + first(asked)")).alias("central"),
-            )
-            .where("shared >= least")
+    shared = parts.enter_context(stored(shared))
+    lists = parts.enter_context(stored(postings.join(shared, "token")))
+    able = (
+        lists.groupBy("node")
+        .agg(
+            F.count("*").alias("shared"),
+            F.min(F.least("asked", "weakest")).alias("least"),
+            (F.sum("df") / F.expr(f"first(n) - ceil({percent} * first(n) / 100) + first(asked)")).alias("central"),
         )
-        able = write_once(able.select("node", "central"))
-        lists = write_once(lists.join(able, "node").select("token", "node", "n", "asked", "pos", "central"))
+        .where("shared >= least")
+    )
+    able = parts.enter_context(stored(able.select("node", "central")))
+    return lists.join(able, "node").select("token", "node", "n", "asked", "pos", "central")
 
-    # round 1: each node with the head of a list that it shares the most n-grams with; the head of a list is
-    # the node whose prefix is the most common: a text that copies differ from, rather than a changed copy
+
+def _stars(lists: DataFrame, percent: int, parts: ExitStack) -> DataFrame:
+    """Round 1, (a, b): each node b with the head a of a list, the one that it shares the most n-grams with.
+
+    The head of a list is the node whose prefix is the most common: a text that copies differ from, rather than a
+    changed copy. The heads are read from `parts`.
+    """
     head = F.max_by(F.struct("node", "n", "asked", "pos"), F.struct("central", "node")).alias("x")
-    heads = lists.groupBy("token").agg(head)
+    heads = parts.enter_context(stored(lists.groupBy("token").agg(head)))
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    stars = (
+    return (
         lists.alias("y")
         .join(heads, "token")
         .where(f"x.node <> y.node AND {_close(percent, 'x', 'y')}")
@@ -303,26 +350,3 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
         .where("rank = 1")
         .select("a", "b")
     )
-    links = write_once(_verified(write_once(stars), docs, width, percent))
-    part = components(links)
-
-    # round 2: all candidates in different components
-    placed = lists.join(part, "node", "left").select(
-        "token", "node", "n", "asked", "pos", F.coalesce("root", "node").alias("root")
-    )
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    by_place = Window.partitionBy("node").orderBy("pos")  # a document's own prefix
-    open_lists = write_once(
-        placed.join(mixed.select("token"), "token", "left_semi").withColumn("listed", F.row_number().over(by_place))
-    )
-    pairs = _candidates(open_lists, percent)
-    more = write_once(_verified(write_once(pairs), docs, width, percent))
-    root = components(links.union(more))
-
-    members = signed.select("doc_id", "n_shingles", "node").join(root, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")
-    )
-    smallest = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return members.join(smallest, "root", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
-    )
