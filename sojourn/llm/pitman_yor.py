@@ -24,6 +24,7 @@ Null and empty texts are an end alone. Rows are scored one by one, also under on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 from zlib import crc32
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.llm.common import prepare
-from sojourn.session import write_once
+from sojourn.session import stored, write_once
 
 #: Restaurants of a parent, parents; the ids of restaurants are 16-bit numbers.
 LEAVES, PARENTS = 64, 256
@@ -465,21 +466,24 @@ def language_model_scores(docs: DataFrame, train: Column) -> DataFrame:
     sequences = slices.drop("doc_ids")
     counts = sequences.mapInArrow(_train_counts, "word string, leaves binary, counts binary")
     words = counts.repartition("word").sortWithinPartitions("word")
-    words = write_once(words.mapInArrow(_merge, "word string, leaves binary, counts binary"))
-    n_words = words.count()
     sums = "slot long, customers double, tables double"
-    totals = _totals(words.mapInArrow(_add_up(None, 0), sums), n_words)
-    n_tokens = round(float(np.sum(totals.size[2] - STRENGTH[2])))
-    for turn in range(1, PASSES):
-        totals = _totals(words.mapInArrow(_add_up(totals, turn), sums), n_words)
     learned = "word string, count long, root double, parents binary, parent_own binary, leaves binary, leaf_own binary"
-    model = write_once(words.mapInArrow(_learn(totals, PASSES), learned))
-    own = np.zeros(_SLOTS)
-    rows = model.mapInArrow(_own_sums, "slot long, own double").groupBy("slot").agg(F.sum("own").alias("own")).toArrow()
-    own[rows.column("slot").to_numpy()] = rows.column("own").to_numpy()
-    questions = sequences.mapInArrow(_questions, "word string, slice long, number long, asked binary")
-    met = questions.join(model, "word", "left").drop("word")
-    answers = met.mapInArrow(_answers(Shares(totals, own)), "slice long, numbers binary, low binary, high binary, probabilities binary")
+    answered = "slice long, numbers binary, low binary, high binary, probabilities binary"
+    with ExitStack() as tables:
+        with stored(words.mapInArrow(_merge, "word string, leaves binary, counts binary")) as words:
+            n_words = words.count()
+            totals = _totals(words.mapInArrow(_add_up(None, 0), sums), n_words)
+            n_tokens = round(float(np.sum(totals.size[2] - STRENGTH[2])))
+            for turn in range(1, PASSES):
+                totals = _totals(words.mapInArrow(_add_up(totals, turn), sums), n_words)
+            model = tables.enter_context(stored(words.mapInArrow(_learn(totals, PASSES), learned)))
+        own = np.zeros(_SLOTS)
+        sums = model.mapInArrow(_own_sums, "slot long, own double").groupBy("slot").agg(F.sum("own").alias("own"))
+        rows = sums.toArrow()
+        own[rows.column("slot").to_numpy()] = rows.column("own").to_numpy()
+        questions = sequences.mapInArrow(_questions, "word string, slice long, number long, asked binary")
+        met = questions.join(model, "word", "left").drop("word")
+        answers = write_once(met.mapInArrow(_answers(Shares(totals, own)), answered))
     result = (
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
