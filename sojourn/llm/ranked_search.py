@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.nulls import ascending
 from sojourn.llm.common import prepare
-from sojourn.session import scratch_path, stored, write_once
+from sojourn.session import scratch_path, shuffles_removed, stored, write_once
 
 #: What parts terms: ASCII that is no letter or digit.
 PARTS = bytes(b for b in range(0x80) if not chr(b).isalnum())
@@ -119,7 +119,8 @@ def build_index(counted: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFr
     cells = write_once(cells.select("list", "octave", "top", gain.cast("int").alias("round")))
     path = scratch_path(counted.sparkSession, ".parquet")
     placed = postings.join(cells.select("list", "octave", "round"), ["list", "octave"]).drop("octave")
-    placed.write.partitionBy("round").parquet(path)
+    with shuffles_removed(counted.sparkSession):
+        placed.write.partitionBy("round").parquet(path)
     tops = cells.groupBy("list", "round").agg(F.max("top").alias("top")).join(lists.select("list", "term"), "list")
     return counted.sparkSession.read.schema(placed.schema).parquet(path), write_once(tops)
 
