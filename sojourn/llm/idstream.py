@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sojourn.llm.common import prepare, text_slices
-from sojourn.session import scratch_path, write_once
+from sojourn.session import scratch_path, shuffles_removed, write_once
 
 MAGIC = b"CMRC"
 #: Ids of a block.
@@ -401,17 +401,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         if held:
             yield rows(held, number, first)[0]
 
-    (
+    rows = (
         docs.select("doc_id", "text")
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-        .mapInArrow(
-            write,
-            f"shard int, segment long, first long, doc_ids array<{kind}>, lengths array<long>, blocks array<binary>",
-        )
-        .write.parquet(path)
     )
+    schema = f"shard int, segment long, first long, doc_ids array<{kind}>, lengths array<long>, blocks array<binary>"
+    with shuffles_removed(docs.sparkSession):
+        rows.mapInArrow(write, schema).write.parquet(path)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
