@@ -401,7 +401,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         if held:
             yield rows(held, number, first)[0]
 
-    rows = (
+    ordered = (
         docs.select("doc_id", "text")
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
@@ -409,7 +409,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     )
     schema = f"shard int, segment long, first long, doc_ids array<{kind}>, lengths array<long>, blocks array<binary>"
     with shuffles_removed(docs.sparkSession):
-        rows.mapInArrow(write, schema).write.parquet(path)
+        ordered.mapInArrow(write, schema).write.parquet(path)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
