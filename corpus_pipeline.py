@@ -6,6 +6,8 @@ returns as Parquet in the shared folder and gives the next stage the table as it
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from sojourn.llm.idstream import encoded_documents
 from sojourn.llm.jaccard import similarity_components
 from sojourn.llm.language import UNDETERMINED, identify_language
 from sojourn.llm.mixture import mix_sources
-from sojourn.session import write_once
+from sojourn.session import stored, write_once
 
 #: Near copies share so much of their sets of word 5-grams.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
@@ -88,7 +90,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages; a stage's table goes when its successor's is written."""
+    docs, before = documents(spark, sf_dir), ExitStack()
     for _, stage in STAGES[:-1]:
-        docs = write_once(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with before:
+            before = ExitStack()
+            docs = before.enter_context(stored(stage(spark, docs, sf_dir)))
+    with before:  # the ids are in files of their own by then
+        return STAGES[-1][1](spark, docs, sf_dir)
