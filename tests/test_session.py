@@ -1,10 +1,11 @@
 """Tables written once, and what is left on disk of them."""
 
 import glob
+import os
 
 from pyspark.sql import functions as F
 
-from sojourn.session import SHUFFLE_CLEANUP, release, shared_dir, stored, write_once
+from sojourn.session import SHUFFLE_CLEANUP, release, stored, write_once
 
 
 def _shuffles(spark) -> set[str]:
@@ -12,6 +13,10 @@ def _shuffles(spark) -> set[str]:
     return set(glob.glob(f"{root}/blockmgr-*/*/shuffle_*"))
 
 
+def _there(file: str) -> bool:
+    return os.path.exists(file.removeprefix("file://"))
+
+
 def _counted(spark):
     return spark.range(20_000).groupBy((F.col("id") * 7 % 1009).alias("k")).agg(F.count("*").alias("n"))
 
@@ -21,11 +26,11 @@ def test_written_tables_leave_no_shuffle_files(spark):
     table = write_once(_counted(spark))
     with stored(_counted(spark).orderBy("k")) as again:
         assert again.exceptAll(table).count() == 0
-        read = again.inputFiles()
+        gone, kept = again.inputFiles(), table.inputFiles()
     assert spark.conf.get(SHUFFLE_CLEANUP) == setting
-    assert read and not any(glob.glob(f.removeprefix("file://")) for f in read)
+    assert gone and kept and not any(map(_there, gone)) and all(map(_there, kept))
     release(spark)
-    assert not glob.glob(f"{shared_dir(spark)}/sojourn-*")
+    assert not any(map(_there, kept))
     reading = _shuffles(spark) - before  # of exceptAll and count only
     write_once(_counted(spark))
     assert _shuffles(spark) - before <= reading
