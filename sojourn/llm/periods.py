@@ -248,10 +248,11 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     tiles = tiles.withColumn("part", F.spark_partition_id()).repartition("key", "octave", "place", "part")
     pieces = tiles.drop("part").mapInArrow(_solve, "key binary, period long, begin long, end long")
     runs = F.struct("start", "length", "period")
-    # written, so that both sides of the join below are plain shuffles, which Spark can split
+    # written, so that both sides of the join below are plain shuffles, which Spark can split; merged at every size, as
+    # the runs grow with the documents
     by_key = write_once(stitch(pieces).groupBy("key").agg(F.sort_array(F.collect_list(runs)).cast(RUNS).alias("runs")))
     none = F.array().cast(RUNS)
-    found = docs.join(by_key, "key", "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
+    found = docs.join(by_key.hint("merge"), "key", "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     return found.mapInArrow(_collapse, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs {RUNS}, collapsed string")
 
 
