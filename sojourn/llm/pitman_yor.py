@@ -325,6 +325,12 @@ def _generator(lot: pa.Table, turn: int) -> np.random.Generator:
     return np.random.default_rng([turn, crc32(lot.column("word")[0].as_py().encode()), lot.num_rows])
 
 
+def _single(values: np.ndarray) -> np.ndarray:
+    """The values in single precision, rounded down: no restaurant serves its words more than it has."""
+    near = values.astype(np.float32)
+    return np.where(near > values, np.nextafter(near, np.float32(0)), near)
+
+
 def _learn(totals: Totals, turn: int):
     """What a word is served for by its own customers in each restaurant, on average."""
 
@@ -335,8 +341,8 @@ def _learn(totals: Totals, turn: int):
             arrays = [
                 lot.column("word").combine_chunks(), pa.array(np.add.reduceat(rows.customers, rows.starts[:-1])),
                 pa.array(own[0]), _binaries(rows.parent.astype(np.uint8), rows.parent_starts),
-                _binaries(own[1].astype(np.float32), rows.parent_starts), _binaries(rows.leaf.astype(np.uint16), rows.starts),
-                _binaries(own[2].astype(np.float32), rows.starts),
+                _binaries(_single(own[1]), rows.parent_starts), _binaries(rows.leaf.astype(np.uint16), rows.starts),
+                _binaries(_single(own[2]), rows.starts),
             ]
             yield pa.RecordBatch.from_arrays(arrays, _MODEL)
 
@@ -359,14 +365,20 @@ def _own_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shares:
-    """The size of each restaurant and the share that it leaves to its parent, so that probabilities add up to 1."""
+    """The size of each restaurant and the share that it leaves to its parent, so that probabilities add up to 1.
+
+    The customers of leaves are given; those above are the tables below, which follow from what the last pass serves:
+    customers less the discount of each table. So each restaurant has room for its own words and leaves some.
+    """
 
     def __init__(self, totals: Totals, own: np.ndarray):
         self.base = totals.base
-        self.size = np.concatenate([[totals.size[0]], totals.size[1], totals.size[2]])
-        # sizes come from the pass before; a restaurant is at least as large as what its customers are served
-        self.size = np.maximum(self.size, own)
-        self.rest = 1 - own / self.size
+        levels = own[:1], own[1 : 1 + PARENTS], own[1 + PARENTS :]
+        customers = [np.zeros(0)] * 2 + [totals.size[2] - STRENGTH[2]]
+        customers[1] = ((customers[2] - levels[2]) / DISCOUNT[2]).reshape(PARENTS, LEAVES).sum(axis=1)
+        customers[0] = ((customers[1] - levels[1]) / DISCOUNT[1]).sum(keepdims=True)
+        self.size = np.concatenate([c + s for c, s in zip(customers, STRENGTH)])
+        self.rest = (self.size - own) / self.size
 
     def probabilities(self, lot: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Of each word that is asked for in the restaurants it is asked for, and how many there are of each word."""

@@ -129,6 +129,18 @@ def test_chances_of_all_words_are_one():
     assert chances == pytest.approx(np.ones(6), abs=1e-5)
 
 
+def test_held_out_texts_beside_copies(spark):
+    """Restaurants of copies leave something to words they have not met."""
+    page = " ".join(f"w{i}" for i in range(100))
+    train = ["la la la la"] * 500 + [page] * 500 + [""] * 500
+    held = ["la zo", "zo la", "a", "", f"{page} la", "w7 w3 w90 zo"]
+    docs = spark.createDataFrame(list(enumerate(train + held)), "doc_id long, text string")
+    rows = language_model_scores(docs, F.col("doc_id") < len(train)).where("held_out").collect()
+    assert len(rows) == len(held) and all(math.isfinite(r["score"]) for r in rows)
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    release(spark)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     long = [(100, "La la " * 200_000), (101, " ".join(map(str, range(100_000))))]
     docs = odd_docs.unionByName(spark.createDataFrame(long, "doc_id long, text string"), allowMissingColumns=True)
