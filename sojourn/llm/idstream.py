@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sojourn.llm.common import prepare, text_slices
+from sojourn.llm.common import prepare, text_slices, utf8
 from sojourn.session import scratch_path, shuffles_removed, write_once
 
 MAGIC = b"CMRC"
@@ -41,8 +41,8 @@ BLOCK_IDS = 4096
 SEGMENT_IDS = 16 * BLOCK_IDS
 #: Blocks that are coded side by side.
 LANES = 2048
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 1_000_000
+#: Pieces of texts whose ids a worker remembers; it holds some more than twice as many at most.
+MEMO_PIECES = 200_000
 #: Marks that make one piece of a text with others of their kind.
 _MARKS = ".,;:!?*#$%&()+-/=@[]_{}~"
 _RUN = 7  # longest run that counts, in 3 bits
@@ -53,8 +53,8 @@ _LOW = np.uint64((1 << 32) - 1)
 _TOP = np.uint64(1 << 32)
 
 
-def _varints(values: np.ndarray) -> bytes:
-    """Seven bits a byte, the lowest first; all but a number's last byte have the high bit."""
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven bits a byte, the lowest first; all but a number's last byte have the high bit. And the bytes of each."""
     values = values.astype(np.int64)
     size = np.maximum(1, sum((values >> 7 * i > 0).astype(np.int64) for i in range(5)))
     at = np.cumsum(size) - size
@@ -62,7 +62,15 @@ def _varints(values: np.ndarray) -> bytes:
     for i in range(5):
         long = np.flatnonzero(size > i)
         out[at[long] + i] = values[long] >> 7 * i & 127 | (size[long] > i + 1) << 7
-    return out.tobytes()
+    return out, size
+
+
+def _heads(found: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray) -> list[bytes]:
+    """What stands before the coder's words, of blocks of some sizes with some distinct ids and counts."""
+    parts = [x for n, (ids, counts) in zip(sizes, found) for x in ((n, len(ids)), np.diff(ids, prepend=0), counts)]
+    values, size = _varints(np.concatenate([np.zeros(0, np.int64), *parts]))
+    ends = np.append(0, np.cumsum(size))[np.cumsum([0, *(2 + 2 * len(ids) for ids, _ in found)])].tolist()
+    return [MAGIC + values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 def _read_varints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
@@ -87,17 +95,19 @@ class _Mixture:
 
     def __init__(self, counts: list[np.ndarray], sizes: np.ndarray):
         n = len(sizes)
-        self.sizes = sizes.astype(np.int64)
+        lanes = np.arange(n, dtype=np.int64)
+        self.places = lanes * BLOCK_IDS
+        self.last = self.places + np.maximum(sizes, 1) - 1
         self.mass = (sizes << 2).astype(np.int32)
-        self.base = np.arange(n, dtype=np.int64) * BLOCK_IDS
-        orders = np.arange(2, dtype=np.int64)[:, None]
-        self.slots = self.base + orders * (n * BLOCK_IDS)
-        self.kinds = np.arange(n, dtype=np.int64) * 16 + orders * 8
-        spread = np.zeros((n, BLOCK_IDS), np.int32)
+        width = max([1, *map(len, counts)])
+        self.base = lanes * width
+        self.slots = np.stack([self.base, self.places + n * width])
+        self.kinds = lanes * 16 + np.array([[0], [8]])
+        spread = np.zeros((n, width), np.int32)
         for i, c in enumerate(counts):
             spread[i, : len(c)] = (np.cumsum(c) - c) << 13 | c
         self.spread = spread.ravel()
-        self.table = np.zeros(2 * n * BLOCK_IDS, np.uint16)
+        self.table = np.zeros(n * (width + BLOCK_IDS), np.int16)
         #: Share of predictions that came true, of 2^16, for each lane, order and run; 0 where the run is 0.
         self.share = np.tile(np.repeat(np.array([0, 1 << 15], np.int32), [1, 7]), 2 * n)
         self.before = np.zeros((2, n), np.int64)
@@ -108,7 +118,7 @@ class _Mixture:
         self.slot = self.slots[:, :n].copy()
         self.slot[0] += self.before[0, :n]
         self.slot[1] += self.before[0, :n] * 2053 + self.before[1, :n] * 3 & BLOCK_IDS - 1
-        entry = self.table.take(self.slot).astype(np.int32)
+        entry = self.table.take(self.slot)
         self.run, self.guess = entry & _RUN, entry >> 3
         self.kind = self.kinds[:, :n] + self.run
         self.old = self.share.take(self.kind)
@@ -130,29 +140,27 @@ class _Mixture:
     def find(self, target: np.ndarray, owners: np.ndarray) -> np.ndarray:
         """The symbols at places of the mixture; `owners` holds the symbol of each place of order 0."""
         (x, y), (wx, wy) = self.guess, self.weight
-        swap = x > y
         a, b = np.minimum(x, y), np.maximum(x, y)
-        wa, wb = np.where(swap, wy, wx), np.where(swap, wx, wy)
-        base = self.base[: self.n]
-        spread = self.spread.take(base + a)
-        begin_a = spread >> 13 << 2
-        end_a = begin_a + ((spread & 8191) << 2) + wa + wb * (a == b)
-        past_a = target >= end_a
+        wa = np.where(x > y, wy, wx)
+        wb = wx + wy - wa
+        spread = self.spread.take(self.base[: self.n] + np.stack([a, b]))
+        begin = spread >> 13 << 2
+        end = begin + ((spread & 8191) << 2)
+        end[0] += wa + wb * (a == b)
+        past_a = target >= end[0]
         rest = target - wa * past_a
-        spread = self.spread.take(base + b)
-        begin_b = spread >> 13 << 2
-        past_b = past_a & (rest >= begin_b + ((spread & 8191) << 2) + wb)
+        past_b = past_a & (rest >= end[1] + wb)
         place = rest - wb * past_b >> 2
-        symbol = owners.take(base + np.minimum(place, self.sizes[: self.n] - 1)).astype(np.int32)
-        symbol = np.where(past_a & ~past_b & (rest >= begin_b), b, symbol)
-        return np.where((target >= begin_a) & ~past_a, a, symbol)
+        symbol = owners.take(np.minimum(self.last[: self.n], self.places[: self.n] + place))
+        np.copyto(symbol, b, where=(rest >= begin[1]) & (past_a > past_b))
+        np.copyto(symbol, a, where=(target >= begin[0]) > past_a)
+        return symbol
 
     def learn(self, symbol: np.ndarray) -> None:
         """To be called after `check`."""
-        known = self.run > 0
-        hit = (self.hit & known).astype(np.int32)
-        self.share[self.kind] = self.old + ((hit * 65535 - self.old) >> 5) * known
-        self.table[self.slot] = symbol << 3 | np.minimum(self.run * hit + 1, _RUN)
+        hit = self.hit & (self.run > 0)  # the share stays 0 where the run is 0
+        self.share[self.kind] = self.old + (hit * np.int32(65535) - self.old >> 5)
+        self.table[self.slot] = symbol << 3 | np.minimum(self.run * hit + np.int16(1), _RUN)
         self.before[1, : self.n] = self.before[0, : self.n]
         self.before[0, : self.n] = symbol
 
@@ -164,38 +172,62 @@ def _longest_first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(steps), side="left")
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ascending distinct ids of a block, each id's number among them, and how often each occurs."""
+    if not len(ids) or ids.max() >= 1 << 17:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    found = np.flatnonzero(counts > 0)
+    number = np.empty(len(counts), np.int16)
+    number[found] = np.arange(len(found))
+    return found, number.take(ids), counts[found]
+
+
+def _turn(rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Lanes by steps to steps by lanes, or back, a few at a time as the memory is read and written in lines."""
+    for i in range(0, len(rows), 64):
+        out[:, i : i + 64] = rows[i : i + 64].T
+    return out
+
+
+def _groups(n: int) -> list[tuple[int, int]]:
+    """Blocks that are coded together, about LANES each, and no few at the end."""
+    edges = np.linspace(0, n, max(1, round(n / LANES)) + 1).astype(int).tolist()
+    return list(zip(edges, edges[1:])) if n else []
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of at most BLOCK_IDS ids as bytes."""
     out: list[bytes] = []
-    for i in range(0, len(blocks), LANES):
-        out += _encode(blocks[i : i + LANES])
+    for i, j in _groups(len(blocks)):
+        out += _encode(blocks[i:j])
     return out
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     order, active = _longest_first(np.array([len(b) for b in blocks]))
     sizes = np.array([len(blocks[i]) for i in order])
-    found = [np.unique(blocks[i], return_inverse=True, return_counts=True) for i in order]
-    symbols = np.zeros((len(active), len(order)), np.int16)
-    for lane, (_, inverse, _) in enumerate(found):
-        symbols[: len(inverse), lane] = inverse
-    model = _Mixture([f[2] for f in found], sizes)
+    rows, found = np.zeros((len(order), len(active)), np.int16), []
+    for lane, i in enumerate(order.tolist()):
+        ids, rows[lane, : len(blocks[i])], counts = _distinct(blocks[i])
+        found.append((ids, counts))
+    symbols = _turn(rows, np.empty(rows.shape[::-1], np.int16))
+    model = _Mixture([counts for _, counts in found], sizes)
     low = np.zeros(len(order), np.uint64)
     size = np.full(len(order), (1 << 64) - 1, np.uint64)
     words = np.zeros((len(order), len(active) * 11 // 16 + 8), np.uint32)  # an id takes less than 22 bits
     filled = np.zeros(len(order), np.int64)
 
     def carry(lanes: np.ndarray) -> None:
-        for lane in lanes.tolist():
-            at = filled[lane] - 1
-            while words[lane, at] == _LOW:
-                words[lane, at] = 0
-                at -= 1
-            words[lane, at] += 1
+        at = filled[lanes] - 1
+        while len(lanes):
+            words[lanes, at] += 1
+            on = words[lanes, at] == 0
+            lanes, at = lanes[on], at[on] - 1
 
     for i, n in enumerate(active.tolist()):
         model.predict(n)
-        symbol = symbols[i, :n].astype(np.int32)
+        symbol = symbols[i, :n]
         model.check(symbol)
         spread = model.spread.take(model.base[:n] + symbol)
         unit = size[:n] // model.total.astype(np.uint64)
@@ -216,20 +248,18 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     words[np.arange(len(order)), filled] = last >> _WORD
     filled += 1
     out: list[bytes] = [b""] * len(blocks)
-    for lane, i in enumerate(order.tolist()):
-        ids, _, counts = found[lane]
-        head = _varints(np.array([len(blocks[i]), len(ids)])) + _varints(np.diff(ids, prepend=0)) + _varints(counts)
+    for lane, (i, head) in enumerate(zip(order.tolist(), _heads(found, sizes))):
         code = words[lane, : filled[lane]].astype("<u4").tobytes()
         check = zlib.crc32(blocks[i].astype("<u4").tobytes()).to_bytes(4, "little")
-        out[i] = MAGIC + head + code + check
+        out[i] = head + code + check
     return out
 
 
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is no block or fails its checksum raises ValueError."""
     out: list[np.ndarray] = []
-    for i in range(0, len(coded), LANES):
-        out += _decode(coded[i : i + LANES])
+    for i, j in _groups(len(coded)):
+        out += _decode(coded[i:j])
     return out
 
 
@@ -272,22 +302,30 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
         code[:n], size[:n] = rest, left
         symbols[i, :n] = symbol
         model.learn(symbol)
+    rows = _turn(symbols, np.empty(symbols.shape[::-1], np.int16))
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for lane, i in enumerate(order.tolist()):
         n, ids, _, _ = heads[lane]
-        out[i] = ids[symbols[:n, lane]].astype(np.uint32) if n else np.zeros(0, np.uint32)
+        out[i] = ids[rows[lane, :n]].astype(np.uint32) if n else np.zeros(0, np.uint32)
         if zlib.crc32(out[i].astype("<u4").tobytes()) != int.from_bytes(coded[i][-4:], "little"):
             raise ValueError("a block fails its checksum")
     return out
 
 
+#: The pre-tokenizer that keeps runs of letters and runs of marks apart, by its pattern.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 @cache
 def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray | None]:
-    """The tokenizer, and which ids end a piece of a text, where its vocabulary tells."""
+    """The tokenizer, and which ids end a piece of a text, where its pieces are runs of letters or marks in lower case."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
-    if not suffix:
+    parts = json.loads(tokenizer.to_str())
+    suffix = parts["model"].get("end_of_word_suffix")
+    changes = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+    splits = [x.get("pattern") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if not suffix or changes != ["NFC", "Replace", "Lowercase"] or splits != [{"Regex": _PIECES}, None]:
         return tokenizer, None
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -295,43 +333,118 @@ def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray | None]:
     return tokenizer, ends
 
 
+class _Lately(dict):
+    """Ids of pieces, as bytes; once there are many, those not asked for since the last time go."""
+
+    def __init__(self, limit: int):
+        self.limit, self.before = limit, {}
+
+    def __missing__(self, piece: bytes) -> bytes | None:
+        if (code := self.before.get(piece)) is not None:
+            self[piece] = code
+        return code
+
+    def renew(self) -> None:
+        """To be called between batches."""
+        if len(self) > self.limit:
+            self.before = dict(self)
+            self.clear()
+
+
 @cache
-def _memo(path: str) -> dict[bytes, bytes]:
-    return {}
+def _memo(path: str) -> _Lately:
+    return _Lately(MEMO_PIECES)
+
+
+#: Classes of bytes: white space, letters, digits, marks, the rest of ASCII, bytes beyond ASCII.
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER, _HIGH = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[list(_MARKS.encode())] = _MARK
+_CLASS[0x80:] = _HIGH
+
+
+def _split(data: np.ndarray, offsets: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of texts begin, and the texts' bytes as the pieces have them. White space is a piece, too.
+
+    If `apart`, words of ASCII letters, digits and marks are split into runs of letters in lower case, runs of marks,
+    and single digits; other words are whole.
+    """
+    kind = _CLASS[data]
+    begin = np.empty(len(data), bool)
+    space = kind == _SPACE
+    begin[0], begin[1:] = True, space[1:] != space[:-1]
+    cuts = offsets[:-1][offsets[:-1] < len(data)]
+    begin[cuts] = True
+    if not apart:
+        return np.flatnonzero(begin), data
+    upper = (data >= 0x41) & (data <= 0x5A)
+    inner = kind == _DIGIT
+    inner[1:] |= kind[1:] != kind[:-1]
+    whole = kind >= _OTHER
+    if whole.any():
+        word = np.cumsum(begin)
+        some = np.zeros(word[-1] + 1, bool)
+        some[word[whole]] = True
+        split = ~some[word]
+        inner &= split
+        upper &= split
+    return np.flatnonzero(begin | inner), data + (upper * np.uint8(0x20))
 
 
 def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit words, without special tokens at its ends.
 
     For tokenizers that never join characters across ASCII white space, and drop it: a text's ids are then
-    those of its words, and each distinct word is encoded once.
+    those of its pieces, and each distinct piece is encoded once.
     """
+    data, offsets = utf8(texts)
+    if not len(data):
+        return [b""] * len(texts)
+    starts, data = _split(data, offsets, _tokenizer(path)[1] is not None)
+    buffers = [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    bounds, values = (b.to_pybytes() for b in pieces.dictionary.buffers()[1:])
+    bounds = np.frombuffer(bounds, np.int64)[: len(pieces.dictionary) + 1].tolist()
+    codes = _codes([values[a:b] for a, b in zip(bounds, bounds[1:])], path)
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    first = np.cumsum(sizes) - sizes
+    at = pieces.indices.to_numpy()
+    n = sizes[at]
+    ends = np.append(0, np.cumsum(n))
+    ids = np.frombuffer(b"".join(codes), "<u4")[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+    edges = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+    return [ids[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _codes(pieces: list[bytes], path: str) -> list[bytes]:
     memo = _memo(path)
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    split = [t.split() for t in texts.cast(pa.binary()).to_pylist()]
-    new: set[bytes] = set()
-    for words in split:
-        known = list(map(memo.get, words))
-        if None in known:
-            new.update(w for w, ids in zip(words, known) if ids is None)
-    _learn_words(memo, list(new), path)
-    return [b"".join(map(memo.__getitem__, words)) for words in split]
-
-
-def _learn_words(memo: dict[bytes, bytes], words: list[bytes], path: str) -> None:
-    """Encode distinct words: those of letters many at a time, told apart by the ids that end a piece of a text."""
+    memo.renew()
+    codes = list(map(memo.__getitem__, pieces))
+    new = [piece for piece, code in zip(pieces, codes) if code is None]
+    if new:
+        _learn_pieces(memo, new, path)
+        codes = [memo[piece] if code is None else code for piece, code in zip(pieces, codes)]
+    return codes
+
+
+def _learn_pieces(memo: _Lately, pieces: list[bytes], path: str) -> None:
+    """Encode distinct pieces: those of letters or marks many at a time, told apart by the ids that end a run of them."""
     tokenizer, ends = _tokenizer(path)
-    plain, pieces, single = [], [], []
-    for word in words:
-        text = word.decode()
+    plain, runs, single = [], [], []
+    for piece in pieces:
+        text = piece.decode()
         core = text.strip(_MARKS)
-        if ends is not None and core.isalpha() and core.lower().isalpha():
-            plain.append(word)
-            pieces.append(1 + (text[0] in _MARKS) + (text[-1] in _MARKS))
+        if piece.isspace():
+            memo[piece] = b""
+        elif ends is not None and (not core or core.isalpha() and core.lower().isalpha()):
+            plain.append(piece)
+            runs.append(1 + (text[0] in _MARKS) + (text[-1] in _MARKS) if core else 1)
         else:
-            single.append(word)
-    chunks = [(plain[i : i + 256], np.cumsum(pieces[i : i + 256])) for i in range(0, len(plain), 256)]
+            single.append(piece)
+    chunks = [(plain[i : i + 256], np.cumsum(runs[i : i + 256])) for i in range(0, len(plain), 256)]
     coded = tokenizer.encode_batch_fast([b" ".join(some).decode() for some, _ in chunks], add_special_tokens=False)
     for (some, expected), code in zip(chunks, coded):
         ids = np.array(code.ids, "<u4")
@@ -341,9 +454,9 @@ def _learn_words(memo: dict[bytes, bytes], words: list[bytes], path: str) -> Non
             continue
         stops = (4 * (last[expected - 1] + 1)).tolist()
         data = ids.tobytes()
-        memo.update((w, data[a:b]) for w, a, b in zip(some, [0, *stops], stops))
-    coded = tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False)
-    memo.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(single, coded))
+        memo.update((x, data[a:b]) for x, a, b in zip(some, [0, *stops], stops))
+    coded = tokenizer.encode_batch_fast([piece.decode() for piece in single], add_special_tokens=False)
+    memo.update((x, np.array(c.ids, "<u4").tobytes()) for x, c in zip(single, coded))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:

@@ -3,10 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import brute
 from sojourn.llm import common, decontaminate, idstream, language, licenses, pseudonyms, quality, repeats
@@ -59,6 +61,23 @@ def test_blocks_use_what_repeats_and_find_damage():
             idstream.decode_blocks([bytes(damaged)])
 
 
+def test_pieces_of_words_are_encoded_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Foo, foo. (FOO) a12 12a", "", " \t ", "***foo İstanbul ÉCOLE. don't <|endoftext|> <|ENDOFTEXT|>", "x—y ΟΔΟΣ. ́a ﬁ #!$ b\x1cc"]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(idstream, "MEMO_PIECES", 4)
+    idstream._memo.cache_clear()
+    assert idstream.encode_texts(pa.array(texts[:1]), path) == wanted[:1]
+    memo = idstream._memo(path)
+    assert b"foo" in memo and b"Foo," not in memo and len(memo) < 12
+    for _ in range(3):
+        assert idstream.encode_texts(pa.array(texts), path) == wanted
+        assert [idstream.encode_texts(pa.array([t]), path)[0] for t in texts] == wanted
+    assert len(memo) + len(memo.before) < 60
+    idstream._memo.cache_clear()
+
+
 def test_long_and_uniform_blocks():
     blocks = [np.full(4096, 49407, np.uint32), np.arange(4096, dtype=np.uint32), np.zeros(1, np.uint32)]
     assert [b.tolist() for b in idstream.decode_blocks(idstream.encode_blocks(blocks))] == [b.tolist() for b in blocks]
