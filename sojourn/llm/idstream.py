@@ -42,7 +42,7 @@ SEGMENT_IDS = 16 * BLOCK_IDS
 #: Blocks that are coded side by side.
 LANES = 2048
 #: Pieces of texts whose ids a worker remembers; it holds some more than twice as many at most.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 150_000
 #: Marks that make one piece of a text with others of their kind.
 _MARKS = ".,;:!?*#$%&()+-/=@[]_{}~"
 _RUN = 7  # longest run that counts, in 3 bits
@@ -67,10 +67,14 @@ def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _heads(found: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray) -> list[bytes]:
     """What stands before the coder's words, of blocks of some sizes with some distinct ids and counts."""
-    parts = [x for n, (ids, counts) in zip(sizes, found) for x in ((n, len(ids)), np.diff(ids, prepend=0), counts)]
-    values, size = _varints(np.concatenate([np.zeros(0, np.int64), *parts]))
-    ends = np.append(0, np.cumsum(size))[np.cumsum([0, *(2 + 2 * len(ids) for ids, _ in found)])].tolist()
-    return [MAGIC + values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+    out = []
+    for i in range(0, len(found), 64):
+        some = found[i : i + 64]
+        parts = [x for n, (ids, counts) in zip(sizes[i:], some) for x in ((n, len(ids)), np.diff(ids, prepend=0), counts)]
+        values, size = _varints(np.concatenate(parts))
+        ends = np.append(0, np.cumsum(size))[np.cumsum([0, *(2 + 2 * len(ids) for ids, _ in some)])].tolist()
+        out += [MAGIC + values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+    return out
 
 
 def _read_varints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
@@ -212,6 +216,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         ids, rows[lane, : len(blocks[i])], counts = _distinct(blocks[i])
         found.append((ids, counts))
     symbols = _turn(rows, np.empty(rows.shape[::-1], np.int16))
+    del rows
     model = _Mixture([counts for _, counts in found], sizes)
     low = np.zeros(len(order), np.uint64)
     size = np.full(len(order), (1 << 64) - 1, np.uint64)
@@ -247,6 +252,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     carry(np.flatnonzero(last < low))
     words[np.arange(len(order)), filled] = last >> _WORD
     filled += 1
+    del symbols, model
     out: list[bytes] = [b""] * len(blocks)
     for lane, (i, head) in enumerate(zip(order.tolist(), _heads(found, sizes))):
         code = words[lane, : filled[lane]].astype("<u4").tobytes()
@@ -303,6 +309,7 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
         symbols[i, :n] = symbol
         model.learn(symbol)
     rows = _turn(symbols, np.empty(symbols.shape[::-1], np.int16))
+    del symbols, words, owners, model
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for lane, i in enumerate(order.tolist()):
         n, ids, _, _ = heads[lane]
@@ -470,7 +477,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     end = np.array([end_id], "<u4").tobytes()
     names = ["shard", "segment", "first", "doc_ids", "lengths", "blocks"]
 
-    def segments(shards: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
+    def segments(shards: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Scalar], list[int], np.ndarray]]:
+        def segment():
+            return shard, ids, [len(c) // 4 for c in coded], np.frombuffer(b"".join(coded), "<u4")
+
         ids, coded, size = [], [], 0
         for part, texts in text_slices(shards):
             shard = part.column("shard")[0].as_py()
@@ -479,23 +489,23 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 coded.append(code + end)
                 size += len(coded[-1]) // 4
                 if size >= SEGMENT_IDS:
-                    yield shard, ids, coded
+                    yield segment()
                     ids, coded, size = [], [], 0
         if ids:
-            yield shard, ids, coded
+            yield segment()
 
     def rows(found: list[tuple], number: int, first: int) -> tuple[pa.RecordBatch, int]:
-        streams = [np.frombuffer(b"".join(coded), "<u4") for _, _, coded in found]
+        streams = [stream for *_, stream in found]
         cuts = [[s[a : a + BLOCK_IDS] for a in range(0, len(s), BLOCK_IDS)] for s in streams]
         coded = iter(encode_blocks([b for blocks in cuts for b in blocks]))
         firsts = (first + np.cumsum([0, *map(len, streams)])).tolist()
         batch = pa.RecordBatch.from_arrays(
             [
-                pa.array([shard for shard, _, _ in found], pa.int32()),
+                pa.array([shard for shard, *_ in found], pa.int32()),
                 pa.array(range(number, number + len(found)), pa.int64()),
                 pa.array(firsts[:-1], pa.int64()),
-                pa.array([[i.as_py() for i in ids] for _, ids, _ in found], pa.list_(found[0][1][0].type)),
-                pa.array([[len(c) // 4 for c in codes] for _, _, codes in found], pa.list_(pa.int64())),
+                pa.array([[i.as_py() for i in ids] for _, ids, *_ in found], pa.list_(found[0][1][0].type)),
+                pa.array([lengths for _, _, lengths, _ in found], pa.list_(pa.int64())),
                 pa.array([[next(coded) for _ in blocks] for blocks in cuts], pa.list_(pa.binary())),
             ],
             names=names,
@@ -506,7 +516,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         held, number, first, blocks = [], 0, 0, 0
         for found in segments(batches):
             held.append(found)
-            blocks += -(-sum(map(len, found[2])) // (4 * BLOCK_IDS))
+            blocks += -(-len(found[3]) // BLOCK_IDS)
             if blocks >= LANES:
                 batch, first = rows(held, number, first)
                 number, held, blocks = number + len(held), [], 0

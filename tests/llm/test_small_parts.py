@@ -1,6 +1,7 @@
 """Words, hashes, the coder and the permutations, without Spark."""
 
 import datetime as dt
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -61,6 +62,18 @@ def test_blocks_use_what_repeats_and_find_damage():
             idstream.decode_blocks([bytes(damaged)])
 
 
+def test_blocks_take_little_memory():
+    rng = np.random.default_rng(5)
+    blocks = [rng.integers(0, 600, 4096).astype(np.uint32) for _ in range(256)]
+    coded = idstream.encode_blocks(blocks)
+    for step, given in ((idstream.encode_blocks, blocks), (idstream.decode_blocks, coded)):
+        tracemalloc.start()
+        step(given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 18 * 256 * 4096
+
+
 def test_pieces_of_words_are_encoded_once(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
