@@ -512,6 +512,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
         )
         return batch, firsts[-1]
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A few rows at a time go to the JVM."""
+        return (batch.slice(i, 16) for i in range(0, batch.num_rows, 16))
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number, first, blocks = [], 0, 0, 0
         for found in segments(batches):
@@ -520,9 +524,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             if blocks >= LANES:
                 batch, first = rows(held, number, first)
                 number, held, blocks = number + len(held), [], 0
-                yield batch
+                yield from parts(batch)
         if held:
-            yield rows(held, number, first)[0]
+            yield from parts(rows(held, number, first)[0])
 
     ordered = (
         docs.select("doc_id", "text")
@@ -545,31 +549,30 @@ def read_ids(files: DataFrame) -> DataFrame:
     begins = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _memo.cache_clear()  # a worker that reads needs no tokenizer any more
+        _tokenizer.cache_clear()
         for whole in batches:
             for at in range(0, whole.num_rows, LANES // 16):
-                yield _read(whole.slice(at, LANES // 16))
+                yield from _read(whole.slice(at, LANES // 16))
 
     return files.join(F.broadcast(begins), "shard").select("begin", "first", "doc_ids", "lengths", "blocks").mapInArrow(
         read, f"doc_id {kind}, start long, ids binary"
     )
 
 
-def _read(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The documents of each segment; its blocks go when it is done."""
     coded = batch.column("blocks").to_pylist()
-    decoded = iter(decode_blocks([b for blocks in coded for b in blocks]))
-    starts, found = [], []
-    for row, blocks in enumerate(coded):
-        ids = np.concatenate([next(decoded) for _ in blocks]).astype("<u4").tobytes()
+    sizes = [len(blocks) for blocks in coded]
+    decoded = decode_blocks([b for blocks in coded for b in blocks])[::-1]
+    del coded
+    for row, n_blocks in enumerate(sizes):
+        ids = np.concatenate([decoded.pop() for _ in range(n_blocks)]).astype("<u4").tobytes()
         start = batch.column("begin")[row].as_py() + batch.column("first")[row].as_py()
-        at = 0
-        for n in batch.column("lengths")[row].as_py():
-            starts.append(start + at)
-            found.append(ids[4 * at : 4 * (at + n)])
-            at += n
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_ids").flatten(), pa.array(starts, pa.int64()), pa.array(found, pa.binary())],
-        names=["doc_id", "start", "ids"],
-    )
+        ends = np.cumsum([0, *batch.column("lengths")[row].as_py()]).tolist()
+        starts = pa.array([start + end for end in ends[:-1]], pa.int64())
+        found = pa.array([ids[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[row].values, starts, found], names=["doc_id", "start", "ids"])
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
