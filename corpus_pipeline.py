@@ -23,6 +23,8 @@ from sojourn.session import stored, write_once
 #: Near copies share so much of their sets of word 5-grams.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: Bits of the table that tells which rows may be among some, as a power of two: 1 MB, whatever the input.
+LISTED_BITS = 23
 
 
 def _row() -> tuple[Column, Column]:
@@ -30,6 +32,15 @@ def _row() -> tuple[Column, Column]:
     return F.xxhash64("doc_id", "text").alias("_row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_check")
 
 
+def _listed(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """`named` with `_listed`: whether a row may be among `rows`, by a table of bits; only such texts need a join."""
+    bit = f"_row & {(1 << LISTED_BITS) - 1}"
+    word, mask = f"shiftright({bit}, 6) AS _word", "shiftleft(1L, CAST(_row & 63 AS INT))"
+    bits = rows.selectExpr(word, f"{mask} AS _mask").groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    found = named.selectExpr("*", word).join(F.broadcast(bits), "_word", "left")
+    return found.withColumn("_listed", F.expr(f"coalesce(_bits & {mask}, 0L) <> 0")).drop("_word", "_bits")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels know, or in any if there are no labels; those without a letter go.
 
@@ -50,12 +61,14 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = groups.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
     rows = rows.select("doc_id._row", "doc_id._check", F.expr("component_id <> doc_id").alias("gone"), "n")
     rows = write_once(rows.where("gone OR n > 1"))
-    named = docs.select("*", *_row())
-    kept = named.join(rows, ["_row", "_check"], "left_anti").select(*docs.columns)
+    named = _listed(docs.select("*", *_row()), rows)
+    some = named.where("_listed")
+    kept = named.where("NOT _listed").select(*docs.columns)
+    kept = kept.union(some.join(rows, ["_row", "_check"], "left_anti").select(*docs.columns))
     repeated = rows.where("NOT gone")
     if repeated.isEmpty():
         return kept
-    repeated = named.join(repeated, ["_row", "_check"], "left_semi").groupBy("_row", "_check")
+    repeated = some.join(repeated, ["_row", "_check"], "left_semi").groupBy("_row", "_check")
     return kept.union(repeated.agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*"))
 
 

@@ -264,9 +264,12 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    with stored(signatures(docs, width, percent)) as signed:
-        root = _roots(docs, signed, width, percent)
-        members = signed.select("doc_id", "n_shingles", "node").join(root, "node", "left")
+    with ExitStack() as tables:
+        parts = tables.enter_context(ExitStack())
+        with stored(signatures(docs, width, percent)) as signed:
+            members = tables.enter_context(stored(signed.select("doc_id", "n_shingles", "node")))
+            nodes = parts.enter_context(stored(_nodes(signed)))
+        members = members.join(_roots(docs, nodes, parts, width, percent), "node", "left")
         members = write_once(members.withColumn("root", F.coalesce("root", "node")).drop("node"))
     smallest = write_once(members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     return members.join(smallest, "root", "left").select(
@@ -274,12 +277,12 @@ def similarity_components(docs: DataFrame, width: int, percent: int) -> DataFram
     )
 
 
-def _roots(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) of the nodes that are linked with another one."""
+def _roots(docs: DataFrame, nodes: DataFrame, read: ExitStack, width: int, percent: int) -> DataFrame:
+    """(node, root) of the nodes that are linked with another one; `read` holds their table, which goes when it was read."""
     with ExitStack() as tables:
         with ExitStack() as early:
-            with ExitStack() as parts:
-                lists = early.enter_context(stored(_lists(signed, percent, parts)))
+            with read as parts:
+                lists = early.enter_context(stored(_lists(nodes, percent, parts)))
             with ExitStack() as parts:
                 stars = early.enter_context(stored(_stars(lists, percent, parts)))
             links = _verified(stars, docs, width, percent)
@@ -298,13 +301,9 @@ def _roots(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
         return components(links.union(_verified(pairs, docs, width, percent)))
 
 
-def _lists(signed: DataFrame, percent: int, parts: ExitStack) -> DataFrame:
-    """(token, node, n, asked, pos, central): the postings of n-grams that several prefixes hold; reads `parts`.
-
-    A node with fewer shared n-grams than it or any possible partner asks for is in no pair and left out.
-    `central` says how common a node's prefix is.
-    """
-    nodes = (
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(node, n, asked, prefix): each set once."""
+    return (
         signed.where("node IS NOT NULL")
         .groupBy("node")
         .agg(
@@ -313,6 +312,14 @@ def _lists(signed: DataFrame, percent: int, parts: ExitStack) -> DataFrame:
             F.first("prefix").alias("prefix"),
         )
     )
+
+
+def _lists(nodes: DataFrame, percent: int, parts: ExitStack) -> DataFrame:
+    """(token, node, n, asked, pos, central): the postings of n-grams that several prefixes hold; reads `parts`.
+
+    A node with fewer shared n-grams than it or any possible partner asks for is in no pair and left out.
+    `central` says how common a node's prefix is.
+    """
     postings = nodes.select("node", "n", "asked", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("asked").alias("weakest")).where("df > 1")
     shared = parts.enter_context(stored(shared))

@@ -1,8 +1,11 @@
 """Stages of the pipeline on rows without labels, with repeated ids and without ids."""
 
+import os
 import random
 
 import corpus_pipeline
+from sojourn.llm import jaccard
+from sojourn.session import release, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +38,29 @@ def test_contaminated_rows_go_whatever_their_id(spark, sf_dir):
     rows = [(1, "a clean text"), (1, f"it begins {item} and ends"), (None, item), (None, "clean as well"), (2, "clean"), (2, "clean")]
     kept = corpus_pipeline.without_benchmark(spark, _frame(spark, rows), sf_dir)
     assert _rows(kept) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_few_texts_are_shuffled_to_look_rows_up(spark):
+    rows = [(i, f"text {i}") for i in range(2000)] + [(None, "no id"), (7, None)]
+    named = _frame(spark, rows).select("*", *corpus_pipeline._row())
+    wanted = named.where("doc_id < 20 OR doc_id IS NULL OR text IS NULL").select("_row", "_check")
+    found = {(r["doc_id"], r["text"]): r["_listed"] for r in corpus_pipeline._listed(named, wanted).collect()}
+    assert len(found) == len(rows) and sum(found.values()) <= 22 + 20
+    assert all(found[i, t] for i, t in rows if i is None or i < 20 or t is None)
+    assert not any(r["_listed"] for r in corpus_pipeline._listed(named, wanted.limit(0)).collect())
+
+
+def test_prefixes_are_stored_once_for_each_set(spark, monkeypatch):
+    kept = []
+
+    def lists(nodes, percent, parts, before=jaccard._lists):
+        tables = [p for p in os.listdir(shared_dir(spark).removeprefix("file://")) if p.startswith("sojourn-")]
+        frames = [spark.read.parquet(f"{shared_dir(spark)}/{p}") for p in tables]
+        kept.extend(df.count() for df in frames if "prefix" in df.columns)
+        return before(nodes, percent, parts)
+
+    monkeypatch.setattr(jaccard, "_lists", lists)
+    docs = spark.createDataFrame([(i, f"some words {min(i, 3)} that are the same") for i in range(40)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_components(docs, 3, 90).collect()}
+    assert kept == [4] and rows == {i: min(i, 3) for i in range(40)}
+    release(spark)
