@@ -24,12 +24,15 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from sojourn.llm.common import prepare, text_slices, utf8
 from sojourn.session import scratch_path, shuffles_removed, write_once
@@ -42,7 +45,9 @@ SEGMENT_IDS = 16 * BLOCK_IDS
 #: Blocks that are coded side by side.
 LANES = 2048
 #: Pieces of texts whose ids a worker remembers; it holds some more than twice as many at most.
-MEMO_PIECES = 150_000
+MEMO_PIECES = 300_000
+#: Bytes of text that are split into pieces at once, so that few pieces are looked up again and again.
+TEXT_BYTES = 4 << 20
 #: Marks that make one piece of a text with others of their kind.
 _MARKS = ".,;:!?*#$%&()+-/=@[]_{}~"
 _RUN = 7  # longest run that counts, in 3 bits
@@ -324,38 +329,66 @@ _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @cache
-def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray | None]:
-    """The tokenizer, and which ids end a piece of a text, where its pieces are runs of letters or marks in lower case."""
+def _tokenizer(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray | None]:
+    """The tokenizer, its bare model for words between spaces, and which ids end a piece of a text.
+
+    The last is None unless its pieces are runs of letters or marks in lower case.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = WhitespaceSplit()
     parts = json.loads(tokenizer.to_str())
     suffix = parts["model"].get("end_of_word_suffix")
     changes = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
     splits = [x.get("pattern") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
     if not suffix or changes != ["NFC", "Replace", "Lowercase"] or splits != [{"Regex": _PIECES}, None]:
-        return tokenizer, None
+        return tokenizer, bare, None
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-    return tokenizer, ends
+    return tokenizer, bare, ends
 
 
-class _Lately(dict):
-    """Ids of pieces, as bytes; once there are many, those not asked for since the last time go."""
+class _Lately:
+    """Ids of pieces, in arrays; once there are many, those not asked for since the last time go."""
 
     def __init__(self, limit: int):
-        self.limit, self.before = limit, {}
+        self.limit = limit
+        self.pieces = pa.array([], pa.large_binary())
+        self.ids = np.zeros(0, "<u4")
+        self.sizes = np.zeros(0, np.int64)
+        #: Whether a piece was there the last time and was not asked for since.
+        self.before = np.zeros(0, bool)
+
+    def __len__(self) -> int:
+        return len(self.pieces)
 
-    def __missing__(self, piece: bytes) -> bytes | None:
-        if (code := self.before.get(piece)) is not None:
-            self[piece] = code
-        return code
+    def __contains__(self, piece: bytes) -> bool:
+        return pc.index(self.pieces, pa.scalar(piece, pa.large_binary())).as_py() >= 0
 
     def renew(self) -> None:
         """To be called between batches."""
-        if len(self) > self.limit:
-            self.before = dict(self)
-            self.clear()
+        keep = ~self.before
+        if np.count_nonzero(keep) > self.limit:
+            self.pieces = self.pieces.filter(pa.array(keep))
+            self.ids = self.ids[np.repeat(keep, self.sizes)]
+            self.sizes = self.sizes[keep]
+            self.before = np.ones(len(self.pieces), bool)
+
+    def numbers(self, pieces: pa.Array, path: str) -> np.ndarray:
+        """Where distinct pieces are in the memo; new ones are encoded."""
+        found = pc.index_in(pieces, value_set=self.pieces)
+        numbers = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if found.null_count:
+            fresh = found.is_null()
+            numbers[fresh.to_numpy(zero_copy_only=False)] = len(self) + np.arange(found.null_count)
+            ids, sizes = _encoded(pieces.filter(fresh), path)
+            self.pieces = pa.concat_arrays([self.pieces, pieces.filter(fresh)])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.before = np.append(self.before, np.zeros(len(sizes), bool))
+        self.before[numbers] = False
+        return numbers
 
 
 @cache
@@ -410,36 +443,57 @@ def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
     data, offsets = utf8(texts)
     if not len(data):
         return [b""] * len(texts)
-    starts, data = _split(data, offsets, _tokenizer(path)[1] is not None)
+    starts, data = _split(data, offsets, _tokenizer(path)[2] is not None)
     buffers = [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]
     pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
-    bounds, values = (b.to_pybytes() for b in pieces.dictionary.buffers()[1:])
-    bounds = np.frombuffer(bounds, np.int64)[: len(pieces.dictionary) + 1].tolist()
-    codes = _codes([values[a:b] for a, b in zip(bounds, bounds[1:])], path)
-    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-    first = np.cumsum(sizes) - sizes
+    memo = _memo(path)
+    memo.renew()
+    numbers = memo.numbers(pieces.dictionary, path)
+    sizes = memo.sizes[numbers]
+    first = (np.cumsum(memo.sizes) - memo.sizes)[numbers]
     at = pieces.indices.to_numpy()
     n = sizes[at]
     ends = np.append(0, np.cumsum(n))
-    ids = np.frombuffer(b"".join(codes), "<u4")[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+    ids = memo.ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
     edges = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
     return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
-def _codes(pieces: list[bytes], path: str) -> list[bytes]:
-    memo = _memo(path)
-    memo.renew()
-    codes = list(map(memo.__getitem__, pieces))
-    new = [piece for piece, code in zip(pieces, codes) if code is None]
-    if new:
-        _learn_pieces(memo, new, path)
-        codes = [memo[piece] if code is None else code for piece, code in zip(pieces, codes)]
-    return codes
-
+def _encoded(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct pieces, and how many each has.
 
-def _learn_pieces(memo: _Lately, pieces: list[bytes], path: str) -> None:
+    The tokenizer leaves a run of ASCII letters in lower case, a run of marks or a digit as it is, so its model gets
+    those at once, in texts of many; the ids that end a run tell them apart.
+    """
+    _, bare, ends = _tokenizer(path)
+    words = pieces.cast(pa.large_string())
+    data, offsets = utf8(words)
+    worst = np.maximum.reduceat(_CLASS[data], offsets[:-1])
+    plain = (worst != _SPACE) & (worst < _OTHER) & (ends is not None)
+    words = words.filter(pa.array(plain))
+    edges = pa.array([*range(0, len(words), 256), len(words)], pa.int32())
+    texts = pc.binary_join(pa.ListArray.from_arrays(edges, words), pa.scalar(" ", pa.large_string())).to_pylist()
+    coded = bare.encode_batch_fast(texts, add_special_tokens=False)
+    ids = np.fromiter(chain.from_iterable(c.ids for c in coded), "<u4")
+    last = np.flatnonzero(ends[ids]) if len(ids) else np.zeros(0, np.int64)
+    if len(last) != len(words) or len(ids) and last[-1] != len(ids) - 1:
+        plain[:], ids, last = False, ids[:0], last[:0]  # not a model of the kind that the pieces suggest
+    rest = pieces.filter(pa.array(~plain)).to_pylist()
+    known: dict[bytes, bytes] = {}
+    _learn_pieces(known, rest, path)
+    sizes = np.empty(len(pieces), np.int64)
+    sizes[plain] = np.diff(last, prepend=-1)
+    sizes[~plain] = [len(known[piece]) // 4 for piece in rest]
+    out = np.empty(int(sizes.sum()), "<u4")
+    own = np.repeat(plain, sizes)
+    out[own] = ids
+    out[~own] = np.frombuffer(b"".join(known[piece] for piece in rest), "<u4")
+    return out, sizes
+
+
+def _learn_pieces(memo: dict[bytes, bytes], pieces: list[bytes], path: str) -> None:
     """Encode distinct pieces: those of letters or marks many at a time, told apart by the ids that end a run of them."""
-    tokenizer, ends = _tokenizer(path)
+    tokenizer, _, ends = _tokenizer(path)
     plain, runs, single = [], [], []
     for piece in pieces:
         text = piece.decode()
@@ -466,6 +520,19 @@ def _learn_pieces(memo: _Lately, pieces: list[bytes], path: str) -> None:
     memo.update((x, np.array(c.ids, "<u4").tobytes()) for x, c in zip(single, coded))
 
 
+def _together(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `limit` bytes, or more if a single one has more."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode doc_id and text of all documents to files at `path`, each document followed by `end_id`.
 
@@ -482,7 +549,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             return shard, ids, [len(c) // 4 for c in coded], np.frombuffer(b"".join(coded), "<u4")
 
         ids, coded, size = [], [], 0
-        for part, texts in text_slices(shards):
+        for part, texts in text_slices(_together(shards, TEXT_BYTES), limit=TEXT_BYTES):
             shard = part.column("shard")[0].as_py()
             for doc_id, code in zip(part.column("doc_id"), encode_texts(texts, tokenizer)):
                 ids.append(doc_id)

@@ -91,6 +91,29 @@ def test_pieces_of_words_are_encoded_once(monkeypatch):
     idstream._memo.cache_clear()
 
 
+def test_plain_pieces_need_no_normalizer(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(700)]
+    texts = [" ".join(words), "Ab,c!! 123 x-y_z {[(~)]} école don't a\tb", "".join(words)]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    rest, before = [], idstream._learn_pieces
+    monkeypatch.setattr(idstream, "_learn_pieces", lambda known, pieces, path: (rest.extend(pieces), before(known, pieces, path)))
+    idstream._memo.cache_clear()
+    assert idstream.encode_texts(pa.array(texts), path) == wanted
+    assert sorted(x for x in rest if not x.isspace()) == ["don't".encode(), "école".encode()]
+    idstream._memo.cache_clear()
+
+
+def test_batches_are_put_together():
+    sizes = [3, 5, 4, 300, 1, 1]
+    batches = [pa.record_batch({"text": ["x" * n]}) for n in sizes]
+    found = list(idstream._together(iter(batches), 20 + 2 * batches[0].nbytes))
+    assert [len(x) for b in found for x in b.column("text").to_pylist()] == sizes and 1 < len(found) < len(sizes)
+    assert list(idstream._together(iter([]), 5)) == []
+
+
 def test_long_and_uniform_blocks():
     blocks = [np.full(4096, 49407, np.uint32), np.arange(4096, dtype=np.uint32), np.zeros(1, np.uint32)]
     assert [b.tolist() for b in idstream.decode_blocks(idstream.encode_blocks(blocks))] == [b.tolist() for b in blocks]
