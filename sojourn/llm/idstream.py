@@ -45,9 +45,9 @@ SEGMENT_IDS = 16 * BLOCK_IDS
 #: Blocks that are coded side by side.
 LANES = 2048
 #: Pieces of texts whose ids a worker remembers; it holds some more than twice as many at most.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 #: Bytes of text that are split into pieces at once, so that few pieces are looked up again and again.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: Marks that make one piece of a text with others of their kind.
 _MARKS = ".,;:!?*#$%&()+-/=@[]_{}~"
 _RUN = 7  # longest run that counts, in 3 bits
@@ -449,13 +449,15 @@ def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
     memo = _memo(path)
     memo.renew()
     numbers = memo.numbers(pieces.dictionary, path)
-    sizes = memo.sizes[numbers]
     first = (np.cumsum(memo.sizes) - memo.sizes)[numbers]
     at = pieces.indices.to_numpy()
-    n = sizes[at]
+    n = memo.sizes[numbers].astype(np.int32)[at]
     ends = np.append(0, np.cumsum(n))
-    ids = memo.ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
     edges = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+    del starts, data
+    place = np.repeat(first[at] - ends[:-1], n)
+    place += np.arange(ends[-1])
+    ids = memo.ids[place].tobytes()
     return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
