@@ -47,6 +47,11 @@ def id_remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % n
 
 
+def release_unused() -> None:
+    """Give memory that Arrow keeps for later back to the system; a worker may wait long, or work without Arrow."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -60,6 +65,7 @@ def text_slices(
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
+    release_unused()
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

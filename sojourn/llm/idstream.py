@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from sojourn.llm.common import prepare, text_slices, utf8
+from sojourn.llm.common import prepare, release_unused, text_slices, utf8
 from sojourn.session import scratch_path, shuffles_removed, write_once
 
 MAGIC = b"CMRC"
@@ -565,6 +565,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     def rows(found: list[tuple], number: int, first: int) -> tuple[pa.RecordBatch, int]:
         streams = [stream for *_, stream in found]
+        release_unused()
         cuts = [[s[a : a + BLOCK_IDS] for a in range(0, len(s), BLOCK_IDS)] for s in streams]
         coded = iter(encode_blocks([b for blocks in cuts for b in blocks]))
         firsts = (first + np.cumsum([0, *map(len, streams)])).tolist()
@@ -623,6 +624,7 @@ def read_ids(files: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, LANES // 16):
                 yield from _read(whole.slice(at, LANES // 16))
+        release_unused()
 
     return files.join(F.broadcast(begins), "shard").select("begin", "first", "doc_ids", "lengths", "blocks").mapInArrow(
         read, f"doc_id {kind}, start long, ids binary"

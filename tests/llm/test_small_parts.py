@@ -208,3 +208,10 @@ def test_factorisation_machine_sums_all_pairs():
             logit += weights[i, 1:] @ weights[j, 1:] * x[i] * x[j]
     found = machine.score(words, np.array([0, 9]), stats[None])
     assert found[0] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))), rel=1e-4)
+
+
+def test_memory_of_texts_goes_back_when_they_end(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "release_unused", lambda: given.append(1))
+    batches = [pa.record_batch({"text": ["a", None, "b" * 50]}) for _ in range(3)]
+    assert [len(texts) for _, texts in common.text_slices(iter(batches), limit=20)] == [2, 1] * 3 and given == [1]
