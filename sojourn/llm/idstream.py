@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -56,6 +57,7 @@ _ODDS = np.minimum(256 * np.arange(1024) // (1024 - np.arange(1024)), 64 * 256).
 _WORD = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _TOP = np.uint64(1 << 32)
+_ONE, _FIVE = np.uint64(1), np.uint64(5)
 
 
 def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,89 +91,61 @@ def _read_varints(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     last = np.flatnonzero(raw[: 10 * n] < 128)[:n]
     if len(last) < n:
         raise ValueError("a block ends within its header")
-    stop = int(last[-1]) + 1
-    raw = raw[:stop].astype(np.int64)
     begin = np.concatenate(([0], last[:-1] + 1))
-    shift = 7 * (np.arange(stop) - np.repeat(begin, last - begin + 1))
-    return np.add.reduceat((raw & 127) << shift, begin), at + stop
+    values = raw[begin].astype(np.int64) & 127
+    size, i = last - begin, 1
+    long = np.flatnonzero(size)
+    while len(long):
+        values[long] += (raw[begin[long] + i].astype(np.int64) & 127) << 7 * i
+        i += 1
+        long = long[size[long] >= i]
+    return values, at + int(last[-1]) + 1
 
 
-class _Mixture:
-    """The model of several blocks at once; arrays of two rows hold order 1 and order 2.
+def _spread(counts: list[np.ndarray], width: int) -> np.ndarray:
+    """Where each symbol of a block begins among the block's sorted ids and how often it occurs, packed; a row a block.
 
-    `spread` packs where each symbol begins among the block's sorted ids and how often it occurs.
+    Both are times 4, as order 0 has in the mixture.
     """
+    spread = np.zeros((len(counts), width), np.int32)
+    for i, c in enumerate(counts):
+        spread[i, : len(c)] = (np.cumsum(c) - c) << 17 | c << 2
+    return spread.ravel()
 
-    def __init__(self, counts: list[np.ndarray], sizes: np.ndarray):
-        n = len(sizes)
-        lanes = np.arange(n, dtype=np.int64)
-        self.places = lanes * BLOCK_IDS
-        self.last = self.places + np.maximum(sizes, 1) - 1
-        self.mass = (sizes << 2).astype(np.int32)
-        width = max([1, *map(len, counts)])
-        self.base = lanes * width
-        self.slots = np.stack([self.base, self.places + n * width])
-        self.kinds = lanes * 16 + np.array([[0], [8]])
-        spread = np.zeros((n, width), np.int32)
-        for i, c in enumerate(counts):
-            spread[i, : len(c)] = (np.cumsum(c) - c) << 13 | c
-        self.spread = spread.ravel()
-        self.table = np.zeros(n * (width + BLOCK_IDS), np.int16)
-        #: Share of predictions that came true, of 2^16, for each lane, order and run; 0 where the run is 0.
-        self.share = np.tile(np.repeat(np.array([0, 1 << 15], np.int32), [1, 7]), 2 * n)
-        self.before = np.zeros((2, n), np.int64)
-
-    def predict(self, n: int) -> None:
-        """Predictions and weights of the first n lanes, for their next ids."""
-        self.n = n
-        self.slot = self.slots[:, :n].copy()
-        self.slot[0] += self.before[0, :n]
-        self.slot[1] += self.before[0, :n] * 2053 + self.before[1, :n] * 3 & BLOCK_IDS - 1
-        entry = self.table.take(self.slot)
-        self.run, self.guess = entry & _RUN, entry >> 3
-        self.kind = self.kinds[:, :n] + self.run
-        self.old = self.share.take(self.kind)
-        self.weight = self.mass[:n] * _ODDS.take(self.old >> 6) >> 8
-        self.total = self.mass[:n] + self.weight[0] + self.weight[1]
-
-    def begin(self, spread: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        below = self.weight * (self.guess < symbol)
-        return (spread >> 13 << 2) + below[0] + below[1]
-
-    def width(self, spread: np.ndarray) -> np.ndarray:
-        """To be asked after `check`."""
-        equal = self.weight * self.hit
-        return ((spread & 8191) << 2) + equal[0] + equal[1]
-
-    def check(self, symbol: np.ndarray) -> None:
-        self.hit = self.guess == symbol
-
-    def find(self, target: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """The symbols at places of the mixture; `owners` holds the symbol of each place of order 0."""
-        (x, y), (wx, wy) = self.guess, self.weight
-        a, b = np.minimum(x, y), np.maximum(x, y)
-        wa = np.where(x > y, wy, wx)
-        wb = wx + wy - wa
-        spread = self.spread.take(self.base[: self.n] + np.stack([a, b]))
-        begin = spread >> 13 << 2
-        end = begin + ((spread & 8191) << 2)
-        end[0] += wa + wb * (a == b)
-        past_a = target >= end[0]
-        rest = target - wa * past_a
-        past_b = past_a & (rest >= end[1] + wb)
-        place = rest - wb * past_b >> 2
-        symbol = owners.take(np.minimum(self.last[: self.n], self.places[: self.n] + place))
-        np.copyto(symbol, b, where=(rest >= begin[1]) & (past_a > past_b))
-        np.copyto(symbol, a, where=(target >= begin[0]) > past_a)
-        return symbol
-
-    def learn(self, symbol: np.ndarray) -> None:
-        """To be called after `check`."""
-        hit = self.hit & (self.run > 0)  # the share stays 0 where the run is 0
-        self.share[self.kind] = self.old + (hit * np.int32(65535) - self.old >> 5)
-        self.table[self.slot] = symbol << 3 | np.minimum(self.run * hit + np.int16(1), _RUN)
-        self.before[1, : self.n] = self.before[0, : self.n]
-        self.before[0, : self.n] = symbol
+
+def _shares(n: int) -> np.ndarray:
+    """Share of predictions that came true, of 2^16, for each lane, order and run; 0 where the run is 0."""
+    return np.tile(np.repeat(np.array([0, 1 << 15], np.int32), [1, 7]), 2 * n)
+
+
+def _second(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Where order 2 remembers what follows two symbols."""
+    return last * 2053 + before * 3 & BLOCK_IDS - 1
+
+
+def _remembered(slots: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """What the slot of each symbol's context predicts: its run (0 if it is empty) | 8 if it is right | 16 if too small.
+
+    Rows are blocks. A stable sort by slot puts each symbol after the one that its slot holds.
+    """
+    n, steps = symbols.shape
+    order = np.argsort(slots, axis=1, kind="stable")
+    order += steps * np.arange(n)[:, None]
+    order = order.ravel()
+    slots, symbols = slots.ravel().take(order).reshape(n, steps), symbols.ravel().take(order).reshape(n, steps)
+    held = slots[:, 1:] == slots[:, :-1]
+    hit = np.zeros((n, steps), bool)
+    np.equal(symbols[:, 1:], symbols[:, :-1], out=hit[:, 1:])
+    hit[:, 1:] &= held
+    at = np.arange(steps, dtype=np.int16)
+    run = at - np.maximum.accumulate(np.where(hit, np.int16(0), at), axis=1)
+    run = np.minimum(run, np.int16(_RUN - 1)).astype(np.uint8) + np.uint8(1)  # once the symbol has come
+    found = hit.view(np.uint8) << np.uint8(3)
+    found[:, 1:] |= run[:, :-1] * held
+    found[:, 1:] |= (symbols[:, :-1] < symbols[:, 1:]).view(np.uint8) << np.uint8(4)
+    out = np.empty(n * steps, np.uint8)
+    out[order] = found.ravel()
+    return out.reshape(n, steps)
 
 
 def _longest_first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,13 +157,16 @@ def _longest_first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ascending distinct ids of a block, each id's number among them, and how often each occurs."""
-    if not len(ids) or ids.max() >= 1 << 17:
+    if not len(ids) or ids.max() >= 1 << 16:
         return np.unique(ids, return_inverse=True, return_counts=True)
-    counts = np.bincount(ids)
-    found = np.flatnonzero(counts > 0)
-    number = np.empty(len(counts), np.int16)
+    ordered = np.sort(ids.astype(np.uint16), kind="stable")
+    new = np.empty(len(ids), bool)
+    new[0], new[1:] = True, ordered[1:] != ordered[:-1]
+    begin = np.flatnonzero(new)
+    found = ordered[begin]
+    number = np.empty(int(found[-1]) + 1, np.int16)
     number[found] = np.arange(len(found))
-    return found, number.take(ids), counts[found]
+    return found.astype(np.int64), number.take(ids), np.diff(begin, append=len(ids))
 
 
 def _turn(rows: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -214,55 +191,94 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """All symbols are known, so what the model remembers of each is found by sorting; shares and the coder go by steps."""
     order, active = _longest_first(np.array([len(b) for b in blocks]))
     sizes = np.array([len(blocks[i]) for i in order])
-    rows, found = np.zeros((len(order), len(active)), np.int16), []
-    for lane, i in enumerate(order.tolist()):
-        ids, rows[lane, : len(blocks[i])], counts = _distinct(blocks[i])
-        found.append((ids, counts))
-    symbols = _turn(rows, np.empty(rows.shape[::-1], np.int16))
-    del rows
-    model = _Mixture([counts for _, counts in found], sizes)
-    low = np.zeros(len(order), np.uint64)
-    size = np.full(len(order), (1 << 64) - 1, np.uint64)
-    words = np.zeros((len(order), len(active) * 11 // 16 + 8), np.uint32)  # an id takes less than 22 bits
-    filled = np.zeros(len(order), np.int64)
-
-    def carry(lanes: np.ndarray) -> None:
-        at = filled[lanes] - 1
-        while len(lanes):
-            words[lanes, at] += 1
-            on = words[lanes, at] == 0
-            lanes, at = lanes[on], at[on] - 1
-
-    for i, n in enumerate(active.tolist()):
-        model.predict(n)
-        symbol = symbols[i, :n]
-        model.check(symbol)
-        spread = model.spread.take(model.base[:n] + symbol)
-        unit = size[:n] // model.total.astype(np.uint64)
-        now = low[:n] + model.begin(spread, symbol).astype(np.uint64) * unit
-        if (over := now < low[:n]).any():
-            carry(np.flatnonzero(over))
-        left = model.width(spread).astype(np.uint64) * unit
-        full = np.flatnonzero(left < _TOP)
-        words[full, filled[full]] = now[full] >> _WORD
-        filled[full] += 1
-        now[full] <<= _WORD
-        left[full] <<= _WORD
-        low[:n], size[:n] = now, left
-        model.learn(symbol)
+    lanes, steps = len(order), len(active)
+    found, symbols = [], np.empty((steps, lanes), np.int16)
+    entries = np.empty((steps, 2, lanes), np.uint8)
+    for a in range(0, lanes, 64):
+        rows = np.zeros((min(64, lanes - a), steps), np.int16)
+        for row, i in zip(rows, order[a : a + 64].tolist()):
+            ids, row[: len(blocks[i])], counts = _distinct(blocks[i])
+            found.append((ids, counts))
+        last, before = np.zeros_like(rows), np.zeros_like(rows)
+        last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
+        symbols[:, a : a + 64] = rows.T
+        entries[:, 0, a : a + 64] = _remembered(last, rows).T
+        entries[:, 1, a : a + 64] = _remembered(_second(last, before), rows).T
+    width = max([1, *(len(ids) for ids, _ in found)])
+    spread, share = _spread([counts for _, counts in found], width), _shares(lanes)
+    base, kinds = np.arange(lanes) * width, np.arange(lanes) * 16 + np.array([[0], [8]])
+    mass = (sizes << 2).astype(np.int32)
+    low = np.zeros(lanes, np.uint64)
+    size = np.full(lanes, (1 << 64) - 1, np.uint64)
+    words = np.zeros((lanes, steps * 11 // 16 + 8), np.uint32)  # an id takes less than 22 bits
+    filled = np.arange(lanes) * words.shape[1]
+    code = words.ravel()
+
+    def carry(at: np.ndarray) -> None:
+        """Add 1 to words, each once at most, as the range after a carry lies below the next."""
+        while len(at):
+            code[at] += 1
+            at = at[code[at] == 0] - 1
+
+    ends = np.union1d(np.flatnonzero(np.diff(active)) + 1, [*range(0, steps, 16), steps]).tolist()
+    for a, b in zip(ends, ends[1:]):
+        n = int(active[a])
+        symbol = symbols[a:b, :n]
+        entry = entries[a:b, :, :n].astype(np.int32)
+        kind = kinds[:, :n] + (entry & _RUN)
+        hit, less = entry >> 3 & 1, entry >> 4
+        came = hit * np.int32(65535)
+        old = np.empty(kind.shape, np.int32)
+        for i in range(b - a):
+            share.take(kind[i], out=old[i], mode="clip")
+            change = came[i] - old[i]
+            change >>= 5
+            change += old[i]
+            share[kind[i]] = change
+        weight = _ODDS.take(old >> 6)
+        weight *= mass[:n]
+        weight >>= 8
+        total = (mass[:n] + weight[:, 0] + weight[:, 1]).astype(np.uint64)
+        own = spread.take(base[:n] + symbol)
+        part = weight * hit
+        wide = ((own & 32767) + part[:, 0] + part[:, 1]).astype(np.uint64)
+        np.multiply(weight, less, out=part)
+        begin = ((own >> 15) + part[:, 0] + part[:, 1]).astype(np.uint64)
+        now, left = low[:n], size[:n]
+        over, full, word = np.empty((b - a, n), bool), np.empty((b - a, n), bool), np.empty((b - a, n), np.uint64)
+        for i in range(b - a):
+            left //= total[i]
+            start = begin[i]
+            start *= left
+            now += start
+            np.less(now, start, out=over[i])
+            left *= wide[i]
+            np.less(left, _TOP, out=full[i])
+            np.right_shift(now, _WORD, out=word[i])
+            shift = full[i].astype(np.uint64)
+            shift <<= _FIVE
+            now <<= shift
+            left <<= shift
+        at = np.cumsum(full, axis=0)
+        at += filled[:n]
+        filled[:n] = at[-1]
+        at -= full
+        put = np.flatnonzero(full)
+        code[at.take(put)] = word.take(put)
+        carry(at.take(np.flatnonzero(over)) - 1)
     # the last word: a multiple of 2^32 within the range that is left
     last = (low + _LOW) & ~_LOW
-    carry(np.flatnonzero(last < low))
-    words[np.arange(len(order)), filled] = last >> _WORD
-    filled += 1
-    del symbols, model
+    carry(filled[last < low] - 1)
+    code[filled] = last >> _WORD
+    del symbols, entries
+    filled += 1 - np.arange(lanes) * words.shape[1]
     out: list[bytes] = [b""] * len(blocks)
     for lane, (i, head) in enumerate(zip(order.tolist(), _heads(found, sizes))):
-        code = words[lane, : filled[lane]].astype("<u4").tobytes()
         check = zlib.crc32(blocks[i].astype("<u4").tobytes()).to_bytes(4, "little")
-        out[i] = head + code + check
+        out[i] = head + words[lane, : filled[lane]].astype("<u4").tobytes() + check
     return out
 
 
@@ -280,50 +296,135 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a block")
         (n, distinct), at = _read_varints(data, len(MAGIC), 2)
-        gaps, at = _read_varints(data, at, int(distinct))
-        counts, at = _read_varints(data, at, int(distinct))
+        both, at = _read_varints(data, at, 2 * int(distinct))
+        gaps, counts = np.split(both, 2)
         heads.append((int(n), np.cumsum(gaps), counts, np.frombuffer(data[at:-4], "<u4")))
     order, active = _longest_first(np.array([h[0] for h in heads]))
     heads = [heads[i] for i in order]
     sizes = np.array([h[0] for h in heads])
-    model = _Mixture([h[2] for h in heads], sizes)
     owners = np.zeros((len(heads), BLOCK_IDS), np.int16)
-    words = np.zeros((len(heads), max(len(h[3]) for h in heads) + 2), np.uint32)
+    length = max(len(h[3]) for h in heads) + 2
+    words = np.zeros(len(heads) * length + len(active), np.uint32)
     for lane, (n, _, counts, code) in enumerate(heads):
-        owners[lane, :n] = np.repeat(np.arange(len(counts)), counts)
-        words[lane, : len(code)] = code
-    owners = owners.ravel()
-    code = words[:, 0].astype(np.uint64) << _WORD | words[:, 1]
-    taken = np.full(len(heads), 2, np.int64)
-    size = np.full(len(heads), (1 << 64) - 1, np.uint64)
-    symbols = np.zeros((len(active), len(heads)), np.int16)
-    for i, n in enumerate(active.tolist()):
-        model.predict(n)
-        unit = size[:n] // model.total.astype(np.uint64)
-        target = np.minimum((code[:n] // unit).astype(np.int32), model.total - 1)
-        symbol = model.find(target, owners)
-        model.check(symbol)
-        spread = model.spread.take(model.base[:n] + symbol)
-        rest = code[:n] - model.begin(spread, symbol).astype(np.uint64) * unit
-        left = model.width(spread).astype(np.uint64) * unit
-        full = np.flatnonzero(left < _TOP)
-        rest[full] = rest[full] << _WORD | words[full, np.minimum(taken[full], words.shape[1] - 1)]
-        taken[full] += 1
-        left[full] <<= _WORD
-        code[:n], size[:n] = rest, left
-        symbols[i, :n] = symbol
-        model.learn(symbol)
+        owners[lane, :n] = np.repeat(np.arange(len(counts), dtype=np.int16), counts)
+        words[lane * length : lane * length + len(code)] = code
+    symbols = _symbols([h[2] for h in heads], sizes, active, owners.ravel(), words, np.arange(len(heads)) * length)
     rows = _turn(symbols, np.empty(symbols.shape[::-1], np.int16))
-    del symbols, words, owners, model
+    del symbols, words, owners
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for lane, i in enumerate(order.tolist()):
         n, ids, _, _ = heads[lane]
-        out[i] = ids[rows[lane, :n]].astype(np.uint32) if n else np.zeros(0, np.uint32)
+        out[i] = ids.astype(np.uint32).take(rows[lane, :n]) if n else np.zeros(0, np.uint32)
         if zlib.crc32(out[i].astype("<u4").tobytes()) != int.from_bytes(coded[i][-4:], "little"):
             raise ValueError("a block fails its checksum")
     return out
 
 
+def _symbols(
+    counts: list[np.ndarray], sizes: np.ndarray, active: np.ndarray, owners: np.ndarray, words: np.ndarray, at: np.ndarray
+) -> np.ndarray:
+    """The symbols of blocks, a row for each step; `owners` holds the symbol of each place of order 0.
+
+    Arrays of two rows hold order 1 and order 2. Truth is -1 or 0 in 32 bits, so that numpy needs no other types.
+    """
+    lanes = len(sizes)
+    out = np.zeros((2 + len(active), lanes), np.int16)  # nothing comes before the first
+    width = max([1, *map(len, counts)])
+    spread, share = _spread(counts, width), _shares(lanes)
+    table = np.zeros(lanes * (width + BLOCK_IDS), np.int16)
+    state = {
+        "base": np.arange(lanes) * width,
+        "second": np.arange(lanes) * BLOCK_IDS + lanes * width,
+        "kinds": np.arange(lanes) * 16 + np.array([[0], [8]]),
+        "places": np.arange(lanes) * BLOCK_IDS,
+        "end": (np.maximum(sizes, 1) - 1).astype(np.int32),
+        "mass": (sizes << 2).astype(np.int32),
+        "code": words.take(at).astype(np.uint64) << _WORD | words.take(at + 1),
+        "size": np.full(lanes, (1 << 64) - 1, np.uint64),
+        "at": at + 2,
+    }
+    n = -1
+    for step, now in enumerate(active.tolist()):
+        if now != n:
+            n = now
+            state = {name: x[..., :n].copy() for name, x in state.items()}
+            base, second, kinds, places, end, mass, code, size, at = state.values()
+            slot, difference = np.empty((2, n), np.int64), np.empty((2, n), np.int32)
+        # what the orders predict, and their weights
+        np.add(base, out[step + 1, :n], out=slot[0])
+        np.add(_second(out[step + 1, :n], out[step, :n]), second, out=slot[1])
+        entry = table.take(slot).astype(np.int32)
+        guess, run = entry >> 3, entry & _RUN
+        kind = kinds + run
+        old = share.take(kind)
+        weight = _ODDS.take(old >> 6)
+        weight *= mass
+        weight >>= 8
+        extra = weight[0] + weight[1]
+        total = (extra + mass).astype(np.uint64)
+        size //= total  # a unit of the range
+        total -= _ONE
+        target = np.minimum(code // size, total).astype(np.int32)
+        # where the predicted symbols begin and end in the mixture
+        own = spread.take(base + guess)
+        begin = own >> 15
+        own &= 32767
+        np.subtract(guess[1], guess[0], out=difference[0])
+        np.negative(difference[0], out=difference[1])
+        difference >>= 31  # the other order's symbol is less
+        other = weight[::-1]
+        begin += other & difference
+        own += weight
+        own += other & ~(difference[0] | difference[1])
+        own += begin
+        begin = target - begin >> 31
+        below = target - own >> 31
+        hit = begin ^ below
+        below &= weight
+        # the symbol, by its place in order 0 unless it is a predicted one
+        extra -= below[0]
+        extra -= below[1]
+        target -= extra
+        target >>= 2
+        symbol = owners.take(np.minimum(target, end) + places).astype(np.int32)
+        for i in (1, 0):
+            choice = guess[i] ^ symbol
+            choice &= hit[i]
+            symbol ^= choice
+        own = spread.take(base + symbol)
+        extra += own >> 15
+        own &= 32767
+        weight &= hit
+        own += weight[0]
+        own += weight[1]
+        code -= extra.astype(np.uint64) * size
+        size *= own.astype(np.uint64)
+        shift = (size < _TOP).astype(np.uint64)
+        fresh = words.take(at).astype(np.uint64)
+        fresh *= shift
+        at += shift.view(np.int64)
+        shift <<= _FIVE
+        size <<= shift
+        code <<= shift
+        code |= fresh
+        # what the model learns
+        run &= hit
+        np.negative(entry & _RUN, out=difference)
+        difference >>= 31
+        hit &= difference  # the share stays 0 where the run is 0
+        hit &= 65535
+        hit -= old
+        hit >>= 5
+        hit += old
+        share[kind] = hit
+        run += 1
+        np.minimum(run, _RUN, out=run)
+        run |= symbol << 3
+        table[slot] = run.astype(np.int16)
+        out[step + 2, :n] = symbol
+    return out[2:]
+
+
 #: The pre-tokenizer that keeps runs of letters and runs of marks apart, by its pattern.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -341,8 +442,8 @@ def _tokenizer(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray | None]:
     parts = json.loads(tokenizer.to_str())
     suffix = parts["model"].get("end_of_word_suffix")
     changes = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
-    splits = [x.get("pattern") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
-    if not suffix or changes != ["NFC", "Replace", "Lowercase"] or splits != [{"Regex": _PIECES}, None]:
+    splits = [x.get("pattern", x["type"]) for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if not suffix or changes != ["NFC", "Replace", "Lowercase"] or splits != [{"Regex": _PIECES}, "ByteLevel"]:
         return tokenizer, bare, None
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -377,14 +478,13 @@ class _Lately:
             self.before = np.ones(len(self.pieces), bool)
 
     def numbers(self, pieces: pa.Array, path: str) -> np.ndarray:
-        """Where distinct pieces are in the memo; new ones are encoded."""
-        found = pc.index_in(pieces, value_set=self.pieces)
-        numbers = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-        if found.null_count:
-            fresh = found.is_null()
-            numbers[fresh.to_numpy(zero_copy_only=False)] = len(self) + np.arange(found.null_count)
-            ids, sizes = _encoded(pieces.filter(fresh), path)
-            self.pieces = pa.concat_arrays([self.pieces, pieces.filter(fresh)])
+        """Where pieces are in the memo; new ones are encoded."""
+        known = len(self)
+        coded = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()  # numbers the memo's pieces first, as they are
+        numbers = coded.indices.to_numpy()[known:]
+        if len(coded.dictionary) > known:
+            ids, sizes = _encoded(coded.dictionary[known:], path)
+            self.pieces = coded.dictionary
             self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
             self.before = np.append(self.before, np.zeros(len(sizes), bool))
         self.before[numbers] = False
@@ -404,34 +504,42 @@ _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
 _CLASS[0x30:0x3A] = _DIGIT
 _CLASS[list(_MARKS.encode())] = _MARK
 _CLASS[0x80:] = _HIGH
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The characters that a byte-level model has for bytes that are no visible character of Latin-1.
+_AS_CHARACTERS = {byte: 256 + 33 + i for i, byte in enumerate([*range(0x7F, 0xA1), 0xAD])}
 
 
-def _split(data: np.ndarray, offsets: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Where pieces of texts begin, and the texts' bytes as the pieces have them. White space is a piece, too.
+def _split(data: np.ndarray, offsets: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces of texts begin, the texts' bytes as the pieces have them, and which piece is the first of each text.
 
-    If `apart`, words of ASCII letters, digits and marks are split into runs of letters in lower case, runs of marks,
-    and single digits; other words are whole.
+    White space is left out. If `apart`, words of Latin-1 letters, ASCII digits and marks are split into runs of letters
+    in lower case, runs of marks, and single digits; other words are whole.
     """
     kind = _CLASS[data]
     begin = np.empty(len(data), bool)
-    space = kind == _SPACE
-    begin[0], begin[1:] = True, space[1:] != space[:-1]
-    cuts = offsets[:-1][offsets[:-1] < len(data)]
-    begin[cuts] = True
-    if not apart:
-        return np.flatnonzero(begin), data
-    upper = (data >= 0x41) & (data <= 0x5A)
-    inner = kind == _DIGIT
-    inner[1:] |= kind[1:] != kind[:-1]
-    whole = kind >= _OTHER
-    if whole.any():
-        word = np.cumsum(begin)
-        some = np.zeros(word[-1] + 1, bool)
-        some[word[whole]] = True
-        split = ~some[word]
-        inner &= split
-        upper &= split
-    return np.flatnonzero(begin | inner), data + (upper * np.uint8(0x20))
+    kept = kind != _SPACE
+    begin[0], begin[1:] = True, kept[1:] != kept[:-1]
+    begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+    if apart:
+        upper = (data >= 0x41) & (data <= 0x5A)
+        lead = np.flatnonzero(data == 0xC3)  # of letters that NFC leaves alone, and two signs
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        upper[lead + 1] = data[lead + 1] < 0x9F
+        inner = kind == _DIGIT
+        inner[1:] |= kind[1:] != kind[:-1]
+        whole = kind >= _OTHER
+        if whole.any():
+            word = np.cumsum(begin, dtype=np.int32)
+            some = np.zeros(word[-1] + 1, bool)
+            some[word[whole]] = True
+            split = ~some[word]
+            inner &= split
+            upper &= split
+        data = data + (upper * np.uint8(0x20))
+        begin |= inner
+    begin &= kept
+    return np.flatnonzero(begin[kept]), data[kept], np.searchsorted(np.flatnonzero(begin), offsets)
 
 
 def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
@@ -443,19 +551,16 @@ def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
     data, offsets = utf8(texts)
     if not len(data):
         return [b""] * len(texts)
-    starts, data = _split(data, offsets, _tokenizer(path)[2] is not None)
+    starts, data, edges = _split(data, offsets, _tokenizer(path)[2] is not None)
     buffers = [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
     memo = _memo(path)
     memo.renew()
-    numbers = memo.numbers(pieces.dictionary, path)
-    first = (np.cumsum(memo.sizes) - memo.sizes)[numbers]
-    at = pieces.indices.to_numpy()
-    n = memo.sizes[numbers].astype(np.int32)[at]
+    at = memo.numbers(pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), path)
+    n = memo.sizes.astype(np.int32)[at]
     ends = np.append(0, np.cumsum(n))
-    edges = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+    edges = (4 * ends[edges]).tolist()
     del starts, data
-    place = np.repeat(first[at] - ends[:-1], n)
+    place = np.repeat((np.cumsum(memo.sizes) - memo.sizes)[at] - ends[:-1], n)
     place += np.arange(ends[-1])
     ids = memo.ids[place].tobytes()
     return [ids[a:b] for a, b in zip(edges, edges[1:])]
@@ -471,7 +576,7 @@ def _encoded(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     words = pieces.cast(pa.large_string())
     data, offsets = utf8(words)
     worst = np.maximum.reduceat(_CLASS[data], offsets[:-1])
-    plain = (worst != _SPACE) & (worst < _OTHER) & (ends is not None)
+    plain = (worst < _OTHER) & (ends is not None)
     words = words.filter(pa.array(plain))
     edges = pa.array([*range(0, len(words), 256), len(words)], pa.int32())
     texts = pc.binary_join(pa.ListArray.from_arrays(edges, words), pa.scalar(" ", pa.large_string())).to_pylist()
@@ -494,22 +599,29 @@ def _encoded(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _learn_pieces(memo: dict[bytes, bytes], pieces: list[bytes], path: str) -> None:
-    """Encode distinct pieces: those of letters or marks many at a time, told apart by the ids that end a run of them."""
-    tokenizer, _, ends = _tokenizer(path)
-    plain, runs, single = [], [], []
+    """Encode distinct pieces: those of letters or marks many at a time, told apart by the ids that end a run of them.
+
+    A run of Latin-1 letters in lower case only has its bytes written as characters before it goes to the model.
+    """
+    tokenizer, bare, ends = _tokenizer(path)
+    latin, plain, runs, single = [], [], [], []
     for piece in pieces:
+        if ends is not None and _LATIN.fullmatch(piece):
+            latin.append(piece)
+            continue
         text = piece.decode()
         core = text.strip(_MARKS)
-        if piece.isspace():
-            memo[piece] = b""
-        elif ends is not None and (not core or core.isalpha() and core.lower().isalpha()):
+        if ends is not None and (not core or core.isalpha() and core.lower().isalpha()):
             plain.append(piece)
             runs.append(1 + (text[0] in _MARKS) + (text[-1] in _MARKS) if core else 1)
         else:
             single.append(piece)
-    chunks = [(plain[i : i + 256], np.cumsum(runs[i : i + 256])) for i in range(0, len(plain), 256)]
-    coded = tokenizer.encode_batch_fast([b" ".join(some).decode() for some, _ in chunks], add_special_tokens=False)
-    for (some, expected), code in zip(chunks, coded):
+    chunks = [(latin[i : i + 256], np.arange(1, len(latin[i : i + 256]) + 1)) for i in range(0, len(latin), 256)]
+    texts = [b" ".join(some).decode("latin-1").translate(_AS_CHARACTERS) for some, _ in chunks]
+    coded = bare.encode_batch_fast(texts, add_special_tokens=False)
+    more = [(plain[i : i + 256], np.cumsum(runs[i : i + 256])) for i in range(0, len(plain), 256)]
+    coded += tokenizer.encode_batch_fast([b" ".join(some).decode() for some, _ in more], add_special_tokens=False)
+    for (some, expected), code in zip(chunks + more, coded):
         ids = np.array(code.ids, "<u4")
         last = np.flatnonzero(ends[ids])
         if len(last) != expected[-1] or last[-1] != len(ids) - 1:

@@ -106,6 +106,34 @@ def test_plain_pieces_need_no_normalizer(monkeypatch):
     idstream._memo.cache_clear()
 
 
+def test_latin_letters_are_split_and_need_no_normalizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["École, (école) ÉCOLE! Straße×2", "naïve÷ÿ ŒUVRE Åé", "Été\u0301s cafe\u0301 l'été ªé µ\xad \x85à", "À" * 40]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    idstream._memo.cache_clear()
+    assert idstream.encode_texts(pa.array(texts), path) == wanted
+    memo = idstream._memo(path)
+    assert "école".encode() in memo and "École,".encode() not in memo and b" " not in memo
+    assert "Straße×2".encode() in memo and "Été\u0301s".encode() in memo  # other signs leave a word whole
+    idstream._memo.cache_clear()
+
+
+def test_predictions_of_known_symbols_are_those_of_the_slots():
+    rng = np.random.default_rng(9)
+    symbols = rng.integers(0, 4, (3, 200)).astype(np.int16)
+    symbols[1] = np.tile(symbols[1, :5], 40)
+    slots = np.zeros_like(symbols)
+    slots[:, 1:] = symbols[:, :-1]
+    found = idstream._remembered(slots, symbols)
+    for row, of_slots, coded in zip(symbols.tolist(), slots.tolist(), found.tolist()):
+        held = {}
+        for symbol, slot, code in zip(row, of_slots, coded):
+            guess, run = held.get(slot, (0, 0))
+            assert code & 7 == run and (not run or code >> 3 == (guess == symbol) + 2 * (guess < symbol))
+            held[slot] = symbol, min(run * (guess == symbol) + 1, 7)
+
+
 def test_batches_are_put_together():
     sizes = [3, 5, 4, 300, 1, 1]
     batches = [pa.record_batch({"text": ["x" * n]}) for n in sizes]
